@@ -38,7 +38,7 @@ def _digits(m: Column) -> Column:
 def _ip_ok(m: Column) -> Column:
     def small(part: Column) -> Column:
         bare = F.regexp_replace(part, "^0+(?=.)", "")
-        return (F.length(bare) < 4) & (F.coalesce(F.expr("bigint(0)") + F.try_to_number(F.substring(bare, 1, 3), F.lit("999")), F.lit(999)) <= 255)
+        return (F.length(bare) < 4) & (F.substring(bare, 1, 3).cast("int") <= 255)
 
     return F.forall(F.split(m, r"\."), small)
 
@@ -88,7 +88,7 @@ def _nearby(text: Column, spans: Column, reach: int, least: int) -> Column:
         core = F.transform(
             F.concat(before, after),
             lambda x: c.let(
-                x["start"] + F.length(x["text"]) - F.length(F.ltrim(F.lit(_EDGE), x["text"])) if False else x["start"] + F.length(F.regexp_extract(x["text"], r"""^[.,;:!?"'()\[\]{}<>|*#]*""", 0)),
+                x["start"] + F.length(F.regexp_extract(x["text"], r"""^[.,;:!?"'()\[\]{}<>|*#]*""", 0)),
                 lambda a: F.struct(entity.alias("entity"), _term(x["text"]).alias("term"), a.alias("start"), (a + F.length(F.btrim(x["text"], F.lit(_EDGE)))).alias("end")),
             ),
         )
@@ -104,7 +104,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     base = c.materialise(spans.select("doc_id", "copy", "x.spans", "x.near"))
     near = base.filter("near is not null").select("doc_id", "copy", F.explode("near").alias("n")).select("doc_id", "copy", "n.*")
     together = near.groupBy("entity", "term", "copy").agg(F.lit(1)).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    together = c.materialise(together)
+    # A term is in no fewer texts than those that hold it near some entity: most common words can't reach the confidence, and aren't counted.
+    around = near.groupBy("term", "copy").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_near"))
+    together = c.materialise(together.join(around, "term").filter(F.col("n_te") >= confidence * F.col("n_near")).drop("n_near"))
     terms = together.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, pii, quality, secret_scan
+from . import jaccard_join, line_dedup, pii, quality, secret_scan, substring_dedup
 
-MODULES = (jaccard_join, quality, secret_scan, pii)
+MODULES = (jaccard_join, quality, line_dedup, substring_dedup, secret_scan, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
