@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, pii, quality, secret_scan, substring_dedup
+from . import decontamination, jaccard_join, line_dedup, pii, quality, quotes, secret_scan, sentencepiece_codec, substring_dedup, warc
 
-MODULES = (jaccard_join, quality, line_dedup, substring_dedup, secret_scan, pii)
+MODULES = (decontamination, jaccard_join, warc, quality, quotes, line_dedup, substring_dedup, sentencepiece_codec, secret_scan, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
