@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import graphs, library  # noqa: F401  they register their queries
+from .book import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "search_bm25_term"
 
-FLAGSHIP = "library_index_join"
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
