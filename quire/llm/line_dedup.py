@@ -8,9 +8,10 @@ within the bound of the group's earliest line, so each is joined with that one a
 distance is verified on the texts. A line goes if an equal line, or one within one edit, occurs
 earlier: at a smaller (document id, line number). This is judged on the input, not on what is left.
 
-Variants are as many as characters, so a lossless test comes first: of two lines within one edit,
-the shorter of n characters, the first or the last (n - 1) // 2 characters agree. Only lines that
-share such a half with a different line emit variants.
+Variants are as many as characters, so two lossless tests come first. Of two lines within one edit,
+the shorter of n characters, the first or the last (n - 1) // 2 characters agree; and if the line is
+cut in sixteen parts, all before and all after one of them agree. Only lines that share these with a
+different line emit variants.
 
 Null texts stay null and have no lines; ids must be unique (rows with one id count as one text's
 lines, and lose the same line numbers); extra columns stay with `deduplicated`; an empty table
@@ -71,6 +72,25 @@ def _halves(line: Column) -> Column:
     return F.array_distinct(F.array(*both(half(1)), *both(half(2))))
 
 
+def _all_but_one(line: Column, parts: int = 16) -> Column:
+    """For each of `parts` parts of the line, and for a line of one character less: what comes before and after the part."""
+    n = F.length(line)
+
+    def key(size: Column, j: int) -> Column:
+        begin, end = F.floor(size * j / parts).cast("int"), F.floor(size * (j + 1) / parts).cast("int")
+        after = (size - end).cast("int")
+        return F.xxhash64(F.lit(j), size, F.substring(line, F.lit(1), begin), F.substring(line, n - after + 1, after))
+
+    return F.array(*[key(n - less, j) for less in (0, 1) for j in range(parts)])
+
+
+def _sharing(lines: DataFrame, keys: Column) -> DataFrame:
+    """The (h, g, ...) rows with a key that a different line has too."""
+    each = lines.select(*[x for x in lines.columns if x not in ("halves", "line")], F.explode(keys).alias("key"))
+    shared = c.materialise(each.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"))
+    return c.join_small(each, shared, ["key"], "left_semi").drop("key").distinct()
+
+
 _VARIANT = "key bigint, place int, h bigint, g bigint, doc_id bigint, no int"
 
 
@@ -126,11 +146,9 @@ def repeated_lines(docs: DataFrame, least: int = 30) -> DataFrame:
     at = F.struct("doc_id", "no")
     distinct = hashed.select("doc_id", "no", "h", "g", _halves(line).alias("halves")).groupBy("h", "g").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = c.materialise(distinct.select("h", "g", "at.doc_id", "at.no", "n", "halves"))
-    halves = distinct.select("h", "g", "doc_id", "no", F.explode("halves").alias("half"))
-    shared = c.materialise(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half"))
-    likely = c.materialise(c.join_small(halves, shared, ["half"], "left_semi").select("h", "g", "doc_id", "no").distinct())
-    texts = c.join_small(_lines(docs, least), likely, ["doc_id", "no"], "inner").select("h", "g", "doc_id", "no", "line")
-    near = c.materialise(_near(c.materialise(texts.dropDuplicates(["h", "g"]))))
+    likely = c.materialise(_sharing(distinct.select("h", "g", "doc_id", "no", "halves"), F.col("halves")))
+    texts = c.materialise(c.join_small(_lines(docs, least), likely, ["doc_id", "no"], "inner").select("h", "g", "doc_id", "no", "line").dropDuplicates(["h", "g"]))
+    near = c.materialise(_near(texts.join(_sharing(texts, _all_but_one(line)).select("h", "g"), ["h", "g"], "left_semi")))
     gone = distinct.select("h", "g", "doc_id", "no", "n").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left")
     several = c.materialise(gone.filter("n > 1 or near").select("h", "g", F.col("doc_id").alias("d0"), F.col("no").alias("n0"), F.coalesce("near", F.lit(False)).alias("near")))
     hits = c.join_small(hashed.select("doc_id", "no", "h", "g"), several, ["h", "g"], "inner")
@@ -140,11 +158,10 @@ def repeated_lines(docs: DataFrame, least: int = 30) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30) -> DataFrame:
     """`docs` with the repeated lines taken out of `text_col`, and the number taken, `n_removed`; all other columns stay."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = c.materialise(repeated_lines(own, least))
-    rows = gone.count()
+    gone = repeated_lines(own, least)
     per_doc = gone.groupBy("doc_id").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc_id", "__id")
     joined = docs.withColumn("__id", F.col(id_col).cast("bigint"))
-    joined = c.join_small(joined, per_doc, ["__id"], "left", rows)
+    joined = joined.join(per_doc.hint("merge"), "__id", "left")
 
     def cut(texts: "pa.Array", gone: "pa.Array") -> pa.Array:
         out = []
