@@ -8,7 +8,9 @@ For each shard a suffix automaton over words is built from its distinct passages
 knows the least document id among its occurrences; each passage is then streamed through it, and the
 matching statistic at each word - the state of the longest suffix of at least `length` words - tells
 the earliest document with that window. The reference is the whole corpus and grows with it, so
-shards are dealt out by minimiser where a fixed reference would be broadcast shard by shard.
+shards are dealt out by minimiser where a fixed reference would be broadcast shard by shard. A shard
+of more than `most` distinct passages (a phrase that very many documents share) isn't put together in
+one task: its windows are counted one by one by the hash of their words, which gives the same result.
 
 A window is judged on the input: it goes if its words also start in a document of smaller id. A
 document is left without the words that such windows cover. Null or empty texts have no words, an
@@ -208,7 +210,6 @@ def _match(shards: DataFrame, length: int) -> DataFrame:
 
 def _contents(docs: DataFrame, bodies: DataFrame, length: int) -> DataFrame:
     """(mini, body, n, doc_id, text) of each distinct passage, read from the first document that has it."""
-    n = bodies.count()
     owned = bodies.groupBy("doc_id").agg(F.collect_list(F.struct("mini", "body", "n", "at")).alias("own"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,16 +221,34 @@ def _contents(docs: DataFrame, bodies: DataFrame, length: int) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["mini", "body", "n", "doc_id", "text"])
 
-    return c.map_rows(c.join_small(docs, owned, ["doc_id"], "inner", n), run, "mini bigint, body bigint, n int, doc_id bigint, text binary")
+    return c.map_rows(docs.join(owned.hint("merge"), "doc_id"), run, "mini bigint, body bigint, n int, doc_id bigint, text binary")
 
 
-def covered(docs: DataFrame, length: int = 50, seed: int = 20) -> DataFrame:
+def _match_large(shards: DataFrame, length: int) -> DataFrame:
+    """What _match gives, for shards of many passages: the least document id of each window by aggregation; a row for each window."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for mini, body, n, doc_id, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            hashes = c.signed(c.rolling_hashes(c.word_hashes(text.split()), length))
+            same = [pa.array(np.full(len(hashes), x, t)) for x, t in ((mini, np.int64), (body, np.int64), (n, np.int32), (doc_id, np.int64))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes)], ["mini", "body", "n", "doc_id", "start", "window"])
+
+    windows = c.map_rows(shards, run, "mini bigint, body bigint, n int, doc_id bigint, start int, window bigint")
+    first = windows.groupBy("mini", "window").agg(F.min("doc_id").alias("first"))
+    span = F.array(F.struct("first", "start", (F.col("start") + 1).alias("end")))
+    return windows.join(first, ["mini", "window"]).select("mini", "body", "n", span.alias("spans"))
+
+
+def covered(docs: DataFrame, length: int = 50, seed: int = 20, most: int = 500) -> DataFrame:
     """(doc_id, start, end): runs of words of `docs` (doc_id, text) that windows of an earlier document cover; runs may overlap."""
     every = c.materialise(_passages(docs, length, seed))
     shared = every.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini")
     some = c.materialise(every.join(shared, "mini", "left_semi"))
     bodies = some.groupBy("mini", "body", "n").agg(F.min(F.struct("doc_id", "at")).alias("own")).select("mini", "body", "n", "own.*")
-    found = c.materialise(_match(_contents(docs, c.materialise(bodies), length), length))
+    bodies = c.materialise(bodies)
+    large = bodies.groupBy("mini").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("mini")
+    contents = c.materialise(_contents(docs, bodies, length))
+    found = c.materialise(_match(contents.join(large, "mini", "left_anti"), length).union(_match_large(contents.join(large, "mini", "left_semi"), length)))
     hits = some.join(found, ["mini", "body", "n"]).select("doc_id", "at", F.explode("spans").alias("s")).filter("s.first < doc_id")
     return hits.select("doc_id", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end") + length - 1).alias("end"))
 
@@ -259,7 +278,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             [batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "text", "kept_sha256"]
         )
 
-    joined = c.join_small(docs, per_doc, ["doc_id"], "left", runs.count()).select("doc_id", "text", "gone")
+    joined = docs.join(per_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone")
     return c.map_rows(joined, run, "doc_id bigint, n_words bigint, n_removed bigint, text string, kept_sha256 string")
 
 
