@@ -6,14 +6,14 @@ from samples import prose
 from test_operators import brute_components, brute_lines
 
 
-COMMON = "the of and to in a is that it was for on with as be by at this are from"
+COMMON = "the of and to in a is that it was for on with as be by at this are from".split()
 
 
 def corpus(spark, folder):
     item = prose(77, 40)
     docs = []
     for i in range(24):
-        docs.append((i, "\n".join(f"{COMMON} {prose(1000 * i + k, 25)} {COMMON}." for k in range(4)), "en", f"src{i % 3}"))
+        docs.append((i, "\n".join(" ".join(f"{w} {COMMON[j % 20]}" for j, w in enumerate(prose(1000 * i + k, 25).split())) + "." for k in range(4)), "en", f"src{i % 3}"))
     docs.append((30, docs[3][1], "en", "src0"))
     docs.append((31, docs[4][1].replace("\n", " "), "en", "src0"))
     docs.append((32, docs[5][1] + "\n" + item, "en", "src0"))
