@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, graphs, library, records, states, vectors  # noqa: F401  they register their queries
+from . import documents, graphs, library, reconstruction, records, states, vectors  # noqa: F401  they register their queries
 from .book import ORACLES, QUERIES, Query
 
 FLAGSHIP = "search_bm25_term"

@@ -210,3 +210,28 @@ def test_streams_agree_with_batches(spark, tmp_path):
     want = {(r.key, r.status, r.applied) for r in state.replay(df, "key", ["seq"], "event").collect()}
     got = s.drain(s.job_states(stream, "key", "event", "seq"), "jobs", "update")
     assert want <= {(r.key, r.status, r.applied) for r in got.collect()}
+
+
+# reconstruction
+
+
+def test_raw_blocks_become_a_document(spark):
+    from quire.operators import reconstruct
+
+    raw = []
+    for page in (1, 2, 3):
+        raw.append((1, page, 0, 50.0, 10.0, 300.0, 30.0, f"Journal of Things, page {page}"))
+    raw += [(1, 1, 1, 50.0, 100.0, 280.0, 150.0, "The left column breaks off with a hy-"), (1, 1, 2, 320.0, 100.0, 560.0, 150.0, "phen and ends here."), (1, 2, 1, 50.0, 100.0, 560.0, 150.0, "Next.")]
+    df = spark.createDataFrame(raw, "doc int, page int, idx int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = reconstruct.build(df, 612, 792).orderBy("element").collect()
+    assert [r.text for r in got] == ["The left column breaks off with a hyphen and ends here.", "Next."] and got[0].parts == 2
+    assert reconstruct.quality(reconstruct.build(df, 612, 792), df).first().status == "PASS"
+    up = reconstruct.from_bottom_up(spark.createDataFrame([(0.0, 700.0, 10.0, 720.0)], "x0 double, y0 double, x1 double, y1 double"), 792).first()
+    assert (up.y0, up.y1) == (72.0, 92.0)
+
+
+def test_broken_hierarchies_are_repaired(spark):
+    from quire.operators import reconstruct
+
+    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "gone"), ("d", "c"), ("e", None)], "folder_id string, parent_id string")
+    assert {tuple(r) for r in reconstruct.repaired_hierarchy(df).collect()} == {("a", None), ("b", None), ("c", "gone"), ("d", "c"), ("e", None), ("gone", None)}
