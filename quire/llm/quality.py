@@ -163,5 +163,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(c.table(spark, sf_dir, "documents")).select("doc_id", *_COUNTS, "base_failed", "kept", F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"))
 
 
+def _oracle() -> str:
+    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON.items())
+    every = ", ".join(repr(w) for w in ALL)
+    patterns = ["[a-z0-9]", "[A-Z]", r"[\x20\x09\x0B-\x0D]", r"\n", "[.,;:!?]", "[|]", "[#*$%&<>]", "[\"''()\\[\\]{}-]", "[^a-zA-Z0-9\\x20\\x09-\\x0D.,;:!?|#*$%&<>\"''()\\[\\]{}\\x80-\\x{10FFFF}-]", r"[^\x00-\x7F]"]
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))" for p in patterns)
+
+    def distance(own: str, ref: str) -> str:
+        term = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({1} + {2}) / 2)) ELSE 0 END"
+        p, q = f"({own}[i] / list_sum({own}))", f"{ref}[i]"
+        return f"CASE WHEN list_sum({own}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({own}) + 1), lambda i: {term.format(p, p, q)} + {term.format(q, p, q)})) / 2)) END"
+
+    def mean(name: str) -> str:
+        return f"(SELECT language, list(m ORDER BY i) AS r_{name} FROM (SELECT language, i, avg({name}[i] / list_sum({name})) AS m FROM (SELECT *, unnest(range(1, len({name}) + 1)) AS i FROM b WHERE NOT base_failed) GROUP BY language, i) GROUP BY language)"
+
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(repr(x) for x in COMMON)}) THEN lang ELSE '' END AS language,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+    c AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1), r AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS x FROM g JOIN c USING (doc_id, g)) GROUP BY doc_id),
+    l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    k AS (SELECT *, CASE language {lists} ELSE [{every}] END AS words, [{counts}] AS chars FROM d),
+    h AS (SELECT *, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS known FROM k),
+    b AS (SELECT h.doc_id, language, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, (chars[6] + chars[7])::bigint AS n_symbols, coalesce(l.n, 0)::bigint AS n_dup_lines, coalesce(r.n, 0)::bigint AS n_repeat_words,
+        len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed, chars, list_append(known, len(w) - list_sum(known)) AS common FROM h LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+    f AS (SELECT b.*, {distance('chars', 'r_chars')} AS cd, {distance('common', 'r_common')} AS wd FROM b LEFT JOIN {mean('chars')} USING (language) LEFT JOIN {mean('common')} USING (language))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= 50 AND cd > 0.175) OR (n_words >= 150 AND wd > 0.31), false) AS kept, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance FROM f"""
+
+
 QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_quality_rules": _oracle()}
