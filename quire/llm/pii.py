@@ -146,5 +146,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _oracle() -> str:
+    """DuckDB: the plain patterns, offsets by running sums, and the statistics of terms near entities."""
+    digits = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digits}[-i]::int WHEN {digits}[-i]::int > 4 THEN {digits}[-i]::int * 2 - 9 ELSE {digits}[-i]::int * 2 END)) % 10 = 0"
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x.m, '.'), lambda y: y::hugeint > 255)) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+    }
+    placed = "list_transform(range(1, len(h) + 1), lambda i: {'m': h[i], 'e': (list_sum(list_transform(g[1:i], lambda y: length(y))) + list_sum(list_transform(h[1:i], lambda y: length(y))))::bigint})"
+    parts = " UNION ALL ".join(
+        f"""SELECT doc_id, t, {k} AS k, '{kind}' AS kind, x.e - length(x.m) AS a, x.e AS e, x.m AS m FROM (SELECT doc_id, t, unnest(list_filter({placed}, lambda x: {keep})) AS x
+        FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')))"""
+        for k, (kind, (p, keep)) in enumerate(rules.items())
+    )
+    word, edge = r"[^\x20\x09-\x0D]+", _EDGE.replace("'", "''")
+
+    def side(text: str, offset: str, keep: str) -> str:
+        return f"""SELECT doc_id, t, kind, m, {offset} + y.e - length(y.m) AS a, y.m AS w FROM (SELECT *, unnest({placed}) AS y
+            FROM (SELECT *, {text} AS c, regexp_extract_all({text}, '{word}') AS h, regexp_split_to_array({text}, '{word}') AS g FROM s)) WHERE {keep}"""
+
+    left, right = "substr(t, greatest(a - 60, 0) + 1, a - greatest(a - 60, 0))", "substr(t, e + 1, 60)"
+    joined = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k, e)"
+    counts = ", ".join(f"coalesce(n{k}, 0)::bigint AS n_{kind}" for k, kind in enumerate(KINDS))
+    sums = ", ".join(f"count(*) FILTER (k = {k}) AS n{k}" for k in range(len(KINDS) + 1))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({parts}),
+    c AS ({side(left, 'greatest(a - 60, 0)', '(y.e > length(y.m) OR a <= 60) AND y.e < length(c)')} UNION ALL {side(right, 'e', 'y.e > length(y.m) AND (y.e < 60 OR length(c) < 60)')}),
+    n AS (SELECT doc_id, t, kind || ':' || lower(regexp_replace(m, '[\\x20().-]', '', 'g')) AS entity, lower(trim(w, '{edge}')) AS term, a + length(w) - length(ltrim(w, '{edge}')) AS a, a + length(w) - length(ltrim(w, '{edge}')) + length(trim(w, '{edge}')) AS e FROM c
+        WHERE length(trim(w, '{edge}')) >= 4 AND regexp_matches(lower(trim(w, '{edge}')), '^\\p{{L}}+$')),
+    te AS (SELECT entity, term, count(DISTINCT t) AS n_te FROM n GROUP BY ALL HAVING count(DISTINCT t) >= 3), ne AS (SELECT kind || ':' || lower(regexp_replace(m, '[\\x20().-]', '', 'g')) AS entity, count(DISTINCT t) AS n_e FROM s GROUP BY 1),
+    nt AS (SELECT term, count(DISTINCT t) AS n_t FROM (SELECT t, lower(trim(unnest(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+')), '{edge}')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
+    st AS (SELECT entity, term FROM te JOIN nt USING (term) JOIN ne USING (entity) WHERE n_te >= 0.8 * n_t AND log2(n_te * (SELECT count(DISTINCT t) FROM d) / (n_t * n_e)) >= 3),
+    u AS (SELECT doc_id, k, kind, a, e FROM s UNION ALL SELECT DISTINCT doc_id, {len(KINDS)}, '{TERM}', a, e FROM n JOIN st USING (entity, term)),
+    f AS (SELECT doc_id, {sums}, {joined} FILTER (k < {len(KINDS)}) AS b, {joined} AS l FROM u GROUP BY doc_id)
+    SELECT doc_id, {counts}, sha256(coalesce(b, '')) AS base_sha256, coalesce(l, '') AS spans, coalesce(n{len(KINDS)}, 0)::bigint AS n_term FROM d LEFT JOIN f USING (doc_id)"""
+
+
 QUERIES = {"op10_pii": op10_pii}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_pii": _oracle()}
