@@ -154,6 +154,19 @@ def redact(text: Column, spans: Column) -> Column:
     )
 
 
+#: Rows of an Arrow batch, unless the session sets another number than Spark's own: texts are long, and workers share an executor's memory.
+BATCH_ROWS = "1000"
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, for which Arrow batches have at most BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES) == "10000":
+        conf.set(_BATCHES, BATCH_ROWS)
+    return df
+
+
 def map_rows(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow of a function of one batch."""
 
@@ -163,7 +176,7 @@ def map_rows(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 out = one(batch)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> Iterator[bytes]:

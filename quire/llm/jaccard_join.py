@@ -1,16 +1,22 @@
 """Join of documents whose sets of word n-grams overlap, by T-occurrence search with DivideSkip.
 
-A document x of n shingles and similarity p percent need at least ceil(p n / 100) common shingles,
-so all but n - T + 1 of its inverted lists may be skipped and only probed: every partner occurs in
-one of the lists of its rarest n - T + 1 shingles. The lists are ordered by length. Lengths come
-from a summary over all documents: each batch reports the shingles that three or more of its
-documents hold, so a shingle that no batch reports is in at most two documents of each batch; the
-summed reports name the long lists, at most 2^20 of them, and everything else counts as short.
+A document x of n shingles and similarity p percent need at least T = ceil(p n / 100) common
+shingles, so all but n - T + k of its inverted lists may be skipped and only probed: every partner
+occurs in k or more of the lists of its rarest n - T + k shingles (k = 3, or T if that is less). The
+lists are ordered by length. Lengths come
+from a summary over all documents: each batch of some million shingles reports those that three or
+more of its documents hold, so a shingle that none reports is in at most two documents of each; the
+summed reports give the lengths of the longest lists, at most 2^20 of them, and everything else
+counts as short. A pair is found from its smaller set, whose short lists are fewer still, as it needs
+2 p / (100 + p) of its own shingles; and what comes before the first common shingle can't be shared.
 
 1. Documents with equal sets become one class; copies are never joined with each other.
-2. Each class enters the short lists (token, class). The members of a list are searched first
-   against the list's smallest member: in a group of near copies that already links nearly all.
-3. Members of a list that are then still in different components are searched against each other.
+2. Each class enters its short lists (token, class). The members of a list are searched first
+   against the member with the fewest shingles of its own: in a group of near copies that is the one
+   nearest to what they have in common, and links nearly all.
+3. Members of k common lists that are then still in different components are searched against each
+   other, unless the parities of their shingles in 256 buckets already differ in more places than the
+   two sets may have shingles of their own.
    No pair that could link is left out; pairs within one component need no further link.
 4. A search takes one class and its candidates (in blocks), merges their short inverted lists with a
    heap, and probes the long ones by binary search.
@@ -24,19 +30,24 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 from .graph import components
 
 LONG_LISTS = 1 << 20
+OCCUR = 3
 _BLOCK = 256
+#: Shingles that a task sorts at once for its report.
+_HELD = 4_000_000
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -47,6 +58,14 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(c.gram_hashes(c.word_hashes(words), min(size, len(words))))
 
 
+MARKS = ("m0", "m1", "m2", "m3")
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether the number of tokens in each of 256 buckets is odd, as four 64-bit numbers: they differ in no more places than the sets do in tokens."""
+    return np.packbits(np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
 def _class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
@@ -56,6 +75,11 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def occurrences(n: int, percent: int) -> int:
+    """How many of the short lists of a set of n a partner occurs in at least."""
+    return min(OCCUR, need(n, percent))
+
+
 def overlap(n: int, m: int, percent: int) -> int:
     """Least overlap of sets of n and m that link: 100 o >= percent (n + m - o)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -93,68 +117,89 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list
 def _survey(docs: DataFrame, size: int) -> DataFrame:
     """Kind 0: (id, set size, class); kind 1: (token, documents) of the shingles that a batch has in three documents or more."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, sizes, classes, kept, seen = batch.column(0), [], [], [], set()
-        for text in c.texts_of(batch.column(1)):
-            tokens = shingle_set(text, size)
-            sizes.append(len(tokens))
-            classes.append(cls := _class_of(tokens))
-            if cls not in seen:
-                seen.add(cls)
-                kept.append(tokens)
-        names = ["kind", "a", "b", "c"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names)
-        every = np.sort(np.concatenate(kept))
+    names = ["kind", "a", "b", "c", *MARKS]
+
+    def report(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every = np.sort(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
         if len(every) > 2:
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
             count = np.diff(np.append(edge, len(every)))
             many = count > 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(many.sum()), np.int32)), pa.array(c.signed(every[edge[many]])), pa.array(count[many]), pa.array(np.zeros(int(many.sum()), np.int64))], names)
+            n = int(many.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(c.signed(every[edge[many]])), pa.array(count[many]), *[pa.array(np.zeros(n, np.int64))] * (1 + len(MARKS))], names)
 
-    return c.map_rows(docs, run, "kind int, a bigint, b bigint, c bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
+        for batch in batches:
+            sizes, classes, marks = [], [], []
+            for text in c.texts_of(batch.column(1)):
+                tokens = shingle_set(text, size)
+                sizes.append(len(tokens))
+                classes.append(cls := _class_of(tokens))
+                marks.append(parities(tokens))
+                if cls not in seen:
+                    seen.add(cls)
+                    kept.append(tokens)
+                    held += len(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *[pa.array(np.array(x)) for x in zip(*marks, strict=True)]], names)
+            if held > _HELD:
+                yield from report(kept)
+                kept, seen, held = [], set(), 0
+        yield from report(kept)
+
+    return c.small_batches(docs).mapInArrow(run, "kind int, a bigint, b bigint, c bigint, " + ", ".join(f"{m} bigint" for m in MARKS))
 
 
 def _long_lists(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the long lists, sorted, and their lengths; at most LONG_LISTS, as their lengths sum to no more than all tokens."""
-    total = survey.filter("kind = 0").agg(F.sum("b")).first()[0] or 0
-    least = max(16, -(-total // LONG_LISTS))
-    heavy = survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= least).toArrow()
+    """Tokens of the longest reported lists, sorted, and their lengths: those of a least length for which there are at most LONG_LISTS."""
+    reported = c.materialise(survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")))
+    by_power = sorted(reported.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True)  # at most 64 rows
+    least, rows = 64, 0
+    for power, n in by_power:
+        if (rows := rows + n) > LONG_LISTS:
+            break
+        least = power
+    heavy = reported.filter(F.col("n") >= F.lit(float(2**least))).toArrow()
     tokens, n = heavy["a"].to_numpy().view(np.uint64), heavy["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
 
 def _entries(docs: DataFrame, size: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, cls, n, at) for the rarest n - T + 1 shingles of each class; `at` is the place in the order by list length."""
+    """(token, cls, n, at, own) for the rarest n - T + k shingles of each class; `at` is the place in the order by list length, `own` counts the shingles in no reported list."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         long, length = shared.value
         for batch in batches:
-            tokens, classes, sizes, places = [], [], [], []
+            tokens, classes, sizes, places, alone = [], [], [], [], []
             for text in c.texts_of(batch.column(0)):
                 own = shingle_set(text, size)
-                n = len(own)
+                n = rare = len(own)
                 if not n or (cls := _class_of(own)) in seen:
                     continue
                 seen.add(cls)
-                first = n - need(n, percent) + 1
+                first = n - need(n, percent) + occurrences(n, percent)
                 if len(long):
                     at = np.searchsorted(long, own)
                     at[at == len(long)] = 0
                     freq = np.where(long[at] == own, length[at], 0)
-                    own = own[np.argsort(freq, kind="stable")] if freq.any() else own
+                    if freq.any():
+                        own, rare = own[np.argsort(freq, kind="stable")], int((freq == 0).sum())
                 tokens.append(own[:first])
                 classes.append(np.full(first, cls))
                 sizes.append(np.full(first, n, np.int32))
                 places.append(np.arange(first, dtype=np.int32))
+                alone.append(np.full(first, rare, np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.signed(np.concatenate(tokens))), *[pa.array(np.concatenate(x)) for x in (classes, sizes, places)]], ["token", "cls", "n", "at"]
+                    [pa.array(c.signed(np.concatenate(tokens))), *[pa.array(np.concatenate(x)) for x in (classes, sizes, places, alone)]], ["token", "cls", "n", "at", "own"]
                 )
 
-    return docs.select("text").mapInArrow(run, "token bigint, cls bigint, n int, at int")
+    return c.small_batches(docs).select("text").mapInArrow(run, "token bigint, cls bigint, n int, at int, own int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -165,11 +210,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
 
     texts = c.join_small(docs, wanted.select("doc_id", "cls"), ["doc_id"], "inner").select("cls", "text")
-    return c.map_rows(texts, run, "cls bigint, tokens binary").dropDuplicates(["cls"])
+    return c.materialise(c.map_rows(texts, run, "cls bigint, tokens binary"))
+
+
+def _need(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil(percent * (a + b) / (100 + percent))
+
+
+def _inner(n: Column, at: Column, percent: int) -> Column:
+    """Whether a place is in the short lists that the smaller set of a pair needs."""
+    return at < n - _need(n, n, percent) + F.least(F.lit(OCCUR), F.ceil(percent * n / 100))
+
+
+def _often(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of sizes nx <= ny that meet in as many lists as partners have to, and not too late: ax, ay are places."""
+    enough = F.least(F.lit(OCCUR), F.ceil(percent * F.col("nx") / 100))
+    met = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("k"), F.min("ax").alias("ax"), F.min("ay").alias("ay"))
+    reach = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    return met.filter((F.col("k") >= enough) & (reach >= _need(F.col("nx"), F.col("ny"), percent))).select("x", "y")
 
 
-def _search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _search(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) among the candidate pairs (x, y) of classes."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("class_id").alias("doc_id"))
+    sets = _sets(docs, c.materialise(wanted), size)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         x = key[0].as_py()
@@ -180,7 +244,8 @@ def _search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = divide_skip(query, [own[i] for i in others], percent)
         return pa.table({"u": pa.array([x] * len(found), pa.int64()), "v": pa.array([ids[others[i]] for i in found], pa.int64())})
 
-    blocks = pairs.withColumn("block", F.pmod(F.xxhash64("y"), F.ceil(F.count("*").over(Window.partitionBy("x")) / _BLOCK)))
+    degrees = pairs.groupBy("x").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
+    blocks = pairs.join(degrees, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("blocks")).alias("block"))
     asked = blocks.union(blocks.select("x", F.col("x").alias("y"), "block").distinct())
     return asked.join(sets, asked["y"] == sets["cls"]).select("x", "block", "y", "tokens").groupBy("x", "block").applyInArrow(run, "u bigint, v bigint")
 
@@ -189,29 +254,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the least id with the same set, component_id the least id that links reach."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     survey = c.materialise(_survey(docs, size))
-    members = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
-    classes = members.filter("n_shingles > 0").groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    members = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"), *MARKS)
+    classes = members.filter("n_shingles > 0").groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("class_id"), *[F.first(m).alias(m) for m in MARKS])
+    members = members.drop(*MARKS)
     lists = _entries(docs, size, percent, _long_lists(survey)).repartition("token").dropDuplicates(["token", "cls", "n"])
-    by_token = Window.partitionBy("token").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.struct("cls", "n")).over(by_token)
-    lists = c.materialise(lists.select("*", F.count("*").over(by_token).alias("m"), first.alias("p")).filter("m > 1").select("token", "cls", "n", "at", F.col("p.cls").alias("p_cls"), F.col("p.n").alias("p_n")))
-    pairs = lists.filter((F.col("cls") != F.col("p_cls")) & (percent * F.col("n") <= 100 * F.col("p_n"))).select(F.col("p_cls").alias("x"), F.col("cls").alias("y")).distinct()
-    pairs = c.materialise(pairs)
-    wanted = lists.select("cls").distinct().join(classes, "cls").select("cls", F.col("class_id").alias("doc_id"))
-    sets = c.materialise(_sets(docs, wanted, size))
-    links = c.materialise(_search(pairs, sets, percent))
+    by_token = Window.partitionBy("token").orderBy("own", "n", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    side = F.struct("n", "cls", "at", "inner")
+    lists = lists.withColumn("inner", _inner(F.col("n"), F.col("at"), percent))
+    lists = lists.select("*", F.count("*").over(by_token).alias("m"), F.max("inner").over(by_token).alias("some"), F.first(side).over(by_token).alias("p"))
+    lists = c.materialise(lists.filter("m > 1 and some").select("token", "cls", "n", "at", "inner", "p"))
+    star = lists.filter(F.col("cls") != F.col("p.cls")).select(F.least(side, "p").alias("a"), F.greatest(side, "p").alias("b")).filter(F.col("a.inner") & (percent * F.col("b.n") <= 100 * F.col("a.n")))
+    pairs = star.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
+    pairs = c.materialise(_often(pairs, percent))
+    links = c.materialise(_search(docs, classes, pairs, size, percent))
     part = components(links).withColumnsRenamed({"node": "cls", "component": "part"})
-    left = lists.join(part, "cls", "left").select("token", "cls", "n", "at", F.coalesce("part", "cls").alias("part"))
+    left = lists.join(part, "cls", "left").select("token", "cls", "n", "at", "inner", F.coalesce("part", "cls").alias("part"))
     mixed = left.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
-    left = c.materialise(left.join(mixed, "token", "left_semi"))
-    a, b = left.alias("a"), left.alias("b")
+    left = c.materialise(left.join(mixed, "token", "left_semi").join(classes.select("cls", *MARKS), "cls"))
+    a, b = left.filter("inner").alias("a"), left.alias("b")
     within = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") < F.col("b.cls")))
-    reach = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
-    rest = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & within & (F.col("a.part") != F.col("b.part")) & (percent * F.col("b.n") <= 100 * F.col("a.n")) & ((100 + percent) * reach >= percent * (F.col("a.n") + F.col("b.n"))))
-        .select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    )
-    links = links.union(_search(c.materialise(rest), sets, percent))
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + OCCUR  # a later common shingle only counts beside an earlier one
+    apart = reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MARKS])
+    fits = apart <= F.col("a.n") + F.col("b.n") - 2 * _need(F.col("a.n"), F.col("b.n"), percent)
+    rest = a.join(b, fits & (F.col("a.token") == F.col("b.token")) & within & (F.col("a.part") != F.col("b.part")) & (percent * F.col("b.n") <= 100 * F.col("a.n")) & (reach > _need(F.col("a.n"), F.col("b.n"), percent)))
+    rest = rest.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
+    rest = _often(rest, percent).join(pairs, ["x", "y"], "left_anti")
+    links = links.union(_search(docs, classes, c.materialise(rest), size, percent))
     ids = classes.select("cls", "class_id")
     named = links.join(ids.withColumnsRenamed({"cls": "u", "class_id": "a"}), "u").join(ids.withColumnsRenamed({"cls": "v", "class_id": "b"}), "v")
     found = components(named.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "component": "reached"})

@@ -160,7 +160,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     gone = repeated_lines(own, least)
     per_doc = gone.groupBy("doc_id").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.withColumn("__id", F.col(id_col).cast("bigint"))
+    joined = c.small_batches(docs).withColumn("__id", F.col(id_col).cast("bigint"))
     joined = joined.join(per_doc.hint("merge"), "__id", "left")
 
     def cut(texts: "pa.Array", gone: "pa.Array") -> pa.Array:

@@ -204,7 +204,7 @@ def _match(shards: DataFrame, length: int) -> DataFrame:
         if done:
             yield flush()
 
-    rows = shards.repartition("mini").sortWithinPartitions("mini", "doc_id")
+    rows = c.small_batches(shards).repartition("mini").sortWithinPartitions("mini", "doc_id")
     return rows.mapInArrow(run, "mini bigint, body bigint, n int, spans array<struct<first:bigint,start:int,end:int>>")
 
 
