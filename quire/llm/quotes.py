@@ -139,5 +139,27 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads(c.table(spark, sf_dir, "conversations"))
 
 
+_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
+l AS (SELECT conv_id, turn, i, regexp_extract(x, '^(?:[ \t]*>)+[ \t]?') AS mark, x FROM (SELECT conv_id, turn, i, ls[i] AS x FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM m))),
+v AS (SELECT conv_id, turn, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(x, length(mark) + 1) AS c FROM l),
+r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM (SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i))::int AS b FROM v)),
+p AS (SELECT *, sum((trim(c, ' ' || chr(9)) = '')::int) OVER (PARTITION BY conv_id, turn, run ORDER BY i) AS para FROM r),
+q AS (SELECT conv_id, turn, max(level) > 0 AS quoting FROM v GROUP BY ALL),
+w AS (SELECT r.* FROM r JOIN q USING (conv_id, turn) WHERE quoting AND level = 0 AND NOT regexp_matches(trim(c), '^(?:On .* wrote|Le .* a écrit|Am .* schrieb.*|El .* escribió) ?:$')),
+k AS (SELECT conv_id, turn, level, string_agg(c, ' ' ORDER BY i) AS s FROM r GROUP BY conv_id, turn, level, run UNION ALL SELECT conv_id, turn, level, c FROM r
+    UNION ALL SELECT conv_id, turn, 0, string_agg(c, ' ' ORDER BY i) FROM p WHERE level = 0 GROUP BY conv_id, turn, run, para UNION ALL SELECT conv_id, turn, 0, string_agg(c, ' ' ORDER BY i) FROM w GROUP BY conv_id, turn),
+u AS (SELECT DISTINCT conv_id, turn, level, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) AS s FROM k WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND trim(regexp_replace(s, '\s+', ' ', 'g')) <> ''),
+f AS (SELECT s, min((conv_id, turn)) AS f FROM u WHERE level = 0 GROUP BY s),
+a AS (SELECT a.conv_id, a.turn, a.level, length(a.s) AS n, (SELECT max(o.turn) FROM u o WHERE o.level = 0 AND o.s = a.s AND o.conv_id = a.conv_id AND o.turn < a.turn) AS near, f.f FROM u a LEFT JOIN f USING (s) WHERE a.level > 0),
+b AS (SELECT conv_id, turn, level, max((n, CASE WHEN near IS NOT NULL THEN row(conv_id, near) ELSE f END)) AS best FROM a WHERE near IS NOT NULL OR f < row(conv_id, turn) GROUP BY conv_id, turn, level),
+h AS (SELECT conv_id, turn, arg_min(best[2][1], level) AS p_conv, arg_min(best[2][2], level) AS p_turn, count(*) AS n_levels FROM b GROUP BY conv_id, turn),
+t AS (SELECT conv_id, turn, p_conv AS r_conv, p_turn AS r_turn, 1 AS depth FROM h UNION ALL SELECT t.conv_id, t.turn, h.p_conv, h.p_turn, depth + 1 FROM t JOIN h ON h.conv_id = t.r_conv AND h.turn = t.r_turn),
+z AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(r_conv, depth) AS r_conv, arg_max(r_turn, depth) AS r_turn FROM t GROUP BY conv_id, turn),
+o AS (SELECT conv_id, turn, trim(string_agg(c, chr(10) ORDER BY i), chr(10)) AS own FROM w GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN quoting THEN coalesce(own, '') ELSE text END AS text, p_conv, p_turn, coalesce(r_conv, m.conv_id) AS root_conv, coalesce(r_turn, m.turn) AS root_turn, coalesce(depth, 0)::bigint AS depth, coalesce(n_levels, 0)::bigint AS n_levels
+FROM m LEFT JOIN q USING (conv_id, turn) LEFT JOIN h USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn) LEFT JOIN o USING (conv_id, turn)
+"""
+
 QUERIES = {"op5_quotation_linking": op5_quotation_linking}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_quotation_linking": _SQL}

@@ -168,6 +168,14 @@ def test_quotes_link_to_originals_and_go(spark):
     assert (got[1, 1].p_turn, got[1, 1].depth, got[1, 1].text) == (0, 1, "Yes, at noon then.")
     assert (got[1, 2].p_turn, got[1, 2].root_turn, got[1, 2].depth, got[1, 2].n_levels, got[1, 2].text) == (1, 0, 2, 2, "Fine.")
     assert (got[2, 5].p_conv, got[2, 5].p_turn, got[2, 5].root_conv, got[2, 5].depth) == (1, 2, 1, 3)
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame([x for x in m if x[0] is not None], columns=["conv_id", "turn", "role", "text"]))
+    names = ["conv_id", "turn", "text", "p_conv", "p_turn", "root_conv", "root_turn", "depth", "n_levels"]
+    for r in con.sql(f"SELECT {', '.join(names)} FROM ({quotes.ORACLES['op5_quotation_linking']})").fetchall():
+        assert tuple(got[r[0], r[1]][x] for x in names) == r
     assert got[1, 3].depth == got[2, 6].depth == got[3, 1].depth == 0 and got[2, 6].text == "Odd." and got[3, 0].text is None
 
 
