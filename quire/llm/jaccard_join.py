@@ -14,10 +14,10 @@ counts as short. A pair is found from its smaller set, whose short lists are few
 2. Each class enters its short lists (token, class). The members of a list are searched first
    against the member with the fewest shingles of its own: in a group of near copies that is the one
    nearest to what they have in common, and links nearly all.
-3. Members of k common lists that are then still in different components are searched against each
-   other, unless the parities of their shingles in 256 buckets already differ in more places than the
+3. Members of k common lists that aren't yet linked with one and the same class are searched against
+   each other, unless the parities of their shingles in 256 buckets already differ in more places than the
    two sets may have shingles of their own.
-   No pair that could link is left out; pairs within one component need no further link.
+   No pair that could link is left out; two classes that link with the same one need no further link.
 4. A search takes one class and its candidates (in blocks), merges their short inverted lists with a
    heap, and probes the long ones by binary search.
 
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .graph import components
+from .graph import components, hubs
 
 LONG_LISTS = 1 << 20
 OCCUR = 3
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = star.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
     pairs = c.materialise(_often(pairs, percent))
     links = c.materialise(_search(docs, classes, pairs, size, percent))
-    part = components(links).withColumnsRenamed({"node": "cls", "component": "part"})
+    part = hubs(links).withColumnsRenamed({"node": "cls", "hub": "part"})
     left = lists.join(part, "cls", "left").select("token", "cls", "n", "at", "inner", F.coalesce("part", "cls").alias("part"))
     mixed = left.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
     left = c.materialise(left.join(mixed, "token", "left_semi").join(classes.select("cls", *MARKS), "cls"))
@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = a.join(b, fits & (F.col("a.token") == F.col("b.token")) & within & (F.col("a.part") != F.col("b.part")) & (percent * F.col("b.n") <= 100 * F.col("a.n")) & (reach > _need(F.col("a.n"), F.col("b.n"), percent)))
     rest = rest.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
     rest = _often(rest, percent).join(pairs, ["x", "y"], "left_anti")
-    links = links.union(_search(docs, classes, c.materialise(rest), size, percent))
+    rest = c.materialise(rest)
+    links = links if rest.isEmpty() else links.union(_search(docs, classes, rest, size, percent))
     ids = classes.select("cls", "class_id")
     named = links.join(ids.withColumnsRenamed({"cls": "u", "class_id": "a"}), "u").join(ids.withColumnsRenamed({"cls": "v", "class_id": "b"}), "v")
     found = components(named.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "component": "reached"})
