@@ -51,13 +51,18 @@ def canonical(text: Column) -> Column:
     return F.lower(clean(text))
 
 
+# Patterns of a topic word and of a run of ideographs.
+TOPIC_WORD = r"[a-z0-9]+(?:[._+-][a-z0-9]+)*"
+TOPIC_RUN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"
+
+
 def topic_tokens(text: Column) -> Column:
     """Words of small Latin letters and digits, without single characters, numbers and stop words, then pairs of neighbouring ideographs."""
     low = canonical(text)
     words = F.filter(
-        F.regexp_extract_all(low, F.lit(r"[a-z0-9]+(?:[._+-][a-z0-9]+)*"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d+$") & ~t.isin(STOPWORDS)
+        F.regexp_extract_all(low, F.lit(TOPIC_WORD), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d+$") & ~t.isin(STOPWORDS)
     )
-    runs = F.filter(F.regexp_extract_all(low, F.lit(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"), F.lit(0)), lambda r: F.length(r) > 1)
+    runs = F.filter(F.regexp_extract_all(low, F.lit(TOPIC_RUN), F.lit(0)), lambda r: F.length(r) > 1)
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(words, pairs)
 
@@ -83,14 +88,20 @@ VENUES = (
 )
 
 
+# Patterns of a venue's outer punctuation, leading year, "Proceedings of", trailing year and acronym.
+VENUE_EDGES = r"^[,;:\s]+|[,;:\s]+$"
+VENUE_NOISE = (r"^(?:19|20)\d{2}\s+", r"(?i)^proceedings\s+of\s+(?:the\s+)?(?:\d+(?:st|nd|rd|th)\s+)?", r"[,\s]+(?:19|20)\d{2}$")
+VENUE_ACRONYM = r"\(([A-Za-z][A-Za-z0-9.+&/-]{1,11})\)\s*$"
+
+
 def venue(text: Column) -> Column:
     """Short name of a known venue, or else an acronym in brackets at the end, or else the name without year and "Proceedings of"."""
-    name = F.regexp_replace(clean(text), r"^[,;:\s]+|[,;:\s]+$", "")
-    low = F.lower(name)
-    bare = F.regexp_replace(name, r"^(?:19|20)\d{2}\s+", "")
-    bare = F.regexp_replace(bare, r"(?i)^proceedings\s+of\s+(?:the\s+)?(?:\d+(?:st|nd|rd|th)\s+)?", "")
-    bare = F.trim(F.regexp_replace(bare, r"[,\s]+(?:19|20)\d{2}$", ""))
-    acronym = F.regexp_extract(bare, r"\(([A-Za-z][A-Za-z0-9.+&/-]{1,11})\)\s*$", 1)
+    name = F.regexp_replace(clean(text), VENUE_EDGES, "")
+    low, bare = F.lower(name), name
+    for pattern in VENUE_NOISE:
+        bare = F.regexp_replace(bare, pattern, "")
+    bare = F.trim(bare)
+    acronym = F.regexp_extract(bare, VENUE_ACRONYM, 1)
     out = F.when(name == "", "")
     for pattern, label in VENUES:
         out = out.when(low.rlike(pattern), label)
