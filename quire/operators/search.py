@@ -36,10 +36,14 @@ def matching(sources: DataFrame, query: str) -> DataFrame:
     aggregate of a single row, then scores without a shuffle.
     """
     wanted = phrases(query)
-    rows = sources.withColumn("tokens", T.lexical_tokens(F.col("text")))
     if not wanted:
-        return rows.drop("tokens").withColumn("score", F.lit(0.0))
-    counted = rows.select("*", F.size("tokens").alias("size"), *[T.phrase_count(F.col("tokens"), p).alias(f"tf{i}") for i, p in enumerate(wanted)]).drop("tokens")
+        return sources.withColumn("score", F.lit(0.0))
+
+    def counts(tokens: Column) -> Column:
+        return F.struct(F.size(tokens).alias("size"), *[T.phrase_count(tokens, p).alias(f"tf{i}") for i, p in enumerate(wanted)])
+
+    # Within a transform the tokens are a variable: each text is split once, however many phrases there are.
+    counted = sources.withColumn("counts", F.element_at(F.transform(F.array(T.lexical_tokens(F.col("text"))), counts), 1)).select(*sources.columns, "counts.*")
     stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
 
     def part(i: int) -> Column:
