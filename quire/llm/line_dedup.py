@@ -3,9 +3,10 @@
 A line is compared without outer white space, and takes part if it has `least` characters. Two
 lines are within one edit (substitution, insertion or deletion of a character) just when one of
 these keys is equal: (variant, place) with both lines less the character at that place, or
-(variant) with one line less a character and the whole other line. Every line in a key's group is
-within the bound of the group's earliest line, so each is joined with that one alone, and the edit
-distance is verified on the texts. A line goes if an equal line, or one within one edit, occurs
+(variant) with one line less a character and the whole other line. Lines of equal variant and place
+are all within the bound of each other, so each is joined with the earliest alone. Lines that become
+a whole line are within the bound of that one only, so they are joined with it, and it with the
+earliest of them. The edit distance is verified on the texts. A line goes if an equal line, or one within one edit, occurs
 earlier: at a smaller (document id, line number). This is judged on the input, not on what is left.
 
 Variants are as many as characters, so two lossless tests come first. Of two lines within one edit,
@@ -95,7 +96,7 @@ _VARIANT = "key bigint, place int, h bigint, g bigint, doc_id bigint, no int"
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, place, h, g, doc_id, no): place -1 marks a whole line, and a variant that is to meet one."""
+    """(key, place, h, g, doc_id, no): place -2 marks a whole line, and -1 a variant that is to meet one."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = ["key", "place", "h", "g", "doc_id", "no"]
@@ -116,6 +117,7 @@ def _variants(lines: DataFrame) -> DataFrame:
             n = len(less)
             keys = np.concatenate((less, np.unique(less), np.array([whole], np.uint64)))
             places = np.concatenate((np.arange(n, dtype=np.int32), np.full(len(keys) - n, -1, np.int32)))
+            places[-1] = -2
             held.append((keys, places, own))
             size += len(keys)
             if size > _ROWS:
@@ -129,10 +131,12 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame) -> DataFrame:
     """(h, g) of the lines that have a different line within one edit at an earlier place."""
-    variants = _variants(lines)
-    at = F.struct("doc_id", "no")
-    firsts = variants.groupBy("key", "place").agg(F.min(F.struct("doc_id", "no", "h", "g")).alias("a"), F.max(at).alias("last")).filter(F.struct("a.doc_id", "a.no") < F.col("last"))
-    pairs = variants.join(firsts, ["key", "place"]).filter(F.struct("a.doc_id", "a.no") < at).select("h", "g", F.col("a.h").alias("ah"), F.col("a.g").alias("ag")).distinct()
+    variants = _variants(lines).withColumn("whole", F.col("place") == -2).withColumn("place", F.greatest("place", F.lit(-1)))
+    at, own = F.struct("doc_id", "no"), F.struct("doc_id", "no", "h", "g")
+    firsts = variants.groupBy("key", "place").agg(F.min(F.when(F.col("whole"), own)).alias("w"), F.min(F.when(~F.col("whole"), own)).alias("v"), F.max(at).alias("last"))
+    firsts = firsts.filter(F.when(F.col("place") < 0, F.col("w").isNotNull() & F.col("v").isNotNull()).otherwise(F.struct("v.doc_id", "v.no") < F.col("last")))
+    met = variants.join(firsts, ["key", "place"]).withColumn("a", F.when((F.col("place") < 0) & ~F.col("whole"), F.col("w")).otherwise(F.col("v")))
+    pairs = met.filter(F.struct("a.doc_id", "a.no") < at).select("h", "g", F.col("a.h").alias("ah"), F.col("a.g").alias("ag")).distinct()
     text = lines.select("h", "g", "line")
     both = pairs.join(text, ["h", "g"]).join(text.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("line").alias("other")), ["ah", "ag"])
     same = F.pandas_udf(lambda a, b: a.combine(b, within_one_edit).astype(bool), "boolean")

@@ -1,6 +1,7 @@
 """Each operator against brute force on small rows."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -197,6 +198,14 @@ def test_lines_match_brute_force(spark):
     assert got.pop(5) is None and got == brute_lines(docs)
 
 
+def test_lines_two_edits_apart_meet_the_plain_line_between_them(spark):
+    forms = [lambda v: "x" + v, lambda v: v, lambda v: v + "y", lambda v: v[:9] + "#" + v[9:]]
+    orders = list(itertools.permutations(forms))
+    docs = [(10 * k + i, form(prose(100 + k, 8))) for k, order in enumerate(orders) for i, form in enumerate(order)]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(docs) and sum(t == "" for t in got.values()) > 2 * len(orders)
+
+
 def test_variants_meet_just_when_one_edit_apart():
     words = ["abcdef", "abXdef", "abdef", "abcdeff", "Xabcdef", "abcdeX", "abXXef", "fedcba"]
     for a in words:
