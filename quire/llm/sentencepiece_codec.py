@@ -3,11 +3,12 @@
 The vocabulary of a public BPE model with byte fallback is read from its file (nothing is trained);
 the driver reads it once and broadcasts its bytes. Text is encoded as the model does: a space in
 front, spaces written as U+2581, then an agenda of candidate merges ordered by score and, among equals,
-from the left. Each candidate taken from the agenda is skipped if a keyed hash of (seed, variant,
-unit, place, merged piece) falls below the dropout rate, so one seed always gives one segmentation
-and other seeds others. `variants` segmentations are dealt to documents by a keyed hash of the id;
-units between spaces are segmented once per variant and task. With a rate of 0 the pieces are the
-model's own.
+from the left. Each candidate taken from the agenda is skipped with the chance of the dropout rate,
+drawn by a keyed hash of (seed, document id, place of the unit in the text) for every occurrence of a
+unit by itself: the hash gives the number of candidates up to the next one that is skipped. So one
+seed always gives one segmentation and other seeds others. What is cached does not depend on the
+draw: the pieces of a unit if just such and such of its candidates are skipped. With a rate of 0 the
+pieces are the model's own.
 
 Decoding joins the pieces' bytes, turns U+2581 back to spaces and takes off the first one. A U+2581
 in the text itself is written by byte pieces, so every text decodes to itself.
@@ -20,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,15 @@ from . import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_CACHED = 150_000
+_CACHED = 500_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Codec:
     """Encoder and decoder of one vocabulary; `rate` is the chance that a candidate merge is skipped."""
 
-    def __init__(self, model: bytes, rate: float = 0.1, seed: int = 0, variants: int = 2) -> None:
+    def __init__(self, model: bytes, rate: float = 0.1, seed: int = 0) -> None:
         from sentencepiece import SentencePieceProcessor
 
         own = SentencePieceProcessor(model_proto=model)
@@ -73,40 +78,87 @@ class Codec:
             self.units = re.compile(r".+", re.S)
         else:
             self.units = re.compile("[\n]|" + f"{MARK}*[^{MARK}\n]+|{MARK}+" if "\n" not in longer else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.limit = int(rate * (1 << 32))
-        self.seed, self.variants = seed, max(1, variants)
-        #: Two generations for each variant: when the young one is full it becomes the old one, so that common units stay.
+        self.rate, self.seed = rate, seed
+        #: A draw of 53 bits lets as many candidates pass as there are bounds not above it; past the last one the next draw goes on.
+        self.bounds = np.array([int((1 - (1 - rate) ** k) * (1 << 53)) for k in range(1, self._far(rate) + 1)], np.uint64)
         self.literal = np.array([self.byte[b] for b in MARK.encode()], "<i4").tobytes()
-        self.caches: list[list[dict[str | None, bytes]]] = [[{None: self.literal}, {}] for _ in range(self.variants)]
-
-    def variant(self, doc_id: object) -> int:
-        return xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}".encode()) % self.variants
-
-    def _skipped(self, key: int, place: int, rank: int) -> bool:
-        """Whether the candidate merge that begins at character `place` is skipped."""
-        x = ((key ^ (place * 0x9E3779B1)) + rank * 0x85EBCA6B) & 0xFFFFFFFF
-        x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-        return ((x ^ (x >> 12)) * 0x297A2D39) & 0xFFFFFFFF < self.limit
-
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh32_intdigest(f"{self.seed}:{variant}:{unit}".encode()) if self.limit else 0
-
-    def segment(self, unit: str, variant: int = 0) -> list[str]:
-        """The pieces of one unit, by agenda; unknown characters stay as they are."""
-        return self._long(unit, self._key(unit, variant))
-
-    def segment_many(self, units: list[str], variant: int) -> dict[str | None, bytes]:
-        """Piece numbers of each unit, as little-endian 32-bit. Units of one length are segmented together: a row of the agenda has a unit's candidates by place."""
-        by_length: dict[int, list[str]] = {}
-        out: dict[str | None, bytes] = {}
-        for unit in units:
-            if 1 < len(unit) <= 40:
-                by_length.setdefault(len(unit), []).append(unit)
-            else:
-                out[unit] = self._ids(self.segment(unit, variant))
+        self._clear()
+
+    @staticmethod
+    def _far(rate: float) -> int:
+        return next((k for k in range(1, 4096) if (1 - rate) ** k < 2**-54), 4096)
+
+    def _clear(self) -> None:
+        """The cache is a tree for each unit: a node is a set of skipped steps of its agenda, with the pieces and the number of steps. Node 0 stands for units that are too long, or met for the first time."""
+        self.nodes: dict[str | None, int] = {None: 1}
+        self.children: dict[int, int] = {}
+        self.seen: set[str] = set()
+        self.paths: list[tuple[str | None, tuple[int, ...]]] = [("", ()), (None, ())]
+        self.ids: list[bytes] = [b"", self.literal]
+        self.steps = np.zeros(1024, np.int64)
+
+    def _keys(self, doc_id: object, n: int) -> np.ndarray:
+        """Keys of the n units of a document."""
+        own = np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}".encode()))
+        return c.mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD + own)
+
+    def _gaps(self, keys: np.ndarray, draws: np.ndarray | int) -> np.ndarray:
+        """How many candidates pass before the next one that is skipped, for a key's draw of that number."""
+        u = c.mix(keys + (np.asarray(draws, np.uint64) + np.ones(1, np.uint64)) * _STEP) >> np.uint64(11)
+        return np.searchsorted(self.bounds, u, side="right")
+
+    def _skips(self, key: int) -> Iterator[int]:
+        """The steps that are skipped in the agenda of one occurrence, in order."""
+        at = draw = 0
+        while self.rate > 0:
+            for gap in self._gaps(np.full(16, key, np.uint64), np.arange(draw, draw + 16)).tolist():
+                at += gap
+                if gap < len(self.bounds):
+                    yield at
+                    at += 1
+            draw += 16
+
+    def _all_skips(self, keys: np.ndarray, units: list[str]) -> list[tuple[int, ...]]:
+        """The skipped steps of each unit's occurrence; a unit has less than three steps for each character."""
+        most = 3 * np.array([len(u) for u in units], np.int64)
+        out: list[tuple[int, ...]] = [()] * len(units)
+        live, draw = np.arange(len(units)), 0
+        step = np.full(len(units), -1)
+        while self.rate > 0 and len(live):
+            step = step + 1 + self._gaps(keys[live], draw)
+            on = step < most[live]
+            live, step, draw = live[on], step[on], draw + 1
+            for i, x in zip(live.tolist(), step.tolist(), strict=True):
+                out[i] += (x,)
+        return out
+
+    def segment(self, unit: str, key: int = 0) -> list[str]:
+        """The pieces of one occurrence of a unit, by agenda; unknown characters stay as they are."""
+        return self._long(unit, self._skips(key))[0]
+
+    def segment_many(self, units: list[str], key: int) -> dict[str | None, bytes]:
+        """Piece numbers of each unit, as little-endian 32-bit, all with the draws of one key."""
+        skips = tuple(takewhile(lambda x: x < 256, self._skips(key)))
+        long = {u: self._ids(self.segment(u, key)) for u in units if len(u) > 40}
+        rest = [u for u in units if u not in long]
+        return long | {u: ids for u, (ids, _) in zip(rest, self._given(rest, [skips] * len(rest)), strict=True)}
+
+    def _given(self, units: list[str], skips: list[tuple[int, ...]]) -> list[tuple[bytes, int]]:
+        """Piece numbers, and steps of the agenda, of units of up to 40 characters with those steps skipped. Units of one length are segmented together: a row of the agenda has a unit's candidates by place."""
+        by_length: dict[int, list[int]] = {}
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(units)
+        for i, unit in enumerate(units):
+            by_length.setdefault(len(unit), []).append(i)
         for n, same in by_length.items():
             for i in range(0, len(same), 20_000):
-                out.update(self._rows(same[i : i + 20_000], n, variant))
+                some = same[i : i + 20_000]
+                if len(some) < 60:
+                    for j in some:
+                        own, steps = self._long(units[j], iter(skips[j]))
+                        out[j] = self._ids(own), steps
+                    continue
+                for j, row in zip(some, self._rows([units[j] for j in some], n, [skips[j] for j in some]), strict=True):
+                    out[j] = row
         return out
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -116,39 +168,45 @@ class Codec:
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.rank)).astype(np.int32)
 
-    def _rows(self, units: list[str], n: int, variant: int) -> dict[str | None, bytes]:
+    def _rows(self, units: list[str], n: int, skips: list[tuple[int, ...]]) -> list[tuple[bytes, int]]:
         pieces = self.letters[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")].reshape(-1, n)
-        if len(strange := np.flatnonzero((pieces < 0).any(axis=1))):
-            other = {units[i]: self._ids(self.segment(units[i], variant)) for i in strange.tolist()}
-            rest = [u for u in units if u not in other]
-            return other | (self._rows(rest, n, variant) if rest else {})
+        strange = (pieces < 0).any(axis=1)
+        if n == 1 or strange.any():
+            other = np.flatnonzero(strange | (n == 1)).tolist()
+            out: list[tuple[bytes, int]] = [(b"", 0)] * len(units)
+            for i in other:
+                own, steps = self._long(units[i], iter(skips[i]))
+                out[i] = self._ids(own), steps
+            rest = np.flatnonzero(~(strange | (n == 1))).tolist()
+            for i, row in zip(rest, self._rows([units[i] for i in rest], n, [skips[i] for i in rest]) if rest else [], strict=True):
+                out[i] = row
+            return out
         never = len(self.rank)
         done = np.zeros((len(units), n), np.int32)
         count = np.zeros(len(units), np.int64)
         rows = np.arange(len(units))
-        places = np.tile(np.arange(n, dtype=np.uint32), (len(units), 1))
-        prefix = f"{self.seed}:{variant}:".encode()
-        key = np.array([xxhash.xxh32_intdigest(prefix + u.encode()) for u in units] if self.limit else [0] * len(units), np.uint32)
+        most = max(map(len, skips))
+        skipped = np.array([x + (-1,) * (most - len(x)) for x in skips], np.int32).reshape(len(units), most)
+        step, steps = -1, np.zeros(len(units), np.int64)
         left = np.full(len(units), n)
         agenda = np.full((len(units), n), never, np.int32)
         agenda[:, :-1] = self._merged(pieces[:, :-1], pieces[:, 1:])
         columns = np.arange(n)
         while len(rows):
+            step += 1
             at = agenda.argmin(axis=1)
             every = np.arange(len(rows))
             best = agenda[every, at]
             over = best == never
             if over.any():
-                done[rows[over]], count[rows[over]] = pieces[over], left[over]
+                done[rows[over]], count[rows[over]], steps[rows[over]] = pieces[over], left[over], step
                 live = ~over
-                rows, pieces, places, key, left, agenda, at, best = rows[live], pieces[live], places[live], key[live], left[live], agenda[live], at[live], best[live]
+                rows, pieces, skipped, left, agenda, at, best = rows[live], pieces[live], skipped[live], left[live], agenda[live], at[live], best[live]
                 every = np.arange(len(rows))
                 if not len(rows):
                     break
-            if self.limit:
-                x = (key ^ (places[every, at] * np.uint32(0x9E3779B1))) + best.astype(np.uint32) * np.uint32(0x85EBCA6B)
-                x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                skip = ((x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)) < self.limit
+            if most:
+                skip = (skipped == step).any(axis=1)
                 agenda[every[skip], at[skip]] = never
                 m, at, best = every[~skip], at[~skip], best[~skip]
             else:
@@ -157,7 +215,6 @@ class Codec:
                 continue
             source = np.minimum(columns + (columns > at[:, None]), n - 1)
             new = np.take_along_axis(pieces[m], source, 1)
-            place = np.take_along_axis(places[m], source, 1)
             order = np.take_along_axis(agenda[m], np.minimum(columns + (columns >= at[:, None]), n - 1), 1)
             order[:, -1] = never
             left[m] -= 1
@@ -167,22 +224,27 @@ class Codec:
             order[k[has], at[has]] = self._merged(new[k[has], at[has]], new[k[has], at[has] + 1])
             has = at > 0
             order[k[has], at[has] - 1] = self._merged(new[k[has], at[has] - 1], new[k[has], at[has]])
-            pieces[m], places[m], agenda[m] = new, place, order
+            pieces[m], agenda[m] = new, order
         flat, starts = self.numbers[done].tobytes(), range(0, 4 * n * len(units), 4 * n)
-        return {u: flat[i : i + c] for u, i, c in zip(units, starts, (4 * count).tolist(), strict=True)}
+        return [(flat[i : i + c], k) for i, c, k in zip(starts, (4 * count).tolist(), steps.tolist(), strict=True)]
 
-    def _long(self, unit: str, key: int) -> list[str]:
-        """The same with a heap, in time of n log n."""
+    def _long(self, unit: str, skips: Iterator[int]) -> tuple[list[str], int]:
+        """The same with a heap, in time of n log n: pieces and number of steps."""
         rank = self.rank
         at: list[str | None] = list(unit)
         n = len(at)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(rank[p], i, p) for i in range(n - 1) if (p := unit[i : i + 2]) in rank]
         heapify(agenda)
+        step, skip = -1, next(skips, -1)
         while agenda:
-            best, i, piece = heappop(agenda)
+            _, i, piece = heappop(agenda)
             left = at[i]
-            if left is None or (j := after[i]) >= n or left + at[j] != piece or self.limit and self._skipped(key, i, best):
+            if left is None or (j := after[i]) >= n or left + at[j] != piece:
+                continue
+            step += 1
+            if step == skip:
+                skip = next(skips, -1)
                 continue
             at[i], at[j] = piece, None
             after[i] = k = after[j]
@@ -193,7 +255,7 @@ class Codec:
             h = before[i]
             if h >= 0 and (p := at[h] + piece) in rank:
                 heappush(agenda, (rank[p], h, p))
-        return [p for p in at if p is not None]
+        return [p for p in at if p is not None], step + 1
 
     def _ids(self, pieces: list[str]) -> bytes:
         out: list[int] = []
@@ -216,44 +278,64 @@ class Codec:
             out.extend(self.units.findall(marked if n else MARK + marked))
         return out
 
-    def encode_many(self, texts: list[str | None], variant: int = 0) -> list[bytes | None]:
+    def _grow(self, paths: list[tuple[str, tuple[int, ...]]]) -> range:
+        """Numbers of new nodes."""
+        first = len(self.ids)
+        while first + len(paths) > len(self.steps):
+            self.steps = np.concatenate((self.steps, np.zeros_like(self.steps)))
+        for ids, steps in self._given([u for u, _ in paths], [x for _, x in paths]):
+            self.steps[len(self.ids)] = steps
+            self.ids.append(ids)
+        self.paths.extend(paths)
+        return range(first, len(self.ids))
+
+    def encode_many(self, doc_ids: list, texts: list[str | None]) -> list[bytes | None]:
         """Piece numbers of each text, as little-endian 32-bit."""
-        split = [None if t is None else self._units(t) for t in texts]
-        young, old = self.caches[variant]
-        missing = set().union(*(x for x in split if x)).difference(young)
-        kept = {u: old[u] for u in missing if u in old}
-        young.update(kept)
-        fresh = self.segment_many([u for u in missing if u not in kept], variant)
-        young.update(fresh)
-        rows = [None if units is None else b"".join(map(young.__getitem__, units)) for units in split]
-        for unit in fresh:
-            if len(unit) > 64:
-                del young[unit]
-        if len(young) > _CACHED // self.variants:
-            self.caches[variant] = [{None: self.literal}, young]
-        return rows
-
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        return np.frombuffer(self.encode_many([text], variant)[0], "<i4").tolist()
-
-    def encode_rows(self, ids: list, texts: list[str | None]) -> list[bytes | None]:
-        """encode_many for each text in the variant that its id has."""
-        variants = [self.variant(i) for i in ids]
-        rows: list[bytes | None] = [None] * len(texts)
-        for v in range(self.variants):
-            own = [i for i, x in enumerate(variants) if x == v]
-            for i, row in zip(own, self.encode_many([texts[i] for i in own], v), strict=True):
-                rows[i] = row
-        return rows
+        if len(self.ids) + len(self.seen) > _CACHED:
+            self._clear()
+        split = [[] if t is None else self._units(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        missing = Counter(u for u in flat if u not in self.nodes and len(u) <= 40)
+        fresh = [u for u, n in missing.items() if n > 1 or u in self.seen]
+        self.seen.update(missing)
+        self.seen.difference_update(fresh)
+        self.nodes.update(zip(fresh, self._grow([(u, ()) for u in fresh]), strict=True))
+        node = np.fromiter(map(self.nodes.get, flat, repeat(0)), np.int64, len(flat))
+        keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(i, len(x)) for i, x in zip(doc_ids, split, strict=True))])
+        live, draw = np.arange(len(flat)), 0
+        step = np.full(len(flat), -1)
+        while self.rate > 0 and len(live):
+            step = step + 1 + self._gaps(keys[live], draw)
+            on = step < self.steps[node[live]]
+            live, step, draw = live[on], step[on], draw + 1
+            edges = (node[live] << 8 | step).tolist()
+            if new := list(set(edges).difference(self.children)):
+                paths = [(self.paths[e >> 8][0], (*self.paths[e >> 8][1], e & 255)) for e in new]
+                self.children.update(zip(new, self._grow(paths), strict=True))
+            node[live] = np.fromiter(map(self.children.__getitem__, edges), np.int64, len(live))
+        parts = list(map(self.ids.__getitem__, node.tolist()))
+        alone = np.flatnonzero(node == 0)
+        short = np.array([len(flat[i]) <= 40 for i in alone.tolist()], bool)
+        for i in alone[~short].tolist():
+            parts[i] = self._ids(self.segment(flat[i], int(keys[i])))
+        alone = alone[short]
+        units = [flat[i] for i in alone.tolist()]
+        for i, (ids, _) in zip(alone.tolist(), self._given(units, self._all_skips(keys[alone], units)), strict=True):
+            parts[i] = ids
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [None if t is None else b"".join(parts[i:j]) for t, i, j in zip(texts, ends, ends[1:], strict=False)]
+
+    def encode(self, text: str, doc_id: object = 0) -> list[int]:
+        return np.frombuffer(self.encode_many([doc_id], [text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
 @lru_cache(maxsize=2)
-def _codec(model: bytes, rate: float, seed: int, variants: int) -> Codec:
+def _codec(model: bytes, rate: float, seed: int) -> Codec:
     """One codec for each worker process, so that its cache serves all its tasks."""
-    return Codec(model, rate, seed, variants)
+    return Codec(model, rate, seed)
 
 
 def _model(spark: SparkSession, path: str) -> Broadcast:
@@ -261,15 +343,15 @@ def _model(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = 0.1, seed: int = 0, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = 0.1, seed: int = 0) -> DataFrame:
     """(doc_id, pieces array<int>) of every row."""
     data = _model(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, rate, seed, variants)
+        codec = _codec(data.value, rate, seed)
         for batch in batches:
             for part in _parts(batch):
-                rows = codec.encode_rows(part.column(0).to_pylist(), part.column(1).to_pylist())
+                rows = codec.encode_many(part.column(0).to_pylist(), part.column(1).to_pylist())
                 offsets = pa.array(np.cumsum([0, *(len(r or b"") // 4 for r in rows)]), pa.int32())
                 pieces = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(r or b"" for r in rows), "<i4")), mask=pa.array([r is None for r in rows]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pieces], ["doc_id", "pieces"])
@@ -282,7 +364,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     data = _model(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, 0.0, 0, 1)
+        codec = _codec(data.value, 0.0, 0)
         for batch in batches:
             for part in _parts(batch):
                 rows = [None if p is None else codec.decode(p) for p in part.column(1).to_pylist()]
@@ -291,21 +373,21 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return c.small_batches(encoded).select("doc_id", "pieces").mapInArrow(run, "doc_id bigint, text string")
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 
 
-def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = 0.1, seed: int = 0, variants: int = 2) -> DataFrame:
+def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = 0.1, seed: int = 0) -> DataFrame:
     """(doc_id, n_pieces, pieces_sha256, lossless): digest of the pieces (little-endian 32-bit), and whether they decode to the text."""
     data = _model(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, rate, seed, variants)
+        codec = _codec(data.value, rate, seed)
         for batch in batches:
             for part in _parts(batch):
                 texts = part.column(1).to_pylist()
-                pieces = codec.encode_rows(part.column(0).to_pylist(), texts)
+                pieces = codec.encode_many(part.column(0).to_pylist(), texts)
                 n = [len(p or b"") // 4 for p in pieces]
                 digests = [hashlib.sha256(p or b"").hexdigest() for p in pieces]
                 same = [codec.decode(np.frombuffer(p or b"", "<i4").tolist()) == (t or "") for p, t in zip(pieces, texts, strict=True)]

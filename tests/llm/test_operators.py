@@ -288,6 +288,22 @@ def test_dropout_is_lossless_seeded_and_varied(model):
         assert one.segment_many([unit], 0)[unit] == one._ids(one.segment(unit, 0))
 
 
+def test_dropout_is_drawn_for_each_occurrence(model):
+    codec = sentencepiece_codec.Codec(model, 0.1)
+    text = " ".join(["international"] * 400)
+    units = codec._units(text)
+    got = {i: codec.encode_many([i], [text])[0] for i in range(40)}
+    assert len(set(got.values())) == 40
+    for i, ids in got.items():
+        each = [codec._ids(codec.segment(u, int(k))) for u, k in zip(units, codec._keys(i, len(units)), strict=True)]
+        assert b"".join(each) == ids and len(set(each)) > 5
+    first = [next(codec._skips(int(k))) for k in codec._keys("x", 4000)]
+    assert all(abs(sum(x >= n for x in first) / 4000 - 0.9**n) < 0.03 for n in (1, 5, 13))
+    for t in (*TEXTS, text * 3):
+        each = [codec.literal if u is None else codec._ids(codec.segment(u, int(k))) for u, k in zip(codec._units(t), codec._keys(7, len(codec._units(t))), strict=True)]
+        assert b"".join(each) == codec.encode_many([7], [t])[0] and codec.decode(codec.encode(t, 7)) == t
+
+
 def test_frames_encode_and_decode(spark, odd):
     back = rows(sentencepiece_codec.decode(sentencepiece_codec.encode(odd)), "doc_id")
     assert {r.doc_id: r.text for r in odd.collect()} == {k: r.text for k, r in back.items()}
