@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A table of at most this many rows of a few bytes each may be broadcast; a larger one is shuffled.
+#: A benchmark is broadcast in blocks of at most this many shingles.
 BROADCAST_ROWS = 200_000
+#: A table of at most this many bytes, by its counted rows, may be broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
-    """Equi-join that broadcasts `small` only if it was counted to have at most BROADCAST_ROWS rows."""
+    """Equi-join that broadcasts `small`, a table of numbers, only if its counted rows have at most BROADCAST_BYTES."""
     n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("merge"), on, how)
+    return big.join(F.broadcast(small) if n * (16 + 8 * len(small.columns)) <= BROADCAST_BYTES else small.hint("merge"), on, how)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -155,15 +157,16 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 #: Rows of an Arrow batch, unless the session sets another number than Spark's own: texts are long, and workers share an executor's memory.
-BATCH_ROWS = "1000"
-_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
+_BATCHES, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, for which Arrow batches have at most BATCH_ROWS rows."""
+    """`df`, for which Arrow batches have at most BATCH_ROWS rows and BATCH_BYTES bytes."""
     conf = df.sparkSession.conf
     if conf.get(_BATCHES) == "10000":
         conf.set(_BATCHES, BATCH_ROWS)
+        conf.set(_BYTES, BATCH_BYTES)
     return df
 
 

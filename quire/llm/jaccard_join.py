@@ -16,19 +16,27 @@ counts as short. A pair is found from its smaller set, whose short lists are few
    nearest to what they have in common, and links nearly all.
 3. Members of k common lists that aren't yet linked with one and the same class are searched against
    each other, unless the parities of their shingles in 256 buckets already differ in more places than the
-   two sets may have shingles of their own.
+   two sets may have shingles of their own. Lists that are very long by the summary are dealt out over
+   several tasks, each part with a pivot of its own.
    No pair that could link is left out; two classes that link with the same one need no further link.
-4. A search takes one class and its candidates (in blocks), merges their short inverted lists with a
-   heap, and probes the long ones by binary search.
-
-Null or empty texts have an empty set and link with nothing. Ids need not be unique: rows with one
-id form one node. Extra columns are left out. An empty table gives an empty result. Sets are
-compared by 64-bit hashes of shingles, classes by a 64-bit hash of the set and its size.
+4. A search takes one class and its candidates (in blocks), puts the inverted lists of its shingles
+   over them, merges the short lists with a heap, and looks each document that they give up in the long
+   ones by binary search, until the overlap is reached or out of reach.
+
+`near_duplicates` gives classes and components, `links` every link between two classes: in a group of
+near copies these grow with its square, which components don't need.
+
+Null or empty texts have an empty set and link with nothing. Each row is judged by its own text, so
+rows that repeat an id with other texts can be in different components; `representatives` keeps the
+rows of an id only if each is the least of its component. Extra columns are left out. An empty table
+gives an empty result. Sets are compared by 64-bit hashes of shingles, classes by a 64-bit hash of
+the set and its size.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
@@ -46,8 +54,11 @@ from .graph import components, hubs
 LONG_LISTS = 1 << 20
 OCCUR = 3
 _BLOCK = 256
-#: Shingles that a task sorts at once for its report.
-_HELD = 4_000_000
+#: Shingles that a task sorts at once for its report, and entries that it hands on at once: 8 and 7 MB.
+_HELD = 1_000_000
+_FLUSH = 250_000
+#: A list of more entries than this, by the summary, is dealt out over several tasks.
+_LIST = 100_000
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -103,13 +114,14 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     found = []
     for i, same in groupby(heapq.merge(*(lists[t] for t in short))):
         count = sum(1 for _ in same)
-        if count < least - len(long):
-            continue
-        wanted = overlap(len(query), len(sets[i]), percent)
-        probes = query[long]
-        at = np.searchsorted(sets[i], probes)
-        at[at == len(sets[i])] = 0
-        if count + int((sets[i][at] == probes).sum()) >= wanted:
+        wanted, left = overlap(len(query), len(sets[i]), percent), len(long)
+        for t in long:
+            if count >= wanted or count + left < wanted:
+                break
+            left -= 1
+            where = bisect_left(lists[t], i)
+            count += where < len(lists[t]) and lists[t][where] == i
+        if count >= wanted:
             found.append(i)
     return found
 
@@ -120,7 +132,9 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
     names = ["kind", "a", "b", "c", *MARKS]
 
     def report(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        every = np.sort(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
+        every = np.concatenate(kept) if kept else np.empty(0, np.uint64)
+        kept.clear()
+        every.sort()
         if len(every) > 2:
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
             count = np.diff(np.append(edge, len(every)))
@@ -143,10 +157,11 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
                     seen.add(cls)
                     kept.append(tokens)
                     held += len(tokens)
+                if held > _HELD:
+                    yield from report(kept)
+                    seen.clear()
+                    held = 0
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *[pa.array(np.array(x)) for x in zip(*marks, strict=True)]], names)
-            if held > _HELD:
-                yield from report(kept)
-                kept, seen, held = [], set(), 0
         yield from report(kept)
 
     return c.small_batches(docs).mapInArrow(run, "kind int, a bigint, b bigint, c bigint, " + ", ".join(f"{m} bigint" for m in MARKS))
@@ -167,47 +182,63 @@ def _long_lists(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order]
 
 
-def _entries(docs: DataFrame, size: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, cls, n, at, own) for the rarest n - T + k shingles of each class; `at` is the place in the order by list length, `own` counts the shingles in no reported list."""
+def _entries(docs: DataFrame, size: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
+    """(token, salt, cls, n, at, own) for the rarest n - T + k shingles of each class.
+
+    `at` is the place in the order by list length, and `own` counts the shingles in no reported list.
+    `salt` is -1, but for lists of more than `most` entries by the summary: there it deals the classes
+    out over parts of about `most`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    names = ["token", "salt", "cls", "n", "at", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         long, length = shared.value
+        held: list[tuple] = []
+        count = 0
+
+        def pack() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.signed(columns[0])), *map(pa.array, columns[1:])], names)
+
         for batch in batches:
-            tokens, classes, sizes, places, alone = [], [], [], [], []
             for text in c.texts_of(batch.column(0)):
                 own = shingle_set(text, size)
                 n = rare = len(own)
                 if not n or (cls := _class_of(own)) in seen:
                     continue
+                if len(seen) > _FLUSH:
+                    seen.clear()
                 seen.add(cls)
                 first = n - need(n, percent) + occurrences(n, percent)
+                salt = np.full(first, -1, np.int32)
                 if len(long):
                     at = np.searchsorted(long, own)
                     at[at == len(long)] = 0
                     freq = np.where(long[at] == own, length[at], 0)
                     if freq.any():
-                        own, rare = own[np.argsort(freq, kind="stable")], int((freq == 0).sum())
-                tokens.append(own[:first])
-                classes.append(np.full(first, cls))
-                sizes.append(np.full(first, n, np.int32))
-                places.append(np.arange(first, dtype=np.int32))
-                alone.append(np.full(first, rare, np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.signed(np.concatenate(tokens))), *[pa.array(np.concatenate(x)) for x in (classes, sizes, places, alone)]], ["token", "cls", "n", "at", "own"]
-                )
+                        order = np.argsort(freq, kind="stable")
+                        own, rare, freq = own[order], int((freq == 0).sum()), freq[order][:first]
+                        salt = np.where(freq > most, cls % np.maximum(1, -(-freq // most)), -1).astype(np.int32)
+                held.append((own[:first], salt, np.full(first, cls), np.full(first, n, np.int32), np.arange(first, dtype=np.int32), np.full(first, rare, np.int32)))
+                count += first
+                if count > _FLUSH:
+                    yield pack()
+                    count = 0
+        if held:
+            yield pack()
 
-    return c.small_batches(docs).select("text").mapInArrow(run, "token bigint, cls bigint, n int, at int, own int")
+    return c.small_batches(docs).select("text").mapInArrow(run, "token bigint, salt int, cls bigint, n int, at int, own int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, tokens) of the classes in `wanted` (doc_id, cls), from the text of one document each."""
+    """(cls, tokens) of the classes in `wanted` (doc_id, cls), from the text of one document each; a row of that id with another set is left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, size).tobytes() for t in c.texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
+        sets = [(cls, own.tobytes()) for cls, t in zip(batch.column(0).to_pylist(), c.texts_of(batch.column(1)), strict=True) if _class_of(own := shingle_set(t, size)) == cls]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([t for _, t in sets], pa.binary())], ["cls", "tokens"])
 
     texts = c.join_small(docs, wanted.select("doc_id", "cls"), ["doc_id"], "inner").select("cls", "text")
     return c.materialise(c.map_rows(texts, run, "cls bigint, tokens binary"))
@@ -250,42 +281,83 @@ def _search(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, pe
     return asked.join(sets, asked["y"] == sets["cls"]).select("x", "block", "y", "tokens").groupBy("x", "block").applyInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the least id with the same set, component_id the least id that links reach."""
+def _lists(docs: DataFrame, survey: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """(token, salt, cls, n, at, inner, p) of the short inverted lists in which a pair can meet; p is the pivot of the list, or of its part."""
+    lists = _entries(docs, size, percent, _long_lists(survey), most).repartition("token", "salt").dropDuplicates(["token", "salt", "cls", "n"])
+    part = Window.partitionBy("token", "salt").orderBy("own", "n", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lists = lists.withColumn("inner", _inner(F.col("n"), F.col("at"), percent))
+    lists = lists.select("*", F.count("*").over(part).alias("m"), F.max("inner").over(part).alias("some"), F.first(F.struct("n", "cls", "at", "inner")).over(part).alias("p"))
+    return c.materialise(lists.filter("salt >= 0 or m > 1 and some").select("token", "salt", "cls", "n", "at", "inner", "p"))
+
+
+def _ordered(met: DataFrame, percent: int) -> DataFrame:
+    """(x, y, nx, ny, ax, ay) of (a, b), two sides of one list each, the smaller set first; pairs of sizes that can't link go."""
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a.inner") & (F.col("a.cls") != F.col("b.cls")) & (percent * F.col("b.n") <= 100 * F.col("a.n")))
+    return met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
+
+
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidates (x, y): each class with the pivot of its list, and the pivots of the parts of a list with the first of them."""
+    side = F.struct("n", "cls", "at", "inner")
+    pivots = lists.filter("salt >= 0").select("token", "p").distinct()
+    tops = pivots.groupBy("token").agg(F.min("p").alias("top"))
+    met = lists.select(side.alias("a"), F.col("p").alias("b")).union(pivots.join(tops, "token").select(F.col("p").alias("a"), F.col("top").alias("b")))
+    return c.materialise(_often(_ordered(met, percent), percent))
+
+
+def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (x, y) of different parts: the columns of `lists` and `part`, which no two classes that are to meet share.
+
+    The parts of a list are paired first, and then their members: members of one part are never paired.
+    """
+    left = c.materialise(lists.join(classes.select("cls", *MARKS), "cls"))
+    parts = left.groupBy("token", "part").agg(F.max("inner").alias("some"))
+    both = parts.alias("g").join(parts.alias("h"), (F.col("g.token") == F.col("h.token")) & (F.col("g.part") < F.col("h.part")) & (F.col("g.some") | F.col("h.some")))
+    both = both.select(F.col("g.token").alias("token"), F.col("g.part").alias("part"), F.col("h.part").alias("other"))
+    side = F.struct("n", "cls", "at", "inner", *MARKS)
+    a = left.select("token", "part", side.alias("a"))
+    b = left.select("token", F.col("part").alias("other"), side.alias("b"))
+    met = both.join(a, ["token", "part"]).join(b, ["token", "other"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    need = _need(F.col("a.n"), F.col("b.n"), percent)
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + OCCUR  # a later common shingle only counts beside an earlier one
+    apart = reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MARKS])
+    fits = met.filter((percent * F.col("b.n") <= 100 * F.col("a.n")) & (reach > need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need))
+    return _often(_ordered(fits, percent), percent)
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     survey = c.materialise(_survey(docs, size))
     members = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"), *MARKS)
     classes = members.filter("n_shingles > 0").groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("class_id"), *[F.first(m).alias(m) for m in MARKS])
-    members = members.drop(*MARKS)
-    lists = _entries(docs, size, percent, _long_lists(survey)).repartition("token").dropDuplicates(["token", "cls", "n"])
-    by_token = Window.partitionBy("token").orderBy("own", "n", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    side = F.struct("n", "cls", "at", "inner")
-    lists = lists.withColumn("inner", _inner(F.col("n"), F.col("at"), percent))
-    lists = lists.select("*", F.count("*").over(by_token).alias("m"), F.max("inner").over(by_token).alias("some"), F.first(side).over(by_token).alias("p"))
-    lists = c.materialise(lists.filter("m > 1 and some").select("token", "cls", "n", "at", "inner", "p"))
-    star = lists.filter(F.col("cls") != F.col("p.cls")).select(F.least(side, "p").alias("a"), F.greatest(side, "p").alias("b")).filter(F.col("a.inner") & (percent * F.col("b.n") <= 100 * F.col("a.n")))
-    pairs = star.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
-    pairs = c.materialise(_often(pairs, percent))
-    links = c.materialise(_search(docs, classes, pairs, size, percent))
-    part = hubs(links).withColumnsRenamed({"node": "cls", "hub": "part"})
-    left = lists.join(part, "cls", "left").select("token", "cls", "n", "at", "inner", F.coalesce("part", "cls").alias("part"))
-    mixed = left.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
-    left = c.materialise(left.join(mixed, "token", "left_semi").join(classes.select("cls", *MARKS), "cls"))
-    a, b = left.filter("inner").alias("a"), left.alias("b")
-    within = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") < F.col("b.cls")))
-    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + OCCUR  # a later common shingle only counts beside an earlier one
-    apart = reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MARKS])
-    fits = apart <= F.col("a.n") + F.col("b.n") - 2 * _need(F.col("a.n"), F.col("b.n"), percent)
-    rest = a.join(b, fits & (F.col("a.token") == F.col("b.token")) & within & (F.col("a.part") != F.col("b.part")) & (percent * F.col("b.n") <= 100 * F.col("a.n")) & (reach > _need(F.col("a.n"), F.col("b.n"), percent)))
-    rest = rest.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.col("a.at").alias("ax"), F.col("b.at").alias("ay"))
-    rest = _often(rest, percent).join(pairs, ["x", "y"], "left_anti")
-    rest = c.materialise(rest)
-    links = links if rest.isEmpty() else links.union(_search(docs, classes, rest, size, percent))
+    return docs, members.drop(*MARKS), classes, _lists(docs, survey, size, percent, most)
+
+
+def _named(links: DataFrame, classes: DataFrame) -> DataFrame:
     ids = classes.select("cls", "class_id")
-    named = links.join(ids.withColumnsRenamed({"cls": "u", "class_id": "a"}), "u").join(ids.withColumnsRenamed({"cls": "v", "class_id": "b"}), "v")
-    found = components(named.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "component": "reached"})
-    reached = classes.join(found, "class_id", "left").select("cls", "n_shingles", "class_id", F.coalesce("reached", "class_id").alias("component_id"))
-    full = members.join(reached, ["cls", "n_shingles"], "left")
+    return links.join(ids.withColumnsRenamed({"cls": "u", "class_id": "a"}), "u").join(ids.withColumnsRenamed({"cls": "v", "class_id": "b"}), "v").select("a", "b")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, most: int = _LIST) -> DataFrame:
+    """(a, b, a < b): every link between two classes, by their class ids; as many rows as there are links between different sets."""
+    docs, _, classes, lists = _prepared(docs, id_col, text_col, size, percent, most)
+    pairs = c.materialise(_across(lists.withColumn("part", F.col("cls")), classes, percent))
+    return _named(_search(docs, classes, pairs, size, percent), classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, most: int = _LIST) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the least id with the same set, component_id the least id that links reach."""
+    docs, members, classes, lists = _prepared(docs, id_col, text_col, size, percent, most)
+    pairs = _stars(lists, percent)
+    found = c.materialise(_search(docs, classes, pairs, size, percent))
+    part = hubs(found).withColumnsRenamed({"node": "cls", "hub": "part"})
+    left = lists.join(part, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    mixed = left.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
+    rest = c.materialise(_across(left.join(mixed, "token", "left_semi"), classes, percent).join(pairs, ["x", "y"], "left_anti"))
+    found = found if rest.isEmpty() else found.union(_search(docs, classes, rest, size, percent))
+    reached = components(_named(found, classes).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "component": "reached"})
+    by_class = classes.join(reached, "class_id", "left").select("cls", "n_shingles", "class_id", F.coalesce("reached", "class_id").alias("component_id"))
+    full = members.join(by_class, ["cls", "n_shingles"], "left")
     return full.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

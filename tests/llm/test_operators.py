@@ -89,6 +89,25 @@ def test_components_match_brute_force(spark, size, percent):
     assert got == brute_components(docs, size, percent)
 
 
+def test_dealt_out_lists_and_all_links_match_brute_force(spark):
+    base = prose(3, 60).split()
+    docs = [(i, " ".join([*base[:i], f"e{i}", *base[i + 1 :]])) for i in range(60)] + [(100 + i, " ".join([*base[: 30 + i % 3], f"x{i}", *prose(50 + i, 20).split()])) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for size, percent in ((4, 85), (2, 60)):
+        want = brute_components(docs, size, percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, size=size, percent=percent, most=4).collect()} == want
+        sets = {i: {" ".join(w[j : j + size]) for j in range(len(w) - size + 1)} for i, t in docs for w in [t.lower().split()]}
+        pairs = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert pairs and {(r.a, r.b) for r in jaccard_join.links(df, size=size, percent=percent, most=4).collect()} == pairs
+
+
+def test_rows_that_repeat_an_id_are_judged_each_by_its_own_text(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    df = spark.createDataFrame([(5, b), (5, a), (7, a + " end"), (3, b)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(3, 57, 3), (5, 57, 3), (5, 57, 5), (7, 58, 5)]
+
+
 def test_divide_skip_matches_set_overlap():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(80)]
