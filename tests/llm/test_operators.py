@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,11 +33,63 @@ def test_leaks_find_exact_and_near_copies_and_leave_others(spark):
     items = spark.createDataFrame([(10, item), (11, "four words are short"), (12, None), (13, prose(9, 20))], "item_id bigint, text string")
     got = rows(decontamination.leaks(docs, items), "doc_id", "item_id")
     assert set(got) == {(1, 10), (2, 10)}
-    assert got[1, 10].similarity == 1.0 and got[2, 10].similarity == pytest.approx(33 / 39)
+    assert got[1, 10].similarity == 1.0 and got[2, 10].similarity == pytest.approx(33 / 36)  # the window that begins behind the changed word is cut off at the end
     assert [r.doc_id for r in decontamination.clean(docs, items).orderBy("doc_id").collect()] == [3, 4, 5, 6]
     assert decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items, threshold=0.8):
+    """All windows of the size of each item, by the multisets of their shingles."""
+
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    out = {}
+    for i, item in items:
+        s = shingles(item)
+        for d, text in docs:
+            h, n = shingles(text), len(s)
+            for start in range(1 - n, len(h)) if n and set(h) & set(s) else ():
+                win = h[max(start, 0) : max(start + n, 0)]
+                o = sum((Counter(win) & Counter(s)).values())
+                if o / (len(win) + n - o) >= threshold:
+                    best, count = out.get((d, i), (0.0, 0))
+                    out[d, i] = max(best, o / (len(win) + n - o)), count + 1
+    return out
+
+
+def test_leaks_are_those_of_all_windows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [(k, prose(300 + k, int(n))) for k, n in enumerate(rng.integers(18, 70, 12))] + [(50, "same words all over again " * 8), (51, prose(300, 20))]
+    docs = []
+    for k, item in items:
+        w = item.split()
+        half = len(w) // 2
+        docs.append((len(docs), f"{prose(k + 900, 30)} {' '.join(w[half:] + w[:half])} {prose(k + 950, 20)}"))  # halves swapped
+        docs.append((len(docs), f"{' '.join(w[:half])} put between {' '.join(w[half:])}"))
+        docs.append((len(docs), f"{prose(k + 700, 9)} {' '.join(w[: -max(1, len(w) // 8)])}"))  # cut at the document's end
+        docs.append((len(docs), " ".join("changed" if rng.random() < 0.02 else x for x in w) + " " + item))
+        docs.append((len(docs), " ".join(w + w + w)))
+    docs.append((0, prose(1, 40) + " " + items[3][1]))
+    df, own = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_leaks(docs, items)
+    for rows_at_once in (200_000, 90):
+        monkeypatch.setattr(decontamination.c, "BROADCAST_ROWS", rows_at_once)
+        got = {(r.doc_id, r.item_id): (r.similarity, r.n_windows) for r in decontamination.leaks(df, own).collect()}
+        assert got.keys() == want.keys() and len(want) > 40
+        assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+
+
+def test_fingerprints_are_majorities(spark):
+    rng = np.random.default_rng(3)
+    groups = {k: [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)] for k, n in enumerate((1, 2, 3, 40, 41, 700))}
+    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k int, x bigint")
+    for longest in (700, 1 << 20):
+        got = {r.k: r.mark & ((1 << 64) - 1) for r in decontamination.fingerprints(df, ["k"], longest).collect()}
+        assert got == {k: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs)) for k, xs in groups.items()}
+
+
 def test_index_blocks_guarantee_the_radius(spark):
     rng = np.random.default_rng(1)
     marks = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 20)]
