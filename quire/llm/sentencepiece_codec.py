@@ -7,8 +7,8 @@ from the left. Each candidate taken from the agenda is skipped with the chance o
 drawn by a keyed hash of (seed, document id, place of the unit in the text) for every occurrence of a
 unit by itself: the hash gives the number of candidates up to the next one that is skipped. So one
 seed always gives one segmentation and other seeds others. What is cached does not depend on the
-draw: the pieces of a unit if just such and such of its candidates are skipped. With a rate of 0 the
-pieces are the model's own.
+draw: the pieces of a unit if none of its candidates is skipped, and their number. All other
+occurrences of a batch run their agendas side by side. With a rate of 0 the pieces are the model's own.
 
 Decoding joins the pieces' bytes, turns U+2581 back to spaces and takes off the first one. A U+2581
 in the text itself is written by byte pieces, so every text decodes to itself.
@@ -25,7 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat, takewhile
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,9 @@ from . import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_CACHED = 500_000
+_CACHED = 300_000
+#: Units of up to so many characters run their agendas side by side, about so many of them at once.
+_SHORT, _ROWS = 40, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,8 +72,8 @@ class Codec:
             if len(p) == 1:
                 self.letters[ord(p)] = n
         self.numbers = np.array([self.number[p] for p in self.rank], np.int32)
-        pairs = sorted((self.rank[p[:k]] * len(self.rank) + self.rank[p[k:]], n) for p, n in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank)
-        self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int32)
+        pairs = [(self.rank[p[:k]] * len(self.rank) + self.rank[p[k:]], n) for p, n in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank]
+        self._index(np.array([k for k, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int32))
         # Units end before a space that follows something else, and beside characters that no longer piece has: no merge crosses there.
         longer = {x for p in self.rank if len(p) > 1 for x in p}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.rank):
@@ -88,24 +90,40 @@ class Codec:
     def _far(rate: float) -> int:
         return next((k for k in range(1, 4096) if (1 - rate) ** k < 2**-54), 4096)
 
+    def _index(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """Open addressing: the rank of the piece that a pair of ranks makes, by the pair's key."""
+        bits = max(10, len(keys).bit_length() + 2)
+        self.shift, mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key, self.slot_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, len(self.rank), np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_key[at[left]] < 0]
+            self.slot_key[at[free]] = keys[free]
+            left = left[self.slot_key[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & mask
+        self.slot_rank[at] = ranks
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _ODD >> self.shift).view(np.int64)
+
     def _clear(self) -> None:
-        """The cache is a tree for each unit: a node is a set of skipped steps of its agenda, with the pieces and the number of steps. Node 0 stands for units that are too long, or met for the first time."""
+        """Cached units by number, with their pieces and the steps of their agenda if none is skipped. Number 0 stands for units that are too long, or met for the first time; 1 for a U+2581 of the text."""
         self.nodes: dict[str | None, int] = {None: 1}
-        self.children: dict[int, int] = {}
         self.seen: set[str] = set()
-        self.paths: list[tuple[str | None, tuple[int, ...]]] = [("", ()), (None, ())]
         self.ids: list[bytes] = [b"", self.literal]
-        self.steps = np.zeros(1024, np.int64)
+        self.limits = np.zeros(1024, np.uint64)
 
     def _keys(self, doc_id: object, n: int) -> np.ndarray:
         """Keys of the n units of a document."""
         own = np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}".encode()))
         return c.mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD + own)
 
+    def _draws(self, keys: np.ndarray, draws: np.ndarray | int) -> np.ndarray:
+        return c.mix(keys + (np.asarray(draws, np.uint64) + np.ones(1, np.uint64)) * _STEP) >> np.uint64(11)
+
     def _gaps(self, keys: np.ndarray, draws: np.ndarray | int) -> np.ndarray:
         """How many candidates pass before the next one that is skipped, for a key's draw of that number."""
-        u = c.mix(keys + (np.asarray(draws, np.uint64) + np.ones(1, np.uint64)) * _STEP) >> np.uint64(11)
-        return np.searchsorted(self.bounds, u, side="right")
+        return np.searchsorted(self.bounds, self._draws(keys, draws), side="right")
 
     def _skips(self, key: int) -> Iterator[int]:
         """The steps that are skipped in the agenda of one occurrence, in order."""
@@ -118,115 +136,100 @@ class Codec:
                     at += 1
             draw += 16
 
-    def _all_skips(self, keys: np.ndarray, units: list[str]) -> list[tuple[int, ...]]:
-        """The skipped steps of each unit's occurrence; a unit has less than three steps for each character."""
-        most = 3 * np.array([len(u) for u in units], np.int64)
-        out: list[tuple[int, ...]] = [()] * len(units)
-        live, draw = np.arange(len(units)), 0
-        step = np.full(len(units), -1)
-        while self.rate > 0 and len(live):
-            step = step + 1 + self._gaps(keys[live], draw)
-            on = step < most[live]
-            live, step, draw = live[on], step[on], draw + 1
-            for i, x in zip(live.tolist(), step.tolist(), strict=True):
-                out[i] += (x,)
-        return out
-
     def segment(self, unit: str, key: int = 0) -> list[str]:
         """The pieces of one occurrence of a unit, by agenda; unknown characters stay as they are."""
         return self._long(unit, self._skips(key))[0]
 
-    def segment_many(self, units: list[str], key: int) -> dict[str | None, bytes]:
-        """Piece numbers of each unit, as little-endian 32-bit, all with the draws of one key."""
-        skips = tuple(takewhile(lambda x: x < 256, self._skips(key)))
-        long = {u: self._ids(self.segment(u, key)) for u in units if len(u) > 40}
-        rest = [u for u in units if u not in long]
-        return long | {u: ids for u, (ids, _) in zip(rest, self._given(rest, [skips] * len(rest)), strict=True)}
-
-    def _given(self, units: list[str], skips: list[tuple[int, ...]]) -> list[tuple[bytes, int]]:
-        """Piece numbers, and steps of the agenda, of units of up to 40 characters with those steps skipped. Units of one length are segmented together: a row of the agenda has a unit's candidates by place."""
-        by_length: dict[int, list[int]] = {}
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(units)
-        for i, unit in enumerate(units):
-            by_length.setdefault(len(unit), []).append(i)
-        for n, same in by_length.items():
-            for i in range(0, len(same), 20_000):
-                some = same[i : i + 20_000]
-                if len(some) < 60:
-                    for j in some:
-                        own, steps = self._long(units[j], iter(skips[j]))
-                        out[j] = self._ids(own), steps
-                    continue
-                for j, row in zip(some, self._rows([units[j] for j in some], n, [skips[j] for j in some]), strict=True):
-                    out[j] = row
-        return out
+    def segment_many(self, units: list[str], keys: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+        """Piece numbers of each occurrence of a unit with its key's draws (None: nothing is skipped), as little-endian 32-bit, and the steps of its agenda."""
+        out: list[bytes] = [b""] * len(units)
+        steps = np.zeros(len(units), np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(size, kind="stable")
+        edges = np.searchsorted(size[order], (5, 7, 9, 11, 13, 17, 25, _SHORT + 1)).tolist()
+        for begin, end in zip([0, *edges], edges, strict=False):
+            for i in range(begin, end, _ROWS):
+                some = order[i : min(end, i + _ROWS)]
+                self._rows([units[j] for j in some.tolist()], some, size[some], keys, out, steps)
+        for j in order[edges[-1] :].tolist():
+            self._one(units[j], j, keys, out, steps)
+        return out, steps
+
+    def _one(self, unit: str, j: int, keys: np.ndarray | None, out: list[bytes], steps: np.ndarray) -> None:
+        pieces, steps[j] = self._long(unit, iter(()) if keys is None else self._skips(int(keys[j])))
+        out[j] = self._ids(pieces)
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of the piece that two neighbours make, or `never`."""
-        key = left.astype(np.int64) * len(self.rank) + right
-        at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.rank)).astype(np.int32)
-
-    def _rows(self, units: list[str], n: int, skips: list[tuple[int, ...]]) -> list[tuple[bytes, int]]:
-        pieces = self.letters[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")].reshape(-1, n)
-        strange = (pieces < 0).any(axis=1)
-        if n == 1 or strange.any():
-            other = np.flatnonzero(strange | (n == 1)).tolist()
-            out: list[tuple[bytes, int]] = [(b"", 0)] * len(units)
-            for i in other:
-                own, steps = self._long(units[i], iter(skips[i]))
-                out[i] = self._ids(own), steps
-            rest = np.flatnonzero(~(strange | (n == 1))).tolist()
-            for i, row in zip(rest, self._rows([units[i] for i in rest], n, [skips[i] for i in rest]) if rest else [], strict=True):
-                out[i] = row
-            return out
-        never = len(self.rank)
-        done = np.zeros((len(units), n), np.int32)
-        count = np.zeros(len(units), np.int64)
-        rows = np.arange(len(units))
-        most = max(map(len, skips))
-        skipped = np.array([x + (-1,) * (most - len(x)) for x in skips], np.int32).reshape(len(units), most)
-        step, steps = -1, np.zeros(len(units), np.int64)
-        left = np.full(len(units), n)
-        agenda = np.full((len(units), n), never, np.int32)
-        agenda[:, :-1] = self._merged(pieces[:, :-1], pieces[:, 1:])
-        columns = np.arange(n)
+        """Rank of the piece that two neighbours make, or `never`; -1 is no neighbour."""
+        key = np.where((left < 0) | (right < 0), -2, left.astype(np.int64) * len(self.rank) + right)
+        at = self._slot(key)
+        held = self.slot_key[at]
+        out = np.where(held == key, self.slot_rank[at], len(self.rank)).astype(np.int32)
+        other = np.flatnonzero((held != key) & (held >= 0) & (key >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.slot_key) - 1)
+            held = self.slot_key[at[other]]
+            same = held == key[other]
+            out[other[same]] = self.slot_rank[at[other[same]]]
+            other = other[~same & (held >= 0)]
+        return out
+
+    def _rows(self, units: list[str], where: np.ndarray, size: np.ndarray, keys: np.ndarray | None, out: list[bytes], steps: np.ndarray) -> None:
+        """segment_many for units of about one length. Each has a row of places that point to the next and the last one; the place behind all rows is no place."""
+        n, never = int(size.max()), len(self.rank)
+        codes = np.array(units, f"<U{n}").view("<u4").reshape(-1, n)
+        inside = np.arange(n) < size[:, None]
+        pieces = np.where(inside, self.letters[codes], -1)
+        strange = ((pieces < 0) & inside).any(axis=1)
+        if strange.any():
+            for j in np.flatnonzero(strange).tolist():
+                self._one(units[j], int(where[j]), keys, out, steps)
+            rest = np.flatnonzero(~strange)
+            units, where, size, inside, pieces = [units[j] for j in rest.tolist()], where[rest], size[rest], inside[rest], pieces[rest]
+            if not units:
+                return
+        total = pieces.size
+        agenda = np.full(total + 1, never, np.int32)
+        grid = agenda[:-1].reshape(-1, n)
+        if n > 1:
+            grid[:, :-1] = self._merged(pieces[:, :-1].ravel(), pieces[:, 1:].ravel()).reshape(-1, n - 1)
+        pieces = np.append(pieces.ravel(), np.int32(-1))
+        alive = np.append(inside.ravel(), False)
+        index = np.arange(total + 1, dtype=np.int64)
+        after, before = index + 1, index - 1
+        ends = np.arange(len(units)) * n + size - 1
+        after[ends], before[:-1:n] = total, total
+        if keys is not None:
+            own = keys[where]
+            draw = np.zeros(len(units), np.int64)
+            skip = self._gaps(own, 0) if self.rate > 0 else np.full(len(units), -1)
+        rows, step = np.arange(len(units)), -1
         while len(rows):
             step += 1
-            at = agenda.argmin(axis=1)
-            every = np.arange(len(rows))
-            best = agenda[every, at]
-            over = best == never
-            if over.any():
-                done[rows[over]], count[rows[over]], steps[rows[over]] = pieces[over], left[over], step
-                live = ~over
-                rows, pieces, skipped, left, agenda, at, best = rows[live], pieces[live], skipped[live], left[live], agenda[live], at[live], best[live]
-                every = np.arange(len(rows))
-                if not len(rows):
-                    break
-            if most:
-                skip = (skipped == step).any(axis=1)
-                agenda[every[skip], at[skip]] = never
-                m, at, best = every[~skip], at[~skip], best[~skip]
-            else:
-                m = every
-            if not len(m):
-                continue
-            source = np.minimum(columns + (columns > at[:, None]), n - 1)
-            new = np.take_along_axis(pieces[m], source, 1)
-            order = np.take_along_axis(agenda[m], np.minimum(columns + (columns >= at[:, None]), n - 1), 1)
-            order[:, -1] = never
-            left[m] -= 1
-            k = np.arange(len(m))
-            new[k, at] = best
-            has = at < left[m] - 1
-            order[k[has], at[has]] = self._merged(new[k[has], at[has]], new[k[has], at[has] + 1])
-            has = at > 0
-            order[k[has], at[has] - 1] = self._merged(new[k[has], at[has] - 1], new[k[has], at[has]])
-            pieces[m], agenda[m] = new, order
-        flat, starts = self.numbers[done].tobytes(), range(0, 4 * n * len(units), 4 * n)
-        return [(flat[i : i + c], k) for i, c, k in zip(starts, (4 * count).tolist(), steps.tolist(), strict=True)]
+            at = grid[rows].argmin(axis=1) + rows * n
+            best = agenda[at]
+            live = best != never
+            if not live.all():
+                steps[where[rows[~live]]] = step
+                rows, at, best = rows[live], at[live], best[live]
+            if keys is not None:
+                skipped = skip[rows] == step
+                if skipped.any():
+                    some = rows[skipped]
+                    agenda[at[skipped]] = never
+                    draw[some] += 1
+                    skip[some] = step + 1 + self._gaps(own[some], draw[some])
+                    at, best = at[~skipped], best[~skipped]
+            right = after[at]
+            far, near = after[right], before[at]
+            pieces[at], alive[right], agenda[right] = best, False, never
+            after[at], before[far] = far, at
+            agenda[at] = self._merged(best, pieces[far])
+            agenda[near] = self._merged(pieces[near], best)
+        flat = self.numbers[pieces[alive]].tobytes()
+        cut = np.cumsum(np.append(0, 4 * alive[:-1].reshape(-1, n).sum(axis=1))).tolist()
+        for j, x, y in zip(where.tolist(), cut, cut[1:], strict=False):
+            out[j] = flat[x:y]
 
     def _long(self, unit: str, skips: Iterator[int]) -> tuple[list[str], int]:
         """The same with a heap, in time of n log n: pieces and number of steps."""
@@ -278,16 +281,15 @@ class Codec:
             out.extend(self.units.findall(marked if n else MARK + marked))
         return out
 
-    def _grow(self, paths: list[tuple[str, tuple[int, ...]]]) -> range:
-        """Numbers of new nodes."""
+    def _grow(self, units: list[str]) -> None:
+        """Caches units. The limit of a unit is what a draw has to reach so that no step of its agenda is skipped."""
         first = len(self.ids)
-        while first + len(paths) > len(self.steps):
-            self.steps = np.concatenate((self.steps, np.zeros_like(self.steps)))
-        for ids, steps in self._given([u for u, _ in paths], [x for _, x in paths]):
-            self.steps[len(self.ids)] = steps
-            self.ids.append(ids)
-        self.paths.extend(paths)
-        return range(first, len(self.ids))
+        ids, steps = self.segment_many(units, None)
+        self.ids.extend(ids)
+        while len(self.ids) > len(self.limits):
+            self.limits = np.concatenate((self.limits, np.zeros_like(self.limits)))
+        self.limits[first : len(self.ids)] = np.where(steps > 0, self.bounds[np.minimum(steps, len(self.bounds)) - 1], 0)
+        self.nodes.update(zip(units, range(first, len(self.ids)), strict=True))
 
     def encode_many(self, doc_ids: list, texts: list[str | None]) -> list[bytes | None]:
         """Piece numbers of each text, as little-endian 32-bit."""
@@ -295,32 +297,22 @@ class Codec:
             self._clear()
         split = [[] if t is None else self._units(t) for t in texts]
         flat = list(chain.from_iterable(split))
-        missing = Counter(u for u in flat if u not in self.nodes and len(u) <= 40)
-        fresh = [u for u, n in missing.items() if n > 1 or u in self.seen]
-        self.seen.update(missing)
-        self.seen.difference_update(fresh)
-        self.nodes.update(zip(fresh, self._grow([(u, ()) for u in fresh]), strict=True))
         node = np.fromiter(map(self.nodes.get, flat, repeat(0)), np.int64, len(flat))
+        missing = Counter([flat[i] for i in np.flatnonzero(node == 0).tolist()])
+        fresh = [u for u, n in missing.items() if (n > 1 or u in self.seen) and len(u) <= _SHORT]
+        self._grow(fresh)
+        self.seen.update(u for u in missing if len(u) <= _SHORT)
+        self.seen.difference_update(fresh)
+        if fresh:
+            alone = np.flatnonzero(node == 0)
+            node[alone] = np.fromiter(map(self.nodes.get, [flat[i] for i in alone.tolist()], repeat(0)), np.int64, len(alone))
         keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(i, len(x)) for i, x in zip(doc_ids, split, strict=True))])
-        live, draw = np.arange(len(flat)), 0
-        step = np.full(len(flat), -1)
-        while self.rate > 0 and len(live):
-            step = step + 1 + self._gaps(keys[live], draw)
-            on = step < self.steps[node[live]]
-            live, step, draw = live[on], step[on], draw + 1
-            edges = (node[live] << 8 | step).tolist()
-            if new := list(set(edges).difference(self.children)):
-                paths = [(self.paths[e >> 8][0], (*self.paths[e >> 8][1], e & 255)) for e in new]
-                self.children.update(zip(new, self._grow(paths), strict=True))
-            node[live] = np.fromiter(map(self.children.__getitem__, edges), np.int64, len(live))
         parts = list(map(self.ids.__getitem__, node.tolist()))
-        alone = np.flatnonzero(node == 0)
-        short = np.array([len(flat[i]) <= 40 for i in alone.tolist()], bool)
-        for i in alone[~short].tolist():
-            parts[i] = self._ids(self.segment(flat[i], int(keys[i])))
-        alone = alone[short]
-        units = [flat[i] for i in alone.tolist()]
-        for i, (ids, _) in zip(alone.tolist(), self._given(units, self._all_skips(keys[alone], units)), strict=True):
+        drawn = node == 0
+        if self.rate > 0:
+            drawn |= self._draws(keys, 0) < self.limits[node]
+        drawn = np.flatnonzero(drawn)
+        for i, ids in zip(drawn.tolist(), self.segment_many([flat[i] for i in drawn.tolist()], keys[drawn])[0], strict=True):
             parts[i] = ids
         ends = np.cumsum([0, *map(len, split)]).tolist()
         return [None if t is None else b"".join(parts[i:j]) for t, i, j in zip(texts, ends, ends[1:], strict=False)]

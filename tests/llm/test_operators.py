@@ -390,8 +390,34 @@ def test_dropout_is_lossless_seeded_and_varied(model):
     for t in TEXTS:
         assert one.decode(one.encode(t)) == t and one.encode(t) == again.encode(t)
     assert one.encode(TEXTS[-1]) != two.encode(TEXTS[-1])
-    for unit in (u for u in one._units(TEXTS[-1]) if u):
-        assert one.segment_many([unit], 0)[unit] == one._ids(one.segment(unit, 0))
+    units = [u for t in TEXTS for u in one._units(t) if u] * 3
+    keys = np.arange(len(units), dtype=np.uint64)
+    assert one.segment_many(units, keys)[0] == [one._ids(one.segment(u, int(k))) for u, k in zip(units, keys, strict=True)]
+
+
+def plain_dropout(codec, unit, key):
+    """Merge dropout straight from its description: at each step the best candidate that is left, from the left among equals, is merged or skipped."""
+    parts, dropped, step, skips = list(unit), set(), -1, codec._skips(key)
+    skip = next(skips, -1)
+    while True:
+        best = min(((codec.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in codec.rank and (sum(map(len, parts[:i])), a, b) not in dropped), default=None)
+        if best is None:
+            return parts
+        step, i = step + 1, best[1]
+        if step == skip:
+            dropped.add((sum(map(len, parts[:i])), parts[i], parts[i + 1]))
+            skip = next(skips, -1)
+        else:
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_dropout_is_that_of_the_plain_agenda(model):
+    codec = sentencepiece_codec.Codec(model, 0.25, 4)
+    units = [u for t in (prose(5, 60), "Internationalisierung Übergrößenträger ñandú naïveté", TEXTS[2], TEXTS[5]) for u in codec._units(t) if u] * 2
+    keys = codec._keys(3, len(units))
+    got = codec.segment_many(units, keys)[0]
+    assert got == [codec._ids(plain_dropout(codec, u, int(k))) for u, k in zip(units, keys, strict=True)]
+    assert sum(a != b for a, b in zip(got, codec.segment_many(units, None)[0], strict=True)) > len(units) // 3
 
 
 def test_dropout_is_drawn_for_each_occurrence(model):
