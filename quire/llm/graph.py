@@ -36,12 +36,3 @@ def _are_stars(edges: DataFrame) -> bool:
     """Whether each node has one edge to a smaller node that has none itself; then that is the least of its component."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
-
-
-def hubs(links: DataFrame) -> DataFrame:
-    """(node, hub): of a node and those that it links with, the one of most links. Nodes with one hub are connected; one step finds most of what a star holds."""
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
-    degree = both.groupBy("u").agg(F.count("*").alias("degree"))
-    near = both.join(degree.withColumnRenamed("u", "v"), "v").select(F.col("u").alias("node"), F.struct("degree", F.col("v").alias("hub")).alias("h"))
-    own = degree.select(F.col("u").alias("node"), F.struct("degree", F.col("u").alias("hub")).alias("h"))
-    return near.union(own).groupBy("node").agg(F.max("h").alias("h")).select("node", F.col("h.hub").alias("hub"))

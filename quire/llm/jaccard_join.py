@@ -49,13 +49,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .graph import components, hubs
+from .graph import components
 
 LONG_LISTS = 1 << 20
 OCCUR = 3
 _BLOCK = 256
-#: Shingles that a task sorts at once for its report, and entries that it hands on at once: 8 and 7 MB.
-_HELD = 1_000_000
+#: Shingles that a task sorts at once for its report, and entries that it hands on at once: 32 and 7 MB.
+_HELD = 4_000_000
 _FLUSH = 250_000
 #: A list of more entries than this, by the summary, is dealt out over several tasks.
 _LIST = 100_000
@@ -131,19 +131,17 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
 
     names = ["kind", "a", "b", "c", *MARKS]
 
-    def report(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        every = np.concatenate(kept) if kept else np.empty(0, np.uint64)
-        kept.clear()
+    def report(every: np.ndarray) -> Iterator[pa.RecordBatch]:
         every.sort()
-        if len(every) > 2:
-            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            count = np.diff(np.append(edge, len(every)))
-            many = count > 2
-            n = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(c.signed(every[edge[many]])), pa.array(count[many]), *[pa.array(np.zeros(n, np.int64))] * (1 + len(MARKS))], names)
+        third = every[:-2] == every[2:]
+        third[1:] &= every[1:-2] != every[:-3]  # the first of three or more
+        if n := int(third.sum()):
+            tokens = every[:-2][third]
+            count = np.searchsorted(every, tokens, "right") - np.searchsorted(every, tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(c.signed(tokens)), pa.array(count), *[pa.array(np.zeros(n, np.int64))] * (1 + len(MARKS))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        kept = np.empty(_HELD, np.uint64)
         seen: set[int] = set()
         held = 0
         for batch in batches:
@@ -153,16 +151,19 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
                 sizes.append(len(tokens))
                 classes.append(cls := _class_of(tokens))
                 marks.append(parities(tokens))
-                if cls not in seen:
-                    seen.add(cls)
-                    kept.append(tokens)
-                    held += len(tokens)
-                if held > _HELD:
-                    yield from report(kept)
+                if cls in seen:
+                    continue
+                if held and held + len(tokens) > _HELD:
+                    yield from report(kept[:held])
                     seen.clear()
                     held = 0
+                seen.add(cls)
+                if len(tokens) > _HELD:
+                    continue  # no shingle of one document alone is in three
+                kept[held : held + len(tokens)] = tokens
+                held += len(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *[pa.array(np.array(x)) for x in zip(*marks, strict=True)]], names)
-        yield from report(kept)
+        yield from report(kept[:held])
 
     return c.small_batches(docs).mapInArrow(run, "kind int, a bigint, b bigint, c bigint, " + ", ".join(f"{m} bigint" for m in MARKS))
 
@@ -308,21 +309,30 @@ def _stars(lists: DataFrame, percent: int) -> DataFrame:
 def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidates (x, y) of different parts: the columns of `lists` and `part`, which no two classes that are to meet share.
 
-    The parts of a list are paired first, and then their members: members of one part are never paired.
+    The parts of a list are paired first, if their sizes, places and (of single classes) parities let
+    some members link, and then their members: members of one part are never paired.
     """
     left = c.materialise(lists.join(classes.select("cls", *MARKS), "cls"))
-    parts = left.groupBy("token", "part").agg(F.max("inner").alias("some"))
-    both = parts.alias("g").join(parts.alias("h"), (F.col("g.token") == F.col("h.token")) & (F.col("g.part") < F.col("h.part")) & (F.col("g.some") | F.col("h.some")))
+    ranges = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("reach"), F.count("*").alias("cnt"), *[F.first(m).alias(m) for m in MARKS]]
+    parts = left.groupBy("token", "part").agg(F.max("inner").alias("some"), *ranges)
+
+    def apart(g: str, h: str) -> Column:
+        return reduce(add, [F.bit_count(F.col(f"{g}.{m}").bitwiseXOR(F.col(f"{h}.{m}"))) for m in MARKS])
+
+    least = _need(F.col("g.lo"), F.col("h.lo"), percent)
+    sizes = (percent * F.col("g.lo") <= 100 * F.col("h.hi")) & (percent * F.col("h.lo") <= 100 * F.col("g.hi")) & (F.least("g.reach", "h.reach") + OCCUR > least)
+    single = (F.col("g.cnt") > 1) | (F.col("h.cnt") > 1) | (apart("g", "h") <= F.col("g.lo") + F.col("h.lo") - 2 * least)
+    both = parts.alias("g").join(parts.alias("h"), (F.col("g.token") == F.col("h.token")) & (F.col("g.part") < F.col("h.part")) & (F.col("g.some") | F.col("h.some")) & sizes & single)
     both = both.select(F.col("g.token").alias("token"), F.col("g.part").alias("part"), F.col("h.part").alias("other"))
     side = F.struct("n", "cls", "at", "inner", *MARKS)
     a = left.select("token", "part", side.alias("a"))
-    b = left.select("token", F.col("part").alias("other"), side.alias("b"))
-    met = both.join(a, ["token", "part"]).join(b, ["token", "other"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    b = left.select(F.col("token").alias("t"), F.col("part").alias("o"), side.alias("b"))
     need = _need(F.col("a.n"), F.col("b.n"), percent)
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + OCCUR  # a later common shingle only counts beside an earlier one
-    apart = reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MARKS])
-    fits = met.filter((percent * F.col("b.n") <= 100 * F.col("a.n")) & (reach > need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need))
-    return _often(_ordered(fits, percent), percent)
+    fits = (percent * F.greatest("a.n", "b.n") <= 100 * F.least("a.n", "b.n")) & (reach > need) & (apart("a", "b") <= F.col("a.n") + F.col("b.n") - 2 * need)
+    met = both.join(a, ["token", "part"]).join(b, (F.col("token") == F.col("t")) & (F.col("other") == F.col("o")) & fits)
+    plain = [F.struct(*[F.col(f"{x}.{f}").alias(f) for f in ("n", "cls", "at", "inner")]).alias(x) for x in ("a", "b")]
+    return _often(_ordered(met.select(*plain), percent), percent)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -350,13 +360,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs, members, classes, lists = _prepared(docs, id_col, text_col, size, percent, most)
     pairs = _stars(lists, percent)
     found = c.materialise(_search(docs, classes, pairs, size, percent))
-    part = hubs(found).withColumnsRenamed({"node": "cls", "hub": "part"})
-    left = lists.join(part, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    linked = c.materialise(components(found)).withColumnsRenamed({"node": "cls", "component": "part"})
+    left = lists.join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     mixed = left.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
     rest = c.materialise(_across(left.join(mixed, "token", "left_semi"), classes, percent).join(pairs, ["x", "y"], "left_anti"))
-    found = found if rest.isEmpty() else found.union(_search(docs, classes, rest, size, percent))
-    reached = components(_named(found, classes).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "component": "reached"})
-    by_class = classes.join(reached, "class_id", "left").select("cls", "n_shingles", "class_id", F.coalesce("reached", "class_id").alias("component_id"))
+    if not rest.isEmpty():
+        more = linked.select(F.col("cls").alias("u"), F.col("part").alias("v")).union(_search(docs, classes, rest, size, percent))
+        linked = c.materialise(components(more)).withColumnsRenamed({"node": "cls", "component": "part"})
+    least = classes.join(linked, "cls").groupBy("part").agg(F.min("class_id").alias("reached"))
+    reached = linked.join(least, "part").select("cls", "reached")
+    by_class = classes.join(reached, "cls", "left").select("cls", "n_shingles", "class_id", F.coalesce("reached", "class_id").alias("component_id"))
     full = members.join(by_class, ["cls", "n_shingles"], "left")
     return full.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
