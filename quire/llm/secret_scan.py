@@ -1,14 +1,15 @@
-"""Secret scan: Boolean trigram queries, derived from the rules' patterns, choose the texts that a rule must read.
+"""Secret scan: a trigram inverted index chooses the texts that a rule must read.
 
 Each rule's pattern is parsed and turned into a Boolean query over trigrams of the lower-cased
-text. The inverted index holds postings for the trigrams that some query names. It is partitioned
-by document: a document's own entries stand beside its text, so postings are intersected where the
-text is, and neither text nor postings are shuffled. A rule whose query holds is verified by its
-pattern; a rule without a mandatory trigram reads every text. `postings` gives the same index as a
-table (gram, id) for reuse, and `lookup` intersects such a table.
-
-Null texts are empty, an empty text has no spans, repeated rows are scanned one by one, extra
-columns stay with `annotate` and are left out by `scan`, and an empty table gives an empty result.
+text. One pass over the texts builds the postings (gram, document) of the trigrams that some query
+names, and scans every text for the rules without a mandatory trigram. The postings of each
+alternative of a query are intersected, the alternatives' results united, and the texts of these
+candidates alone are fetched and verified by the rules' patterns.
+
+A document is known by hashes of its id and text, so that null and repeated ids need no care:
+repeated rows have equal spans. Null texts are empty, an empty text has no spans, extra columns stay
+with `annotate`, which refuses a column of the name that it adds, and are left out by `scan`; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,33 +135,40 @@ def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({g for q in queries(rules).values() for a in q for g in a})
 
 
-def _entries(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """The index entries of one document: the named trigrams that it has."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in _vocabulary(rules)]))
+_KEY = ["__id", "__copy"]
 
 
-def _holds(entries: Column, query: Query) -> Column:
-    if frozenset() in query:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(entries, g) for g in sorted(alternative)]) for alternative in sorted(query, key=sorted)])
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __copy, __text): the key of a document, and its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(id_col).alias("__id"), F.xxhash64(text).alias("__copy"), text.alias("__text"))
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gram, id): the inverted index as a table, for the trigrams that the rules name."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.explode(_entries(text, rules)).alias("gram"), F.col(id_col).alias(id_col))
+def _indexed(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, grams, spans): the named trigrams of each document, null where it lacks one, and the spans of the rules that read every text."""
+    plans = queries(rules)
+    low = keyed.withColumn("__low", F.lower("__text"))
+    grams = F.array(*[F.when(F.contains("__low", F.lit(g)), F.lit(n)) for n, g in enumerate(_vocabulary(rules))]).cast("array<int>")
+    every = [_verify(F.col("__text"), r, k) for k, r in enumerate(rules) if frozenset() in plans[r.kind]]
+    return low.select(*_KEY, grams.alias("grams"), F.concat(F.array().cast(c.SPAN), *every).alias("spans"))
+
 
+def _candidates(indexed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, ks): the documents in which some rules can match, with the numbers of the rules, by intersecting postings (gram, key)."""
+    plans, number = queries(rules), {g: n for n, g in enumerate(_vocabulary(rules))}
+    wanted = [(number[g], k, i, len(a)) for k, r in enumerate(rules) if frozenset() not in plans[r.kind] for i, a in enumerate(sorted(plans[r.kind], key=sorted)) for g in sorted(a)]
+    terms = indexed.sparkSession.createDataFrame(wanted, "gram int, k int, alternative int, need int")
+    postings = indexed.select(*_KEY, F.explode("grams").alias("gram")).filter("gram is not null").distinct()
+    hits = postings.join(F.broadcast(terms), "gram").groupBy(*_KEY, "k", "alternative").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    return hits.filter("n = need").groupBy(*_KEY).agg(F.collect_set("k").alias("ks"))
 
-def lookup(index: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
-    """(kind, id) of the candidates of each rule that has a mandatory trigram, by intersecting postings."""
-    spark: SparkSession = index.sparkSession
-    wanted = [(r, i, g, len(a)) for r, q in queries(rules).items() if frozenset() not in q for i, a in enumerate(sorted(q, key=sorted)) for g in sorted(a)]
-    if not wanted:
-        return index.select(F.lit("").alias("kind"), F.col(id_col)).limit(0)
-    terms = spark.createDataFrame(wanted, "kind string, alternative int, gram string, need int")
-    hits = index.distinct().join(F.broadcast(terms), "gram").groupBy(id_col, "kind", "alternative").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return hits.filter("n = need").select("kind", id_col).distinct()
+
+def lookup(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, id) of the candidates of each rule that has a mandatory trigram."""
+    found = _candidates(_indexed(_keyed(docs, id_col, text_col), rules), rules)
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    own = docs.select(F.col(id_col), F.xxhash64(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__copy"))
+    return own.join(found, _KEY).select(F.explode(F.transform("ks", lambda k: F.get(kinds, k))).alias("kind"), id_col).distinct()
 
 
 def _verify(text: Column, rule: Rule, k: int) -> Column:
@@ -173,27 +181,39 @@ def _verify(text: Column, rule: Rule, k: int) -> Column:
     return c.as_spans(c.matches(text, rule.pattern, valid), k, rule.kind)
 
 
-def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
-    """`docs` with the spans of all rules: array of (start, k, end, kind, text) in the rules' order k."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """(key, spans) of every document, once."""
+    keyed = _keyed(docs, id_col, text_col)
+    indexed = c.materialise(_indexed(keyed, rules))
+    candidates = c.materialise(_candidates(indexed, rules))
+    read = c.join_small(keyed, candidates, _KEY, "inner").dropDuplicates(_KEY)
+    plans, none = queries(rules), F.array().cast(c.SPAN)
+    verified = [F.when(F.array_contains("ks", k), _verify(F.col("__text"), r, k)).otherwise(none) for k, r in enumerate(rules) if frozenset() not in plans[r.kind]]
+    spans = c.materialise(read.select(*_KEY, F.concat(none, *verified).alias("more")).filter(F.size("more") > 0))
+    every = indexed.select(*_KEY, "spans").dropDuplicates(_KEY)
+    return every.join(spans, _KEY, "left").select(*_KEY, F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"))
 
-    def scan(entries: Column) -> Column:
-        none = F.array().cast(c.SPAN)
-        plans = queries(rules)
-        return F.concat(*[F.when(_holds(entries, plans[r.kind]), _verify(text, r, k)).otherwise(none) for k, r in enumerate(rules)])
 
-    return docs.withColumn(out, F.array_sort(c.let(_entries(text, rules), scan)))
+def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+    """`docs` with the spans of all rules: array of (start, k, end, kind, text) in the rules' order k; `out` must not be a column of `docs`."""
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out}: give another name")
+    found = _found(docs, rules, id_col, text_col).withColumnRenamed("spans", out)
+    keys = {"__id": F.xxhash64(id_col), "__copy": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    return docs.withColumns(keys).join(found, _KEY).select(*docs.columns, out)
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out: str = "clean_text") -> DataFrame:
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "clean_text") -> DataFrame:
     """`docs` with each secret replaced by the name of its kind."""
-    found = annotate(docs, rules, text_col, "__spans")
+    found = annotate(docs, rules, id_col, text_col, "__spans")
     return found.withColumn(out, c.redact(F.coalesce(F.col(text_col), F.lit("")), F.col("__spans"))).drop("__spans")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) of every document."""
-    return annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), rules, "__text").select("doc_id", F.col("secret_spans").alias("spans"))
+    """(doc_id, spans) of every document."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keys = own.select("doc_id", F.xxhash64("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__copy"))
+    return keys.join(_found(own, rules, "doc_id", "text"), _KEY).select("doc_id", "spans")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
