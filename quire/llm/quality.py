@@ -1,14 +1,13 @@
 """Quality rules: Jensen-Shannon distance of a document's histograms to those of its language.
 
 Each document gives two histograms: its characters by class, and its words by common word (the
-words of its language's list, and all others as one bin). A language's reference is the mean of the
-histograms of all its documents that pass the base rules, gathered over the whole corpus. A
-document is rejected when it fails a base rule, or when it is long enough for the histogram to mean
-something and its distance to the reference is over the limit.
-
-Null texts have no words and fail the base rules, as empty ones do. A null or unknown language is
-held to the reference of all languages. Repeated rows are judged alike, extra columns stay where
-`keep` returns the rows, and an empty table gives an empty result.
+words of its language's list, and all others as one bin). They are compared with fixed references of
+the language, which don't depend on the documents judged. A document is rejected when it fails a base
+rule, or when it is long enough for a histogram to mean something and its distance to the reference is
+over the limit. A null or unknown language is held to all references: the nearest counts.
+
+Null texts have no words and fail the base rules, as empty ones do. Repeated rows are judged alike,
+extra columns stay where `keep` returns the rows, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +19,28 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-# Common words of each language.
+# Common words of each language, with rounded shares of the words of general prose in hundredths of a percent.
 COMMON = {
-    "de": "der die das und in von zu den mit sich des auf für ist im dem nicht ein eine als auch es an".split(),
-    "en": "the of and to in a is that it was for on with as be by at this are from or an which".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como".split(),
-    "fr": "de la le et les des en un une du que qui est dans pour par sur au avec il ne se pas".split(),
+    "de": {"der": 330, "die": 320, "das": 100, "und": 290, "in": 190, "von": 110, "zu": 100, "den": 120, "mit": 90, "sich": 80, "des": 80, "auf": 80, "für": 80, "ist": 80, "im": 80, "dem": 80, "nicht": 70, "ein": 70, "eine": 70, "als": 60, "auch": 60, "es": 60, "an": 50},
+    "en": {"the": 620, "of": 300, "and": 270, "to": 260, "in": 190, "a": 220, "is": 100, "that": 110, "it": 100, "was": 90, "for": 90, "on": 70, "with": 65, "as": 65, "be": 65, "by": 50, "at": 50, "this": 45, "are": 45, "from": 40, "or": 35, "an": 33, "which": 35},
+    "es": {"de": 630, "la": 380, "que": 320, "el": 280, "en": 260, "y": 260, "a": 200, "los": 170, "se": 130, "del": 120, "las": 110, "un": 110, "por": 100, "con": 90, "no": 100, "una": 85, "su": 75, "para": 75, "es": 70, "al": 65, "lo": 60, "como": 55},
+    "fr": {"de": 520, "la": 310, "le": 260, "et": 240, "les": 220, "des": 190, "en": 150, "un": 130, "une": 110, "du": 130, "que": 110, "qui": 90, "est": 100, "dans": 90, "pour": 80, "par": 70, "sur": 65, "au": 65, "avec": 50, "il": 60, "ne": 50, "se": 45, "pas": 50},
 }
-ALL = sorted({w for words in COMMON.values() for w in words})
+
+#: Limits of the distances: see README for how far documents of either kind are from the references.
+CHAR_LIMIT, WORD_LIMIT = 0.22, 0.35
 
 #: Digits count with small letters, so that a number, key or address in a short text does not move it far.
 CLASSES = ("alnum", "upper", "space", "newline", "stop", "pipe", "symbol", "quote", "other_ascii", "letter_beyond")
 
+# Shares of these classes in general prose, in hundredths of a percent.
+CHARACTERS = {
+    "de": (7550, 500, 1450, 40, 220, 0, 0, 80, 10, 150),
+    "en": (7750, 250, 1650, 40, 220, 0, 0, 80, 10, 0),
+    "es": (7650, 200, 1650, 40, 220, 0, 0, 60, 10, 170),
+    "fr": (7500, 200, 1650, 40, 200, 0, 0, 150, 10, 250),
+}
+
 
 def _class_table() -> np.ndarray:
     """Class of each byte; the continuation bytes of UTF-8 have none."""
@@ -47,7 +56,25 @@ def _class_table() -> np.ndarray:
 
 TABLE = _class_table()
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ", ".join(f"{x} bigint" for x in _COUNTS) + ", chars array<bigint>, common array<bigint>"
+FEATURES = ", ".join(f"{x} bigint" for x in _COUNTS) + ", char_distance double, word_distance double"
+
+
+def shares(parts: list[int] | tuple[int, ...]) -> np.ndarray:
+    return np.array(parts, np.float64) / sum(parts)
+
+
+REF_CHARS = {lang: shares(x) for lang, x in CHARACTERS.items()}
+REF_WORDS = {lang: shares([*x.values(), 10_000 - sum(x.values())]) for lang, x in COMMON.items()}
+
+
+def js_distance(counts: np.ndarray, reference: np.ndarray) -> float | None:
+    """Square root of the Jensen-Shannon divergence in bits: 0 for equal distributions, 1 for disjoint ones; None of nothing."""
+    if not (total := counts.sum()):
+        return None
+    p = counts / total
+    m = (p + reference) / 2
+    half = [float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()) for x in (p, reference)]
+    return max(0.0, sum(half) / 2) ** 0.5
 
 
 def repeated_words(ids: np.ndarray, size: int = 3) -> int:
@@ -69,88 +96,48 @@ def repeated_words(ids: np.ndarray, size: int = 3) -> int:
 
 
 def measure(text: bytes, lang: str | None) -> tuple:
-    """The five counts, the histogram of character classes and that of common words."""
+    """The five counts, and the distances of the histograms to the language's references, or to the nearest ones."""
     words = text.split()
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
-    hist = np.bincount(TABLE[np.frombuffer(text, dtype=np.uint8)], minlength=len(CLASSES) + 1)
-    points = int(hist[: len(CLASSES)].sum())
-    spaces = int(hist[CLASSES.index("space")] + hist[CLASSES.index("newline")])
+    hist = np.bincount(TABLE[np.frombuffer(text, dtype=np.uint8)], minlength=len(CLASSES) + 1)[: len(CLASSES)]
     lines = [x for x in text.split(b"\n") if x.strip()]
     of = np.bincount(ids, minlength=1)
-    known = [int(of[seen[w]]) if (w := x.encode()) in seen else 0 for x in COMMON.get(lang or "", ALL)]
-    return (
-        len(words), points - spaces, int(hist[CLASSES.index("symbol")] + hist[CLASSES.index("pipe")]), len(lines) - len(set(lines)), repeated_words(ids),
-        hist[: len(CLASSES)].tolist(), [*known, len(words) - sum(known)],
-    )
+    near = []
+    for name in (lang,) if lang in COMMON else COMMON:
+        known = [int(of[seen[w]]) if (w := x.encode()) in seen else 0 for x in COMMON[name]]
+        near.append((js_distance(hist, REF_CHARS[name]), js_distance(np.array([*known, len(words) - sum(known)]), REF_WORDS[name])))
+    best = [min((x for x in found if x is not None), default=None) for found in zip(*near, strict=True)]
+    blank = int(hist[CLASSES.index("space")] + hist[CLASSES.index("newline")])
+    return (len(words), int(hist.sum()) - blank, int(hist[CLASSES.index("symbol")] + hist[CLASSES.index("pipe")]), len(lines) - len(set(lines)), repeated_words(ids), *best)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, counts and histograms) of every row."""
+    """(doc_id, counts, char_distance, word_distance) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column(2).to_pylist()
         rows = [measure(t, x) for t, x in zip(c.texts_of(batch.column(1)), langs, strict=True)]
         columns = list(zip(*rows, strict=True))
-        types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip(columns, types, strict=True)]], ["doc_id", "lang", *_COUNTS, "chars", "common"]
-        )
+        types = [pa.int64()] * 5 + [pa.float64()] * 2
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, types, strict=True)]], ["doc_id", *_COUNTS, "char_distance", "word_distance"])
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return c.map_rows(own, run, f"doc_id bigint, lang string, {FEATURES}")
+    return c.map_rows(own, run, f"doc_id bigint, {FEATURES}")
 
 
 def _base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _language() -> Column:
-    return F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
-
-
-def references(measured: DataFrame, min_words: int = 50) -> DataFrame:
-    """(language, word_bins, ref_chars, ref_common): mean histograms over all documents that pass the base rules; a few rows."""
-    good = measured.filter(~_base_failed() & (F.col("n_words") >= min_words)).withColumn("language", _language())
-    out = []
-    for name in ("chars", "common"):
-        shares = good.select("language", F.posexplode(F.transform(name, lambda x: x / F.aggregate(F.col(name), F.lit(0).cast("bigint"), lambda a, y: a + y))).alias("bin", "share"))
-        binned = shares.groupBy("language", "bin").agg(F.avg("share").alias("mean"))
-        out.append(binned.groupBy("language").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mean"))), lambda x: x["mean"]).alias(f"ref_{name}")))
-    return out[0].join(out[1], "language")
-
-
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence in bits: 0 for equal distributions, 1 for disjoint ones."""
-
-    def term(p: Column, m: Column) -> Column:
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
-
-    def both(p: Column, q: Column) -> Column:
-        return c.let((p + q) / 2, lambda m: term(p, m) + term(q, m))
-
-    def distance(total: Column) -> Column:
-        parts = F.zip_with(counts, reference, lambda x, q: both(x / total, q))
-        return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2))
-
-    return c.let(F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x), lambda t: F.when(t > 0, distance(t)))
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", char_limit: float = 0.175, word_limit: float = 0.31, min_words: int = 50, min_words_common: int = 150) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = 50, min_words_common: int = 150) -> DataFrame:
     """(doc_id, counts, base_failed, char_distance, word_distance, kept) of every row.
 
-    The character histogram needs `min_words` words to count, the histogram of common words
-    `min_words_common`; a document whose language has no reference is judged by the base rules.
+    The character histogram needs `min_words` words to count, the histogram of common words `min_words_common`.
     """
-    measured = c.materialise(features(docs, id_col, text_col, lang_col))
-    refs = F.broadcast(references(measured, min_words))  # a row for each language of COMMON, and one for the others
     failed = _base_failed()
     far = ((F.col("n_words") >= min_words) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= min_words_common) & (F.col("word_distance") > word_limit))
-    return (
-        measured.withColumn("language", _language()).join(refs, "language", "left")
-        .withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("common"), F.col("ref_common")))
-        .select("doc_id", *_COUNTS, failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
-    )
+    return features(docs, id_col, text_col, lang_col).select("doc_id", *_COUNTS, failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
@@ -164,30 +151,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON.items())
-    every = ", ".join(repr(w) for w in ALL)
     patterns = ["[a-z0-9]", "[A-Z]", r"[\x20\x09\x0B-\x0D]", r"\n", "[.,;:!?]", "[|]", "[#*$%&<>]", "[\"''()\\[\\]{}-]", "[^a-zA-Z0-9\\x20\\x09-\\x0D.,;:!?|#*$%&<>\"''()\\[\\]{}\\x80-\\x{10FFFF}-]", r"[^\x00-\x7F]"]
     counts = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))" for p in patterns)
 
+    def listed(values: object) -> str:
+        return f"[{', '.join(map(repr, values))}]"
+
     def distance(own: str, ref: str) -> str:
         term = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({1} + {2}) / 2)) ELSE 0 END"
-        p, q = f"({own}[i] / list_sum({own}))", f"{ref}[i]"
+        p, q = f"({own}[i] / list_sum({own}))", f"({ref}[i] / list_sum({ref}))"
         return f"CASE WHEN list_sum({own}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({own}) + 1), lambda i: {term.format(p, p, q)} + {term.format(q, p, q)})) / 2)) END"
 
-    def mean(name: str) -> str:
-        return f"(SELECT language, list(m ORDER BY i) AS r_{name} FROM (SELECT language, i, avg({name}[i] / list_sum({name})) AS m FROM (SELECT *, unnest(range(1, len({name}) + 1)) AS i FROM b WHERE NOT base_failed) GROUP BY language, i) GROUP BY language)"
-
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(repr(x) for x in COMMON)}) THEN lang ELSE '' END AS language,
+    refs = ", ".join(f"('{lang}', {listed(CHARACTERS[lang])}, {listed(words)}, {listed([*words.values(), 10_000 - sum(words.values())])})" for lang, words in COMMON.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {tuple(COMMON)} THEN lang END AS language,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
-    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
-    c AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1), r AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS x FROM g JOIN c USING (doc_id, g)) GROUP BY doc_id),
-    l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-    k AS (SELECT *, CASE language {lists} ELSE [{every}] END AS words, [{counts}] AS chars FROM d),
-    h AS (SELECT *, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS known FROM k),
-    b AS (SELECT h.doc_id, language, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, (chars[6] + chars[7])::bigint AS n_symbols, coalesce(l.n, 0)::bigint AS n_dup_lines, coalesce(r.n, 0)::bigint AS n_repeat_words,
-        len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed, chars, list_append(known, len(w) - list_sum(known)) AS common FROM h LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-    f AS (SELECT b.*, {distance('chars', 'r_chars')} AS cd, {distance('common', 'r_common')} AS wd FROM b LEFT JOIN {mean('chars')} USING (language) LEFT JOIN {mean('common')} USING (language))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= 50 AND cd > 0.175) OR (n_words >= 150 AND wd > 0.31), false) AS kept, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance FROM f"""
+    refs(language, r_chars, words, r_words) AS (VALUES {refs}),
+    g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+    c AS (SELECT row, g FROM g GROUP BY ALL HAVING count(*) > 1), r AS (SELECT row, count(DISTINCT x) AS n FROM (SELECT g.row, unnest([i, i + 1, i + 2]) AS x FROM g JOIN c USING (row, g)) GROUP BY row),
+    l AS (SELECT row, count(*) - count(DISTINCT x) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY row),
+    k AS (SELECT *, [{counts}] AS chars FROM d),
+    h AS (SELECT k.row, chars, r_chars, r_words, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS known, len(w) AS n FROM k JOIN refs ON coalesce(k.language, refs.language) = refs.language),
+    f AS (SELECT row, min({distance('chars', 'r_chars')}) AS cd, min({distance('common', 'r_words')}) AS wd FROM (SELECT *, list_append(known, n - list_sum(known)) AS common FROM h) GROUP BY row),
+    b AS (SELECT k.row, doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, (chars[6] + chars[7])::bigint AS n_symbols, coalesce(l.n, 0)::bigint AS n_dup_lines, coalesce(r.n, 0)::bigint AS n_repeat_words,
+        len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM k LEFT JOIN l USING (row) LEFT JOIN r USING (row))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= 50 AND cd > {CHAR_LIMIT}) OR (n_words >= 150 AND wd > {WORD_LIMIT}), false) AS kept, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance FROM b JOIN f USING (row)"""
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}

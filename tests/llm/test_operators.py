@@ -213,19 +213,25 @@ def test_counts_match_plain_python(spark, odd):
         assert g.base_failed == (len(words) < 50 or 100 * g.n_repeat_words > 50 * len(words)) and not (g.base_failed and g.kept)
 
 
-def test_distance_is_that_of_jensen_and_shannon(spark):
+def test_distance_is_that_of_jensen_and_shannon():
     p, q = np.array([3, 1, 0, 4]), np.array([0.1, 0.4, 0.3, 0.2])
     m = (p / 8 + q) / 2
     want = np.sqrt((sum(x * np.log2(x / y) for x, y in zip(p / 8, m, strict=True) if x) + sum(q * np.log2(q / m))) / 2)
-    df = spark.createDataFrame([(p.tolist(), q.tolist())], "p array<bigint>, q array<double>")
-    assert df.select(quality.js_distance(F.col("p"), F.col("q"))).first()[0] == pytest.approx(want)
+    assert quality.js_distance(p, q) == pytest.approx(want)
+    assert quality.js_distance(np.array([0, 0]), np.array([0.5, 0.5])) is None and quality.js_distance(np.array([2, 0]), np.array([0.0, 1.0])) == pytest.approx(1)
 
 
-def test_junk_is_rejected_and_prose_is_kept(spark):
-    text = "the cat and the dog of that house was in the garden with a ball for us. It is on this mat, and he is by the door. "
-    docs = [(i, f"{text * 1}{prose(i, 90)} the of and to in a is that it was for on with", "en") for i in range(30)] + [(99, " ".join(f"{w}### $$$ %%% ***" for w in prose(9, 60).split()), "en")]
+def test_junk_is_rejected_and_prose_is_kept_in_any_language(spark):
+    text = {"en": "the cat and the dog of that house was in the garden with a ball for us.", "de": "der Hund und die Katze von dem Haus ist in den Garten mit dem Ball zu sehen.", "fr": "le chat et la souris de la maison est dans le jardin avec un ballon pour les enfants."}
+    docs = []
+    for i, (lang, said) in enumerate((x, y) for x in ("en", "xx", None) for y in text.values()):
+        own = next(k for k, v in text.items() if v == said)
+        body = " ".join(f"{w} {prose(400 * i + 20 * k + j, 1)}" if j % 2 else w for k in range(8) for j, w in enumerate(said.split()[k:] + said.split()[:k]))
+        docs.append((i, body, own if lang == "en" else lang))
+        docs.append((100 + i, " ".join(f"{w}### $$$ %%% ***" for w in prose(9 + i, 60).split()), own if lang == "en" else lang))
+        docs.append((200 + i, prose(70 + i, 300), lang))  # no common word at all
     got = {r.doc_id for r in quality.keep(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
-    assert got == set(range(30))
+    assert got == set(range(9))
 
 
 # --- 5: quotes ---
