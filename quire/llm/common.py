@@ -39,15 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors.
 
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
