@@ -225,30 +225,34 @@ def _contents(docs: DataFrame, bodies: DataFrame, length: int) -> DataFrame:
 
 
 def _match_large(shards: DataFrame, length: int) -> DataFrame:
-    """What _match gives, for shards of many passages: the least document id of each window by aggregation; a row for each window."""
+    """What _match gives, for shards of many passages: the least document id of each window by aggregation over all tasks."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for mini, body, n, doc_id, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            hashes = c.signed(c.rolling_hashes(c.word_hashes(text.split()), length))
+            hashes = c.signed(c.mix(c.rolling_hashes(c.word_hashes(text.split()), length) + np.uint64(mini & (1 << 64) - 1)))
             same = [pa.array(np.full(len(hashes), x, t)) for x, t in ((mini, np.int64), (body, np.int64), (n, np.int32), (doc_id, np.int64))]
             yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes)], ["mini", "body", "n", "doc_id", "start", "window"])
 
-    windows = c.map_rows(shards, run, "mini bigint, body bigint, n int, doc_id bigint, start int, window bigint")
-    first = windows.groupBy("mini", "window").agg(F.min("doc_id").alias("first"))
-    span = F.array(F.struct("first", "start", (F.col("start") + 1).alias("end")))
-    return windows.join(first, ["mini", "window"]).select("mini", "body", "n", span.alias("spans"))
+    windows = c.materialise(c.map_rows(shards, run, "mini bigint, body bigint, n int, doc_id bigint, start int, window bigint"))
+    first = c.materialise(windows.groupBy("window").agg(F.min("doc_id").alias("first")))
+    span = F.struct("first", "start", (F.col("start") + 1).alias("end"))
+    return windows.join(first, "window").groupBy("mini", "body", "n").agg(F.collect_list(span).alias("spans"))  # of one passage, so at most _LONGEST
 
 
 def covered(docs: DataFrame, length: int = 50, seed: int = 20, most: int = 500) -> DataFrame:
-    """(doc_id, start, end): runs of words of `docs` (doc_id, text) that windows of an earlier document cover; runs may overlap."""
+    """(doc_id, start, end): runs of words of `docs` (doc_id, text) that windows of an earlier document cover; runs may overlap.
+
+    Both sides of each join are tables, so that adaptive execution can split what a passage of very many documents puts on one key.
+    """
     every = c.materialise(_passages(docs, length, seed))
-    shared = every.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini")
+    shared = c.materialise(every.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini"))
     some = c.materialise(every.join(shared, "mini", "left_semi"))
     bodies = some.groupBy("mini", "body", "n").agg(F.min(F.struct("doc_id", "at")).alias("own")).select("mini", "body", "n", "own.*")
     bodies = c.materialise(bodies)
-    large = bodies.groupBy("mini").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("mini")
+    large = c.materialise(bodies.groupBy("mini").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("mini"))
     contents = c.materialise(_contents(docs, bodies, length))
-    found = c.materialise(_match(contents.join(large, "mini", "left_anti"), length).union(_match_large(contents.join(large, "mini", "left_semi"), length)))
+    few, many = c.join_small(contents, large, ["mini"], "left_anti"), c.materialise(c.join_small(contents, large, ["mini"], "left_semi"))
+    found = c.materialise(_match(few, length).union(_match_large(many, length)))
     hits = some.join(found, ["mini", "body", "n"]).select("doc_id", "at", F.explode("spans").alias("s")).filter("s.first < doc_id")
     return hits.select("doc_id", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end") + length - 1).alias("end"))
 
