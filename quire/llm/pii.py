@@ -1,18 +1,23 @@
-"""Personal data: pattern detectors, and information-theoretic sanitisation of the terms around what they find.
+"""Personal data: pattern detectors, and information-theoretic sanitisation of the terms that go with what they find.
 
-A protected entity is a detected value. A term is a word near a mention of it. Corpus
-co-occurrence says how much a term reveals: with n(t,e) distinct texts that hold the term near the
-entity, n(t) distinct texts that hold the term anywhere, n(e) texts with the entity and N texts, a
-term discloses the entity when n(t,e) >= support, n(t,e)/n(t) >= confidence and
-log2(n(t,e) N / (n(t) n(e))) >= bits. Such a term is removed where it stands near that entity, so
-texts without protected entities stay as they are. Exact copies count once.
+A protected entity is a detected value. A term is a word of a text, lower case and without outer
+punctuation, that touches no detected value. Corpus co-occurrence says how much a term reveals: with
+n(t,e) distinct texts that hold the term and the entity, n(t) distinct texts that hold the term, n(e)
+texts with the entity and N texts, a term discloses the entity when n(t,e) >= support, n(t,e)/n(t) >=
+confidence and log2(n(t,e) N / (n(t) n(e))) >= bits. Such a term is removed wherever it stands in a text
+that holds the entity, so texts without protected entities stay as they are. Exact copies count once.
 
-Null texts are empty, an empty text has no spans, rows that repeat an id are all returned with the
-same terms, extra columns are left out, and an empty table gives an empty result.
+Only what can reach the thresholds is paired: entities and terms of `support` texts or more, and a term
+with an entity only if it isn't in more texts than the entity's divided by the confidence.
+
+Null texts are empty, an empty text has no spans, rows that repeat an id are judged each by its own
+text, extra columns are left out, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,60 +76,79 @@ def detected(text: Column) -> Column:
     )
 
 
+#: Stands for each character of a detected value where words are looked for; it is no character of texts.
+_HIDDEN = "\uffff"
+
+
+def _hidden(text: Column, spans: Column) -> Column:
+    """`text` with each character of a span replaced, so that all others keep their places."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        end = F.greatest(begin, s["end"])
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(_HIDDEN), (end - begin).cast("int"))).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
 def _term(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(_EDGE)))
 
 
-def _nearby(text: Column, spans: Column, reach: int, least: int) -> Column:
-    """(entity, term, start, end) for each whole word of letters within `reach` characters of each span."""
+def _words(text: Column) -> Column:
+    """The distinct terms of a text whose detected values are hidden."""
+    found = F.array_distinct(F.transform(F.split(text, c.SPACES), _term))
+    return F.filter(found, lambda t: (t != "") & ~F.contains(t, F.lit(_HIDDEN)))
+
+
+def _places(text: Column, terms: Column) -> Column:
+    """Spans of the words of a text, with its detected values hidden, that are among the terms."""
+    front = F.lit(f"^[{re.escape(_EDGE)}]*")
 
-    def words(s: Column) -> Column:
-        begin = F.greatest(s["start"] - reach, F.lit(0))
-        left = F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
-        right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach))
-        before = c.let(c.matches(left, c.WORD), lambda w: F.filter(F.transform(w, lambda x: F.struct((x["start"] + begin).alias("start"), (x["end"] + begin).alias("end"), x["text"].alias("text"))), lambda x: ((x["start"] > begin) | (begin == 0)) & (x["end"] < s["start"])))
-        after = c.let(c.matches(right, c.WORD), lambda w: F.filter(F.transform(w, lambda x: F.struct((x["start"] + s["end"]).alias("start"), (x["end"] + s["end"]).alias("end"), x["text"].alias("text"))), lambda x: (x["start"] > s["end"]) & ((x["end"] < s["end"] + reach) | (F.length(right) < reach))))
-        entity = F.xxhash64(s["kind"], F.lower(F.regexp_replace(s["text"], r"[\x20().-]", "")))
-        core = F.transform(
-            F.concat(before, after),
-            lambda x: c.let(
-                x["start"] + F.length(F.regexp_extract(x["text"], r"""^[.,;:!?"'()\[\]{}<>|*#]*""", 0)),
-                lambda a: F.struct(entity.alias("entity"), _term(x["text"]).alias("term"), a.alias("start"), (a + F.length(F.btrim(x["text"], F.lit(_EDGE)))).alias("end")),
-            ),
-        )
-        return F.filter(core, lambda x: (F.length(x["term"]) >= least) & x["term"].rlike(r"^\p{L}+$"))
+    def span(w: Column) -> Column:
+        core = F.btrim(w["text"], F.lit(_EDGE))
+        begin = w["start"] + F.length(w["text"]) - F.length(F.regexp_replace(w["text"], front, F.lit("")))
+        return F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("k"), (begin + F.length(core)).alias("end"), F.lit(TERM).alias("kind"), F.lower(core).alias("text"))
 
-    return F.flatten(F.transform(spans, words))
+    return F.filter(F.transform(c.matches(text, c.WORD), span).cast(c.SPAN), lambda s: F.array_contains(terms, s["text"]))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, least: int = 4, support: int = 3, confidence: float = 0.8, bits: float = 3.0) -> DataFrame:
+def _entity(s: Column) -> Column:
+    return F.xxhash64(s["kind"], F.lower(F.regexp_replace(s["text"], r"[\x20().-]", "")))
+
+
+def disclosing(base: DataFrame, texts: DataFrame, support: int, confidence: float, bits: float) -> DataFrame:
+    """(entity, term): which terms disclose which entities; base (copy, spans, hidden), texts (copy, text)."""
+    entities = base.filter("hidden is not null").select("copy", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
+    having = entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    entities = c.materialise(entities.join(having, "entity"))
+    reach = entities.groupBy("copy").agg((F.max("n_e") / confidence).alias("most"))
+    words = c.materialise(base.filter("hidden is not null").join(reach, "copy").select("copy", "most", F.explode(_words(F.col("hidden"))).alias("term")).distinct())
+    # A term is in no fewer texts than it is in with any recurring entity, and it is only paired with entities of as many texts.
+    around = c.materialise(words.groupBy("term").agg(F.count("*").alias("n_some")).filter(F.col("n_some") >= support))
+    likely = words.join(around, "term").filter(F.col("n_some") <= F.col("most")).select("copy", "term", "n_some")
+    together = likely.join(entities, "copy").filter(F.col("n_some") <= F.col("n_e") / confidence).groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_some").alias("n_some"), F.first("n_e").alias("n_e"))
+    together = c.materialise(together.filter((F.col("n_te") >= support) & (F.col("n_te") >= confidence * F.col("n_some"))).drop("n_some"))
+    terms = together.select("term").distinct()
+    every = texts.select("copy", F.explode(F.split("text", c.SPACES)).alias("word")).select("copy", _term(F.col("word")).alias("term"))
+    anywhere = c.join_small(every, terms, ["term"], "left_semi").groupBy("term", "copy").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = texts.groupBy("copy").agg(F.lit(1)).count()
+    strong = together.join(anywhere, "term").filter((F.col("n_te") >= confidence * F.col("n_t")) & (F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) >= bits))
+    pairs = strong.select("entity", "term").join(entities.select("copy", "entity"), "entity")
+    return pairs.join(words.select("copy", "term"), ["copy", "term"]).groupBy("copy").agg(F.collect_set("term").alias("terms"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, confidence: float = 0.8, bits: float = 3.0) -> DataFrame:
     """(doc_id, spans) of every row: detected spans, and spans of kind `term` for what discloses them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = rows.select("doc_id", F.xxhash64("text").alias("copy"), c.let(detected(F.col("text")), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _nearby(F.col("text"), s, reach, least)).alias("near"))).alias("x"))
-    base = c.materialise(spans.select("doc_id", "copy", "x.spans", "x.near"))
-    near = base.filter("near is not null").select("doc_id", "copy", F.explode("near").alias("n")).select("doc_id", "copy", "n.*")
-    together = near.groupBy("entity", "term", "copy").agg(F.lit(1)).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    # A term is in no fewer texts than those that hold it near some entity: most common words can't reach the confidence, and aren't counted.
-    around = near.groupBy("term", "copy").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_near"))
-    together = c.materialise(together.join(around, "term").filter(F.col("n_te") >= confidence * F.col("n_near")).drop("n_near"))
-    terms = together.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return base.select("doc_id", "spans")
-    words = rows.select(F.xxhash64("text").alias("copy"), F.explode(F.split("text", c.SPACES)).alias("word")).select("copy", _term(F.col("word")).alias("term"))
-    anywhere = c.join_small(words, terms, ["term"], "left_semi", n_terms).groupBy("term", "copy").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_t"))
-    entities = base.filter("near is not null").select("copy", F.explode(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(F.regexp_replace(s["text"], r"[\x20().-]", ""))))).alias("entity"))
-    having = entities.groupBy("entity", "copy").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = base.groupBy("copy").agg(F.lit(1)).count()
-    strong = (
-        together.join(anywhere, "term").join(having, "entity")
-        .filter((F.col("n_te") >= confidence * F.col("n_t")) & (F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) >= bits))
-        .select("entity", "term")
-    )
-    strong = c.materialise(strong)
-    tagged = c.join_small(near, strong, ["entity", "term"], "left_semi")
-    added = tagged.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("k"), F.col("end"), F.lit(TERM).alias("kind"), F.col("term").alias("text"))).cast(c.SPAN).alias("terms"))
-    return base.select("doc_id", "spans").join(added, "doc_id", "left").select("doc_id", F.concat("spans", F.coalesce("terms", F.array().cast(c.SPAN))).alias("spans"))
+    found = rows.select("doc_id", F.xxhash64("text").alias("copy"), c.let(detected(F.col("text")), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _hidden(F.col("text"), s)).alias("hidden"))).alias("x"))
+    base = c.materialise(found.select("doc_id", "copy", "x.spans", "x.hidden"))
+    revealed = c.materialise(disclosing(base, rows.select(F.xxhash64("text").alias("copy"), "text"), support, confidence, bits))
+    plain = base.filter("hidden is null").select("doc_id", "spans")
+    places = F.when(F.col("terms").isNotNull(), _places(F.col("hidden"), F.col("terms"))).otherwise(F.array().cast(c.SPAN))
+    return plain.union(base.filter("hidden is not null").join(revealed, "copy", "left").select("doc_id", F.concat("spans", places).alias("spans")))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
@@ -163,23 +187,20 @@ def _oracle() -> str:
         for k, (kind, (p, keep)) in enumerate(rules.items())
     )
     word, edge = r"[^\x20\x09-\x0D]+", _EDGE.replace("'", "''")
-
-    def side(text: str, offset: str, keep: str) -> str:
-        return f"""SELECT doc_id, t, kind, m, {offset} + y.e - length(y.m) AS a, y.m AS w FROM (SELECT *, unnest({placed}) AS y
-            FROM (SELECT *, {text} AS c, regexp_extract_all({text}, '{word}') AS h, regexp_split_to_array({text}, '{word}') AS g FROM s)) WHERE {keep}"""
-
-    left, right = "substr(t, greatest(a - 60, 0) + 1, a - greatest(a - 60, 0))", "substr(t, e + 1, 60)"
+    core = f"trim(w, '{edge}')"
     joined = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k, e)"
     counts = ", ".join(f"coalesce(n{k}, 0)::bigint AS n_{kind}" for k, kind in enumerate(KINDS))
     sums = ", ".join(f"count(*) FILTER (k = {k}) AS n{k}" for k in range(len(KINDS) + 1))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({parts}),
-    c AS ({side(left, 'greatest(a - 60, 0)', '(y.e > length(y.m) OR a <= 60) AND y.e < length(c)')} UNION ALL {side(right, 'e', 'y.e > length(y.m) AND (y.e < 60 OR length(c) < 60)')}),
-    n AS (SELECT doc_id, t, kind || ':' || lower(regexp_replace(m, '[\\x20().-]', '', 'g')) AS entity, lower(trim(w, '{edge}')) AS term, a + length(w) - length(ltrim(w, '{edge}')) AS a, a + length(w) - length(ltrim(w, '{edge}')) + length(trim(w, '{edge}')) AS e FROM c
-        WHERE length(trim(w, '{edge}')) >= 4 AND regexp_matches(lower(trim(w, '{edge}')), '^\\p{{L}}+$')),
-    te AS (SELECT entity, term, count(DISTINCT t) AS n_te FROM n GROUP BY ALL HAVING count(DISTINCT t) >= 3), ne AS (SELECT kind || ':' || lower(regexp_replace(m, '[\\x20().-]', '', 'g')) AS entity, count(DISTINCT t) AS n_e FROM s GROUP BY 1),
+    en AS (SELECT DISTINCT t, kind || ':' || lower(regexp_replace(m, '[\\x20().-]', '', 'g')) AS entity FROM s),
+    ne AS (SELECT entity, count(*) AS n_e FROM en GROUP BY 1 HAVING count(*) >= 3),
+    x AS (SELECT doc_id, t, y.e - length(y.m) AS a, y.m AS w FROM (SELECT doc_id, t, unnest({placed}) AS y FROM (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS h, regexp_split_to_array(t, '{word}') AS g FROM d WHERE doc_id IN (SELECT doc_id FROM s)))),
+    n AS (SELECT doc_id, t, lower({core}) AS term, a + length(w) - length(ltrim(w, '{edge}')) AS a, a + length(w) - length(ltrim(w, '{edge}')) + length({core}) AS e FROM x
+        WHERE {core} <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = x.doc_id AND s.a < x.a + length(x.w) AND s.e > x.a)),
+    te AS (SELECT entity, term, count(*) AS n_te, any_value(n_e) AS n_e FROM (SELECT DISTINCT t, term FROM n) JOIN en USING (t) JOIN ne USING (entity) GROUP BY entity, term HAVING count(*) >= 3),
     nt AS (SELECT term, count(DISTINCT t) AS n_t FROM (SELECT t, lower(trim(unnest(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+')), '{edge}')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
-    st AS (SELECT entity, term FROM te JOIN nt USING (term) JOIN ne USING (entity) WHERE n_te >= 0.8 * n_t AND log2(n_te * (SELECT count(DISTINCT t) FROM d) / (n_t * n_e)) >= 3),
-    u AS (SELECT doc_id, k, kind, a, e FROM s UNION ALL SELECT DISTINCT doc_id, {len(KINDS)}, '{TERM}', a, e FROM n JOIN st USING (entity, term)),
+    st AS (SELECT entity, term FROM te JOIN nt USING (term) WHERE n_te >= 0.8 * n_t AND log2(n_te * (SELECT count(DISTINCT t) FROM d) / (n_t * n_e)) >= 3),
+    u AS (SELECT doc_id, k, kind, a, e FROM s UNION ALL SELECT DISTINCT doc_id, {len(KINDS)}, '{TERM}', a, e FROM n JOIN (SELECT DISTINCT t, term FROM en JOIN st USING (entity)) USING (t, term)),
     f AS (SELECT doc_id, {sums}, {joined} FILTER (k < {len(KINDS)}) AS b, {joined} AS l FROM u GROUP BY doc_id)
     SELECT doc_id, {counts}, sha256(coalesce(b, '')) AS base_sha256, coalesce(l, '') AS spans, coalesce(n{len(KINDS)}, 0)::bigint AS n_term FROM d LEFT JOIN f USING (doc_id)"""
 
