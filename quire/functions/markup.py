@@ -25,6 +25,20 @@ def tex_signature(tex: Column) -> Column:
     return F.regexp_replace(tex_clean(tex), r"[\s{}]+", "")
 
 
+def formula_candidates(page: Column) -> Column:
+    """struct<display, inline> of a page's text: formulas in \\[ \\], or else in lines of $$, and in \\( \\); stripped, without empty ones."""
+
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(page, F.lit(pattern), F.lit(1))
+
+    def stripped(x: Column) -> Column:
+        return F.filter(F.transform(x, lambda f: F.regexp_replace(f, r"^\s+|\s+$", "")), lambda f: f != "")
+
+    bracketed = found(r"(?s)\\\[(.*?)\\\]")
+    display = F.when(F.size(bracketed) > 0, bracketed).otherwise(found(r"(?ms)^\s*\$\$\s*\n(.*?)^\s*\$\$\s*$"))
+    return F.struct(stripped(display).alias("display"), stripped(found(r"(?s)\\\((.*?)\\\)")).alias("inline"))
+
+
 def inline_html(markdown: Column) -> Column:
     """Bold, italics, code and links of inline Markdown as HTML; all else escaped, links to http(s) only."""
     out = F.replace(F.replace(F.replace(markdown, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

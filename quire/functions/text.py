@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,10 +19,15 @@ STOPWORDS = (
 ).split()
 
 #: Latin letters with marks, and the letters below the marks.
-_MARKED = [chr(x) for x in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(x))) > 1 and ord(unicodedata.normalize("NFD", chr(x))[0]) < 128]
+_MARKED = [chr(x) for x in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(x))) > 1 and ord(unicodedata.normalize("NFD", chr(x))[0]) < 128]
 _PLAIN = [unicodedata.normalize("NFD", x)[0] for x in _MARKED]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often `body` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_marks(text: Column) -> Column:
     """Latin letters without their marks."""
     return F.translate(text, "".join(_MARKED), "".join(_PLAIN))
@@ -42,9 +48,29 @@ def phrase_count(tokens: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(starts, lambda i: F.slice(tokens, i + 1, len(phrase)) == wanted))
 
 
+#: Characters that stand for one other (full-width forms, mathematical letters, old-style spaces) and for several (ligatures), by Unicode's compatibility forms.
+_WIDE = [(chr(x), n) for x in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)) if (n := unicodedata.normalize("NFKC", chr(x))) != chr(x)]
+_ALIKE = "".join(x for x, n in _WIDE if len(n) == 1), "".join(n for _, n in _WIDE if len(n) == 1)
+_LIGATURES = [(x, n) for x, n in _WIDE if "\ufb00" <= x <= "\ufb06" or x == "\u2026"]
+#: A letter and the mark behind it that make one character.
+_COMPOSED = [(d, chr(x)) for x in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFD", chr(x))) == 2]
+
+
+def compatible(text: Column) -> Column:
+    """Full-width forms, ligatures and the like as plain characters, and Latin letters with a mark behind them as one; texts in ASCII aren't touched."""
+    def replaced(x: Column, pairs: list[tuple[str, str]]) -> Column:
+        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+        return F.aggregate(table, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+
+    def composed(x: Column) -> Column:
+        return F.when(x.rlike(r"[\x{0300}-\x{036F}]"), replaced(x, _COMPOSED)).otherwise(x)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(replaced(F.translate(text, *_ALIKE), _LIGATURES), composed)).otherwise(text)
+
+
 def clean(text: Column) -> Column:
-    """White space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Compatible characters, white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(compatible(text), r"\s+", " "))
 
 
 def canonical(text: Column) -> Column:
@@ -96,16 +122,19 @@ VENUE_ACRONYM = r"\(([A-Za-z][A-Za-z0-9.+&/-]{1,11})\)\s*$"
 
 def venue(text: Column) -> Column:
     """Short name of a known venue, or else an acronym in brackets at the end, or else the name without year and "Proceedings of"."""
-    name = F.regexp_replace(clean(text), VENUE_EDGES, "")
-    low, bare = F.lower(name), name
-    for pattern in VENUE_NOISE:
-        bare = F.regexp_replace(bare, pattern, "")
-    bare = F.trim(bare)
-    acronym = F.regexp_extract(bare, VENUE_ACRONYM, 1)
-    out = F.when(name == "", "")
-    for pattern, label in VENUES:
-        out = out.when(low.rlike(pattern), label)
-    return out.when(acronym != "", acronym).otherwise(bare)
+
+    def named(name: Column) -> Column:
+        low, bare = F.lower(name), name
+        for pattern in VENUE_NOISE:
+            bare = F.regexp_replace(bare, pattern, "")
+        bare = F.trim(bare)
+        acronym = F.regexp_extract(bare, VENUE_ACRONYM, 1)
+        out = F.when(name == "", "")
+        for pattern, label in VENUES:
+            out = out.when(low.rlike(pattern), label)
+        return out.when(acronym != "", acronym).otherwise(bare)
+
+    return let(F.regexp_replace(clean(text), VENUE_EDGES, ""), named)
 
 
 def edge_key(text: Column) -> Column:
@@ -124,16 +153,58 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(ascii_count / 3 + (F.octet_length(text) - ascii_count) / 1.5)
 
 
+# Patterns of identifiers.
+DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+"
+ARXIV_NEW = r"(?i)(?:arXiv\s*:\s*|arxiv\.org/(?:abs|pdf)/)(\d{4}\.\d{4,5}(?:v\d+)?)"
+ARXIV_OLD = r"(?i)(?:arXiv\s*:\s*|arxiv\.org/(?:abs|pdf)/)((?:astro-ph|cond-mat|cs|gr-qc|hep-ex|hep-lat|hep-ph|hep-th|math|math-ph|nlin|nucl-ex|nucl-th|physics|q-bio|quant-ph)/\d{7}(?:v\d+)?)"
+PMID = r"(?i)\bPMID\s*:\s*(\d{5,10})\b"
+
+
+def clean_doi(value: Column) -> Column:
+    """A DOI in small letters, without resolver, "doi:", punctuation behind it and closing brackets that nothing opens."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), r"(?i)^https?://(?:dx\.)?doi\.org/", ""), r"(?i)^doi\s*:\s*", "")
+    bare = F.regexp_replace(bare, r"[.,;:]+$", "")
+    closing = F.length(F.regexp_extract(bare, r"\)+$", 0))
+    surplus = F.length(F.regexp_replace(bare, r"[^)]", "")) - F.length(F.regexp_replace(bare, r"[^(]", ""))
+    return F.lower(F.substring(bare, F.lit(1), F.length(bare) - F.greatest(F.lit(0), F.least(closing, surplus))))
+
+
 def doi(text: Column) -> Column:
-    """First DOI, without punctuation behind it."""
-    return F.lower(F.regexp_replace(F.regexp_extract(text, r"(?i)\b(10\.\d{4,9}/[^\s\"<>]+)", 1), r"[.,;:)\]]+$", ""))
+    """First DOI, cleaned; empty if there is none."""
+    return clean_doi(F.regexp_extract(text, DOI, 0))
 
 
 def arxiv_id(text: Column) -> Column:
-    """First arXiv identifier of the new or the old form, without its version."""
-    new = F.regexp_extract(text, r"(?i)arxiv[:\s/]*(?:abs/)?(\d{4}\.\d{4,5})", 1)
-    old = F.regexp_extract(text, r"(?i)arxiv[:\s/]*(?:abs/)?([a-z-]+(?:\.[a-z]{2})?/\d{7})", 1)
-    return F.when(new != "", new).otherwise(old)
+    """First arXiv identifier of the new form, or else of the old one; empty if there is none."""
+    new = F.regexp_extract(text, ARXIV_NEW, 1)
+    return F.when(new != "", new).otherwise(F.regexp_extract(text, ARXIV_OLD, 1))
+
+
+def pmid(text: Column) -> Column:
+    """First PubMed number; empty if there is none."""
+    return F.regexp_extract(text, PMID, 1)
+
+
+def sentence_around(text: Column, start: Column, end: Column) -> Column:
+    """The sentence or sentences that a span (end exclusive) stands in, of 10,000 characters at most; a Latin full stop needs white space behind it."""
+    left = F.regexp_replace(F.substring(text, F.lit(1), start), r"(?s)^.*(?:[。！？]\s*|[.!?]\s+)", "")
+    rest = F.substring(text, end + 1, F.length(text))
+    tail = F.regexp_extract(rest, r"(?s)^.*?(?:[。！？]|[.!?](?:\s|\z))", 0)
+    right = F.when(tail != "", tail).otherwise(rest)
+    whole = F.concat(left, F.substring(text, start + 1, end - start), right)
+    return F.substring(F.regexp_replace(whole, r"^\s+|\s+$", ""), 1, 10000)
+
+
+# What opens an abstract and a list of key words.
+_ABSTRACT, _KEYWORDS = r"(?:abstract|摘\s*要)", r"(?:index\s+terms?|key\s*words?|keywords?|关\s*键\s*词)"
+
+
+def section_role(text: Column) -> Column:
+    """`abstract-title`, `abstract-body` or `keywords` by how a block begins; empty for others."""
+    value = F.trim(text)
+    return (
+        F.when(value.rlike(rf"(?i)^{_ABSTRACT}\s*(?:[:：.—-])?$"), "abstract-title").when(value.rlike(rf"(?i)^{_ABSTRACT}\s*[:：.—-]\s*\S"), "abstract-body").when(value.rlike(rf"(?i)^{_KEYWORDS}\s*[:：.—-]\s*\S"), "keywords").otherwise("")
+    )
 
 
 def year(text: Column, now: int) -> Column:
@@ -180,7 +251,51 @@ def placeholders(text: Column) -> Column:
     return F.array_sort(F.regexp_extract_all(text, F.lit(r"⟦\d+⟧|\$\d+"), F.lit(0)))
 
 
-def language_code(code: Column) -> Column:
-    """Canonical language code."""
-    low = F.lower(F.regexp_replace(F.trim(code), "_", "-"))
-    return F.when(low.isin("zh", "zh-cn", "zh-hans", "chinese"), "zh-CN").when(low.isin("zh-tw", "zh-hk", "zh-hant"), "zh-TW").when(low.startswith("en"), "en").otherwise(F.element_at(F.split(low, "-"), 1))
+#: A mark of emphasis in a text on its way through a model.
+EMPHASIS = r"__(?:BOLD|COLOR)_(?:START|END)_\d+__"
+
+
+def paired_emphasis(text: Column) -> Column:
+    """The text without the marks of emphasis of which a model kept only the start or only the end."""
+    marks = F.regexp_extract_all(text, F.lit(EMPHASIS), F.lit(0))
+
+    def numbers(which: str) -> Column:
+        return F.transform(F.filter(marks, lambda m: F.contains(m, F.lit(which))), lambda m: F.regexp_extract(m, r"(\d+)__$", 1))
+
+    paired = F.array_intersect(numbers("_START_"), numbers("_END_"))
+    kept = F.transform(marks, lambda m: F.when(F.array_contains(paired, F.regexp_extract(m, r"(\d+)__$", 1)), m).otherwise(""))
+    return F.array_join(F.zip_with(F.split(text, EMPHASIS, -1), kept, lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))), "")
+
+
+def json_body(text: Column) -> Column:
+    """The JSON of a model's answer: fenced, plain, or between the first and the last bracket; null if that is none."""
+    value = F.trim(text)
+    fenced = F.regexp_extract(value, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
+    inner = F.when(fenced != "", fenced).otherwise(value)
+    between = F.regexp_extract(inner, r"(?s)[{\[].*[}\]]", 0)
+
+    def valid(x: Column) -> Column:
+        return F.when(F.try_parse_json(x).isNotNull(), x)
+
+    return F.coalesce(valid(inner), valid(F.when(between != "", between)))
+
+
+# Names of languages and the codes that they stand for.
+LANGUAGES = {
+    "中文": "zh", "简体中文": "zh", "中文（简体）": "zh", "chinese": "zh", "zh-cn": "zh", "zh-hans": "zh", "繁体中文": "zh-hant", "zh-tw": "zh-hant",
+    "english": "en", "英文": "en", "英语": "en", "日语": "ja", "japanese": "ja", "德语": "de", "german": "de", "法语": "fr", "french": "fr", "自动检测": "auto",
+}
+
+
+def language_code(code: Column, source: bool = False) -> Column:
+    """Canonical language code; none stands for `zh`, or `auto` for a source; null if it is no code."""
+    low = F.replace(F.lower(F.trim(code)), F.lit("_"), F.lit("-"))
+    low = F.when(F.coalesce(low, F.lit("")) == "", F.lit("auto" if source else "zh")).otherwise(low)
+    known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), low), low)
+    ok = known.rlike(r"^[a-z]{2,3}(?:-[a-z0-9]{2,8})?$")
+    return F.when((known == "auto") if source else F.lit(False), known).when(ok, known)
+
+
+def utc_stamp(time: Column) -> Column:
+    """A point in time as text of ISO 8601 in UTC, to the second: such texts sort as the times do."""
+    return F.concat(F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from quire.functions import markup
 from pyspark.sql.types import StringType, StructType
 
 
@@ -28,11 +30,9 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def formula_files(spark: SparkSession, path: str) -> DataFrame:
-    """(page, display, inline) of files page-N.mmd: formulas between $$ and between $."""
-    files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"page-(\d+)\.mmd$", 1).cast("int").alias("page"))
-    display = F.regexp_extract_all("value", F.lit(r"(?s)\$\$(.+?)\$\$"), F.lit(1))
-    rest = F.regexp_replace("value", r"(?s)\$\$.+?\$\$", " ")
-    return files.filter("page is not null").select("page", display.alias("display"), F.regexp_extract_all(rest, F.lit(r"\$([^$\n]+)\$"), F.lit(1)).alias("inline"))
+    """(page, display, inline) of files page-N.mmd: their formulas."""
+    files = spark.read.text(path, wholetext=True).select(markup.formula_candidates(F.col("value")).alias("f"), F.regexp_extract(F.input_file_name(), r"page-(\d+)\.mmd$", 1).cast("int").alias("page"))
+    return files.filter("page is not null").select("page", "f.display", "f.inline")
 
 
 def assets(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.engine import Engine
 from quire.functions import text as T
 from quire.functions import vectors
-from quire.operators import graph, layout, library, merge, search, state
+from quire.operators import graph, layout, library, merge, reader, search, state
 from quire.plans import catalogue
 from quire.sources.json_files import assets, formula_files, replace_version, tolerant_json, with_fallback
 
@@ -147,9 +147,85 @@ def test_hyphens_join(spark):
 
 def test_python_functions():
     assert vectors.spread_order(9)[:5] == [0, 8, 4, 2, 6] and sorted(vectors.spread_order(23)) == list(range(23)) and vectors.spread_order(0) == [] and vectors.spread_order(1) == [0]
-    assert vectors.table_grid([("a", 2, 1), ("b", 1, 2), ("c", 1, 1), ("d", 1, 1)], [2, 2]) == [["a", "b", "b"], ["a", "c", "d"]]
-    fit = vectors.fit_messages([{"content": "x" * 90, "removable": True}, {"content": "y" * 90, "truncatable": True}, {"content": "q"}], 60, len)
-    assert fit[0]["content"] == "" and fit[1]["content"] == "y" * 35 and fit[2]["content"] == "q"
+
+
+def covered_places(cells):
+    """Places by marking every covered one: the plain way."""
+    taken, out, at, line = {}, [], 0, None
+    for cell in cells:
+        at, line = (at if cell["row"] == line else 0), cell["row"]
+        while (line, at) in taken:
+            at += 1
+        places = [(line + i, at + j) for i in range(cell["down"]) for j in range(cell["across"])]
+        out.append((line, at, any(x in taken for x in places)))
+        taken.update(dict.fromkeys(places))
+        at += cell["across"]
+    return out
+
+
+def test_table_cells_are_placed():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        cells = sorted(({"row": rng.randint(0, 4), "down": rng.choice((1, 1, 2, 3)), "across": rng.choice((1, 1, 2, 3))} for _ in range(rng.randint(0, 12))), key=lambda c: c["row"])
+        assert [(c["row"], c["col"], c["overlaps"]) for c in vectors.placed(cells)] == covered_places(cells)
+    assert vectors.placed(None) == []
+
+
+def test_messages_give_way_in_order(spark):
+    def tokens(t):
+        n = sum(x < "\x80" for x in t)
+        return math.ceil(n / 3 + (len(t.encode()) - n) / 1.5)
+
+    def plain(rows, limit):
+        left = {seq: text for seq, text, _, _ in rows}
+
+        def total():
+            return 8 + sum(8 + tokens(t) for t in left.values())
+
+        for which in (2, 3):
+            for r in sorted((r for r in rows if r[which] is not None), key=lambda r: r[which]):
+                if total() > limit:
+                    text, left[r[0]] = left[r[0]], ""
+                    if which == 3:
+                        left[r[0]] = max((text[:k] for k in range(len(text) + 1) if total() + tokens(text[:k]) <= limit), key=len, default="")
+        over = 8 + sum(8 + tokens(t) for t in left.values() if t) <= limit
+        return {(seq, t, over) for seq, t in left.items() if t}
+
+    import math
+    import random
+
+    rng = random.Random(2)
+    for limit in (40, 90, 200):
+        rows = [(i, "ab é 漢字 word"[: rng.randint(0, 13)] * rng.randint(0, 14), rng.choice((None, 9 - i)), rng.choice((None, i))) for i in range(7)]
+        rows = [(a, b, c, d if c is None else None) for a, b, c, d in rows]
+        df = spark.createDataFrame([("k", *r) for r in rows], "key string, seq int, text string, removable int, truncatable int")
+        assert {(r.seq, r.text, r.fits) for r in reader.fitted(df, "key", limit).collect()} == plain(rows, limit)
+
+
+def test_paragraphs_join_over_pages_and_figures(spark):
+    box = "struct<page:int,x0:double,y0:double,x1:double,y1:double,text:string>"
+    fig = "array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>"
+    low, high = (1, 0.1, 0.6, 0.9, 0.9, "goes on and"), (2, 0.1, 0.1, 0.9, 0.3, "ends in this line")
+    cases = [
+        (low, high, [], True), (low, (*high[:5], "Starts anew"), [], False), ((*low[:5], "is over."), high, [], False), ((*low[:4], 0.7, low[5]), high, [], False), (low, (3, *high[1:]), [], False),
+        ((*low[:5], "Figure 3 shows"), high, [], False), (low, (2, 0.1, 0.4, 0.9, 0.6, high[5]), [(2, 0.1, 0.05, 0.9, 0.38)], True), (low, (2, 0.1, 0.6, 0.9, 0.8, high[5]), [(2, 0.1, 0.05, 0.9, 0.38)], False),
+        ((1, 0.1, 0.1, 0.9, 0.3, "goes on and"), (1, 0.1, 0.6, 0.9, 0.8, "ends here"), [(1, 0.1, 0.32, 0.9, 0.55)], True), ((1, 0.1, 0.1, 0.9, 0.3, "goes on and"), (1, 0.1, 0.6, 0.9, 0.8, "ends here"), [], False),
+        ((1, 0.52, 0.6, 0.95, 0.9, "goes on"), (2, 0.05, 0.1, 0.48, 0.3, "in the left column"), [], True), ((1, 0.1, 0.9, 0.9, 1.2, "x"), high, [], False), (low, high, [(2, 0.1, 0.05, 0.9, 0.09), (1, 0.1, 0.91, 0.9, 0.95)], False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, a {box}, b {box}, figures {fig}, want boolean")
+    assert [r.i for r in reader.paragraphs_join(df).filter("joins <> want").collect()] == []
+
+
+def test_texts_in_other_forms(spark):
+    import unicodedata
+
+    texts = ["Ｆｕｌｌ　ｗｉｄｔｈ", "ﬁne ﬂow", "e\u0301te\u0301", "plain", "", "a\u00a0b", "𝐀𝐛𝟏", "Việt Nam", "İstanbul", "½ ℃"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(T.clean(F.col("t"))).collect()]
+    assert got[:9] == [" ".join(unicodedata.normalize("NFKC", t).split()) for t in texts[:9]]
+    assert [r[0] for r in df.orderBy("i").select(T.fold_marks(F.lower("t"))).collect()][7] == "viet nam"
 
 
 def test_frames_of_python_functions(spark):
@@ -184,7 +260,7 @@ def test_json_sources_bear_broken_files(spark, tmp_path):
     good, bad = (tolerant_json(spark, str(tmp_path / f"{x}.json"), schema) for x in ("good", "bad"))
     assert tolerant_json(spark, str(tmp_path / "none.json"), schema).count() == 0
     assert [r.a for r in with_fallback(bad, good).collect()] == [1]
-    (tmp_path / "page-3.mmd").write_text("x $a+b$ and $$c\n=d$$")
+    (tmp_path / "page-3.mmd").write_text("x \\(a+b\\) and\n$$\nc\n=d\n$$\n")
     r = formula_files(spark, str(tmp_path / "page-3.mmd")).first()
     assert (r.page, r.display, r.inline) == (3, ["c\n=d"], ["a+b"])
     png = spark.createDataFrame([(bytearray(b"\x89PNG\r\n\x1a\nx"),), (bytearray(b"\x89PNG\r\n\x1a\nx"),), (bytearray(b"%PDF-1"),)], "content binary")
