@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +47,31 @@ def merged_fields(current: DataFrame, incoming: DataFrame) -> DataFrame:
 def anchored(quotes: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
     """(quote_id, n, place): how many texts hold each quote, and the only one that does.
 
-    A text can only hold a quote if it holds the quote's first words after a word boundary, so both
-    sides are joined by a hash of `words` words at every word's place; `contains` then verifies. A
-    shorter quote is joined by its first word.
+    The inner words of a quote stand between white space in every text that holds it, wherever the
+    quote begins; so places and quotes are joined by a hash of up to `words` of them. A quote of less
+    than three words has none: it is joined by its characters, at every place. Texts themselves are
+    only brought to the pairs that such a key finds, and `contains` verifies.
     """
-    split = F.split("text", r"\s+")
-
-    def starts(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.col("w")) - n, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-
-    q = quotes.withColumn("w", F.split(F.trim("quote"), r"\s+")).withColumn("n", F.when(F.size("w") > words, words).otherwise(1))
-    q = q.filter("trim(quote) <> ''").withColumn("k", F.when(F.size("w") > words, F.array_join(F.slice("w", 1, words), " ")).otherwise(F.element_at("w", 1)))
-    sizes = [n for n in (words, 1) if n == words or not q.filter("n = 1").isEmpty()]
-    keys = [texts.withColumn("w", split).select("place", "text", F.lit(n).alias("n"), F.explode(F.array_distinct(starts(n))).alias("k")) for n in sizes]
-    t = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
-    exact = t.join(q.select("quote_id", "quote", "n", "k"), ["n", "k"]).filter(F.contains("text", "quote")).select("quote_id", "place").distinct()
+    w = F.split(F.trim("quote"), r"\s+")
+    inner = F.greatest(F.lit(0), F.least(F.lit(words), F.size(w) - 2))
+    asked = quotes.filter("trim(quote) <> ''").select("quote_id", "quote", inner.alias("n"), F.when(inner > 0, 0).otherwise(F.length("quote")).alias("chars"), F.when(inner > 0, F.array_join(F.slice(w, F.lit(2), inner), " ")).otherwise(F.col("quote")).alias("k"))
+    keys = asked.select("quote_id", "n", "chars", F.xxhash64("k").alias("k"))
+    sizes = [(r["n"], r["chars"]) for r in keys.select("n", "chars").distinct().collect()]  # at most `words`, and the lengths of short quotes
+    if not sizes:
+        return quotes.select("quote_id", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(texts.schema["place"].dataType).alias("place"))
+
+    def places(n: int, chars: int) -> Column:
+        if n:
+            found = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")))
+            found = F.when(F.size("w") >= n, found)
+        else:
+            found = F.when(F.length("text") >= chars, F.transform(F.sequence(F.lit(1), F.length("text") - chars + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(chars)))))
+        return F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>")))
+
+    split = texts.select("place", "text", F.split("text", r"\s+").alias("w"))
+    each = reduce(DataFrame.union, [split.select("place", F.lit(n).alias("n"), F.lit(chars).alias("chars"), F.explode(places(n, chars)).alias("k")) for n, chars in sizes])
+    small = keys.count() * 40 <= 1 << 20
+    pairs = each.join(F.broadcast(keys) if small else keys.hint("merge"), ["n", "chars", "k"]).select("quote_id", "place").distinct()
+    exact = pairs.join(asked.select("quote_id", "quote"), "quote_id").join(texts.select("place", "text"), "place").filter(F.contains("text", "quote")).select("quote_id", "place").distinct()
     found = exact.groupBy("quote_id").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     return quotes.join(found, "quote_id", "left").select("quote_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("place")).alias("place"))

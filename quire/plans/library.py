@@ -225,11 +225,11 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", F.lower("answer").rlike(r"^\s*(sure|certainly|of course|here is)").alias("chatty"), (F.size(numbers) > 0).alias("lost"), (~F.col("answer").rlike(r"[.!?。]\s*$")).alias("cut"))
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT e.event_id FROM events e WHERE e.event_id NOT IN (SELECT doc_id FROM blocks WHERE pos = 3)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O')")
 def stale_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-17, JOIN-03: cache entries whose block isn't metadata."""
-    gone = blocks(spark, sf_dir).filter("pos = 3").select(F.col("doc_id").alias("event_id"))
-    return table(spark, sf_dir, "events").select("event_id").join(gone, "event_id", "left_anti")
+    """FLT-17, JOIN-03: entries that are kept when those of some owners are purged."""
+    gone = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(gone, "l_orderkey", "left_anti")
 
 
 @query(f"""WITH {BLOCKS_SQL}, b AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos) - length(text) - 2 AS before FROM blocks)

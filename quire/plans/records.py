@@ -89,12 +89,12 @@ def scaled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT doc_id, left(sha256(text), 16) AS short_id, sha256('default' || chr(10) || 'zh-CN' || chr(10) || doc_id || chr(10) || sha256(text)) AS cache_key, list_sum(list_transform(regexp_extract_all(left(text, 200), '(?s).'), lambda x: CASE WHEN unicode(x) > 65535 THEN 2 ELSE 1 END))::bigint AS utf16 FROM documents""")
+@query(r"""SELECT doc_id, left(sha256(text), 16) AS short_id, sha256('default' || chr(10) || 'zh-CN' || chr(10) || doc_id || chr(10) || sha256(text)) AS cache_key, (length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::bigint AS utf16 FROM documents""")
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FUN-20, FUN-40, FUN-41: truncated hashes, cache keys and UTF-16 offsets."""
     sha = F.sha2(F.col("text").cast("binary"), 256)
     key = F.sha2(F.concat_ws("\n", F.lit("default"), F.lit("zh-CN"), "doc_id", sha).cast("binary"), 256)
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(sha, 1, 16).alias("short_id"), key.alias("cache_key"), (F.length(F.encode(F.substring("text", 1, 200), "UTF-16LE")) / 2).cast("bigint").alias("utf16"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(sha, 1, 16).alias("short_id"), key.alias("cache_key"), (F.length(F.encode("text", "UTF-16LE")) / 2).cast("bigint").alias("utf16"))
 
 
 @query("""WITH k AS (SELECT l_orderkey AS parent, list_sort(list(DISTINCT 'n' || l_linenumber) FILTER (l_linenumber % 2 = 0)) AS notes, list_sort(list(DISTINCT 'a' || l_linenumber) FILTER (l_linenumber % 2 = 1)) AS attachments FROM lineitem GROUP BY ALL)

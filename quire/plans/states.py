@@ -86,11 +86,11 @@ def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest_revision(table(spark, sf_dir, "events").withColumnRenamed("event_id", "revision"), "user_id", "revision", "props")
 
 
-@query("""SELECT lang AS language, lower(trim(regexp_replace(left(text, 12), '\\s+', ' ', 'g'))) AS term_key, arg_min(doc_id, (n_chars, doc_id)) AS id, list_sort(list_distinct(list(source))) AS sources, max(n_chars) AS updated FROM documents GROUP BY ALL""")
+@query("""SELECT lang AS language, lower(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))) AS term_key, arg_min(doc_id, (n_chars, doc_id)) AS id, list_sort(list_distinct(list(source))) AS sources, max(n_chars) AS updated FROM documents GROUP BY ALL""")
 def vocabulary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-15, FUN-05: entries by language and term key."""
     docs = table(spark, sf_dir, "documents")
-    return state.vocabulary(docs.select(F.col("lang").alias("language"), F.substring("text", 1, 12).alias("term"), F.col("doc_id").alias("id"), "source", F.col("n_chars").alias("at")))
+    return state.vocabulary(docs.select(F.col("lang").alias("language"), F.element_at(F.split("text", "\n"), 1).alias("term"), F.col("doc_id").alias("id"), "source", F.col("n_chars").alias("at")))
 
 
 @query("""WITH r AS (SELECT conv_id, turn, role AS action, CASE WHEN role = 'assistant' THEN 'ai' ELSE 'manual' END AS source, 'yellow' AS color FROM conversations)

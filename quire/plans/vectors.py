@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import vectors
-from quire.sources.tables import blocks, table
+from quire.sources.tables import block_rows, table
 
 from .book import query
 
@@ -32,13 +32,13 @@ def html_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-10: blocks of documents filled into batches."""
-    return vectors.micro_batches(blocks(spark, sf_dir), "doc_id", "pos", "text")
+    return vectors.micro_batches(block_rows(spark, sf_dir), "doc_id")
 
 
 @query()
 def evidence_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-11, SRT-09: blocks that cover a document within a budget."""
-    return vectors.spread_sample(blocks(spark, sf_dir), "doc_id", "pos", "text", 1500)
+    return vectors.spread_sample(block_rows(spark, sf_dir), "doc_id", 1500)
 
 
 @query()
@@ -54,5 +54,5 @@ def record_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def term_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FUN-05, FUN-08: NFKC and case folding."""
-    return table(spark, sf_dir, "documents").select("doc_id", vectors.nfkc_fold(F.substring("text", 1, 40)).alias("key"))
+    """FUN-05, FUN-08: NFKC and case folding of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(vectors.nfkc_fold("text").cast("binary"), 256).alias("key"))

@@ -26,6 +26,12 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "pos", F.btrim("line").alias("text"), F.concat_ws("-", "doc_id", "pos").alias("block_id")).filter("text <> ''")
 
 
+def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, blocks): the same blocks as an array of (pos, block_id, text) beside their document, so that nothing is shuffled."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), F.concat_ws("-", "doc_id", i).alias("block_id"), F.btrim(line).alias("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.filter(lines, lambda b: b["text"] != "").alias("blocks"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations: turns of conversations; those of the assistant count as suggested."""
     return table(spark, sf_dir, "conversations").select(

@@ -124,6 +124,11 @@ def test_quotes_anchor_when_unique(spark):
     quotes = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "shared words in two of them"), (3, "not there at all ever"), (4, "zeta"), (5, "")], "quote_id int, quote string")
     texts = spark.createDataFrame([(10, "x alpha beta gamma delta epsilon y"), (11, "shared words in two of them. zeta"), (12, "also shared words in two of them")], "place int, text string")
     assert {r.quote_id: (r.n, r.place) for r in merge.anchored(quotes, texts).collect()} == {1: (1, 10), 2: (2, None), 3: (0, None), 4: (1, 11), 5: (0, None)}
+    inside = spark.createDataFrame([(10, "see (two plain words here) and 这是引用的一句话。"), (11, "ends plain words"), (12, "x")], "place int, text string")
+    asked = ["two plain words here", "plain words", "引用的", "plain", "no such words here", "(two", "x", "two plain words"]
+    got = {r.quote_id: (r.n, r.place) for r in merge.anchored(spark.createDataFrame(list(enumerate(asked)), "quote_id int, quote string"), inside).collect()}
+    want = {i: [p for p, t in ((10, "see (two plain words here) and 这是引用的一句话。"), (11, "ends plain words"), (12, "x")) if q in t] for i, q in enumerate(asked)}
+    assert got == {i: (len(p), p[0] if len(p) == 1 else None) for i, p in want.items()}
 
 
 # layout
@@ -235,9 +240,16 @@ def test_frames_of_python_functions(spark):
     assert df.select(vectors.sanitise("html")).first()[0] == '<p>One <b>two</b></p><p>no</p><ul><li>a<li>b</ul><td rowspan="2">1 &lt; 2</td>'
     assert "One **two**" in df.select(vectors.to_markdown("html")).first()[0]
     assert spark.createDataFrame([("abcd", "abxd")], "a string, b string").select(vectors.title_ratio("a", "b")).first()[0] == round(SequenceMatcher(None, "abcd", "abxd").ratio(), 6)
-    b = spark.createDataFrame([(1, i, "s. " * 900) for i in range(4)], "doc bigint, pos int, text string")
-    got = vectors.micro_batches(b, "doc", "pos", "text").collect()
+    kind = "doc bigint, blocks array<struct<pos:int,block_id:string,text:string>>"
+    rows = spark.createDataFrame([(1, [(i, f"b{i}", "s. " * 900) for i in range(4)]), (2, []), (3, None)], kind)
+    got = vectors.micro_batches(rows, "doc").collect()
     assert {r.batch for r in got} == {0, 1, 2, 3} and all(r.chars <= 4000 for r in got)
+    long = spark.createDataFrame([(1, [(i, f"b{i}", "x" * 10) for i in range(9)])], kind)
+
+    def taken(budget, priority=None):
+        return [r.pos for r in vectors.spread_sample(long, "doc", budget, priority=priority).collect()]
+
+    assert taken(90) == list(range(9)) and taken(35) == [0, 4, 8] and taken(35, ["b3", "b5"]) == [0, 3, 8] and taken(9) == []
 
 
 def test_counts_of_folders_keep_zeros(spark):
