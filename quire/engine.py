@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import graph, library, merge, search
+from quire.operators.search_index import SearchIndex
 from quire.session import importable
 
 
@@ -15,13 +16,14 @@ from quire.session import importable
 class Engine:
     """A library's relations and the operations on them.
 
-    sources: job_id, kind, source_id, text · items: job_id, folder_ids, deleted, ... · folders: folder_id, parent_id
+    sources: job_id, kind, source_id, text · index: a kept index of them, which is read in their place · items: job_id, folder_ids, deleted, ... · folders: folder_id, parent_id
     """
 
     spark: SparkSession
     sources: DataFrame | None = None
     items: DataFrame | None = None
     folders: DataFrame | None = None
+    index: SearchIndex | None = None
     scopes: list[str] = field(default_factory=lambda: [f"read:{k}" for k in search.KINDS])
 
     def __post_init__(self) -> None:
@@ -35,7 +37,10 @@ class Engine:
         }
 
     def search_library(self, query: str = "", limit: int = 30, offset: int = 0, kinds: list[str] | None = None, folder_items: DataFrame | None = None) -> DataFrame:
-        return search.search(self.sources, query, limit, offset, search.allowed_kinds(self.scopes, kinds), folder_items)
+        granted = search.allowed_kinds(self.scopes, kinds)
+        if self.index is not None:
+            return self.index.search(query, limit, offset, granted, folder_items)
+        return search.search(self.sources, query, limit, offset, granted, folder_items)
 
     def names(self) -> list[str]:
         return sorted(self._capabilities())

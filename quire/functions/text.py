@@ -23,6 +23,10 @@ _MARKED = [chr(x) for x in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(
 _PLAIN = [unicodedata.normalize("NFD", x)[0] for x in _MARKED]
 
 
+#: The same for str.translate.
+PLAIN = dict(zip(map(ord, _MARKED), _PLAIN, strict=True))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once, however often `body` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,21 +14,31 @@ KINDS = ("metadata", "notes", "annotations", "content")
 K1, B = 1.2, 0.75
 
 
-def phrases(query: str, spark_tokens: bool = False) -> list[list[str]]:
+def phrases(query: str) -> list[list[str]]:
     """Each word of a query is a phrase of lexical tokens; no query syntax is read."""
     import re
-    import unicodedata
 
     def tokens(word: str) -> list[str]:
         apart = re.sub(r"([㐀-鿿])", r" \1 ", word).lower()
         runs = ("".join(x if x.isalnum() else " " for x in apart)).split()
-        return ["".join(y for y in unicodedata.normalize("NFD", r) if not unicodedata.combining(y)) if all(ord(x) < 0x250 for x in r) else r for r in runs]
+        return [r.translate(T.PLAIN) for r in runs]
 
     if len(query) > 500:
         raise ValueError("a query has at most 500 characters")
     return [t for word in query.split() if (t := tokens(word))]
 
 
+def bm25(n: int) -> Column:
+    """The score of n phrases, of which columns tf, df, size, n and mean tell; a lower one is better."""
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
+        return F.when(idf > 0, idf).otherwise(1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+
+    return -reduce(lambda a, b: a + b, [part(i) for i in range(n)])
+
+
 def matching(sources: DataFrame, query: str) -> DataFrame:
     """`sources` (job_id, kind, source_id, text) with `score`, for rows that hold every phrase; a lower score is better.
 
@@ -46,23 +56,23 @@ def matching(sources: DataFrame, query: str) -> DataFrame:
     counted = sources.withColumn("counts", F.element_at(F.transform(F.array(T.lexical_tokens(F.col("text"))), counts), 1)).select(*sources.columns, "counts.*")
     stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
 
-    def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
-        return F.when(idf > 0, idf).otherwise(1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-
     hit = reduce(and_, [F.col(f"tf{i}") > 0 for i in range(len(wanted))])
-    score = -reduce(lambda a, b: a + b, [part(i) for i in range(len(wanted))])
+    score = bm25(len(wanted))
     one_row = F.broadcast(stats)
     return counted.filter(hit).join(one_row, F.lit(True)).withColumn("score", score).select(*sources.columns, "score")
 
 
-def search(sources: DataFrame, query: str = "", limit: int = 30, offset: int = 0, kinds: list[str] | None = None, folder_items: DataFrame | None = None) -> DataFrame:
-    """A page of hits: job_id, kind, source_id, score, snippet and the total before paging."""
+def checked(limit: int, offset: int, kinds: list[str] | None) -> None:
+    """Raises for a page or kinds that can't be."""
     if isinstance(limit, bool) or not 1 <= limit <= 100 or isinstance(offset, bool) or offset < 0:
         raise ValueError("limit is 1 to 100, offset not negative")
     if kinds is not None and not set(kinds) <= set(KINDS):
         raise ValueError(f"kinds are of {KINDS}")
+
+
+def search(sources: DataFrame, query: str = "", limit: int = 30, offset: int = 0, kinds: list[str] | None = None, folder_items: DataFrame | None = None) -> DataFrame:
+    """A page of hits: job_id, kind, source_id, score, snippet and the total before paging."""
+    checked(limit, offset, kinds)
     found = matching(sources, query)
     if kinds is not None:
         found = found.filter(F.col("kind").isin(kinds))
