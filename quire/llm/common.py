@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import cut as materialise
+from quire.session import shared_dir, shared_path
+
+__all__ = ["materialise", "shared_dir", "shared_path"]
+
 #: A word is a maximal run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,45 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in local mode where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has already ended
-        return
-
-
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
     """Equi-join that broadcasts `small`, a table of numbers, only if its counted rows have at most BROADCAST_BYTES."""
     n = small.count() if rows is None else rows
