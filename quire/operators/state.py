@@ -65,17 +65,33 @@ def compare_and_set(current: DataFrame, writes: DataFrame, key: str) -> DataFram
     return asked.join(first, key, "left").select(key, "seq", F.when(fits & (F.col("seq") == F.col("winner")), "updated").otherwise("conflict").alias("outcome"))
 
 
-def replay(events: DataFrame, key: str, order: list[str], event: str, start: str = "unparsed") -> DataFrame:
-    """(key, status, applied): the state machine run over each key's events in order; events that don't fit change nothing."""
+def replay(events: DataFrame, key: str, order: list[str], event: str, start: str = "unparsed", block: int = 1024) -> DataFrame:
+    """(key, status, applied): the state machine run over each key's events in order; events that don't fit change nothing.
+
+    What a run of events does to each of the few statuses is a small table, and tables of runs that
+    follow each other combine: so a key's history is folded in blocks, and then their tables.
+    """
+    names = sorted({start, *(a for a, _ in TRANSITIONS), *TRANSITIONS.values()})
     table = F.create_map(*[F.lit(x) for (a, b), c in TRANSITIONS.items() for x in (f"{a}>{b}", c)])
+    numbered = events.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / block))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, event))), lambda x: x[event])
 
     def step(acc: Column, e: Column) -> Column:
         after = F.try_element_at(table, F.concat_ws(">", acc["status"], e))
         return F.struct(F.coalesce(after, acc["status"]).alias("status"), (acc["applied"] + F.when(after.isNotNull(), 1).otherwise(0)).alias("applied"))
 
-    state = F.aggregate(ordered, F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied")), step)
-    return events.groupBy(key).agg(state.alias("s")).select(key, "s.status", "s.applied")
+    def from_status(name: str) -> Column:
+        return F.aggregate(ordered, F.struct(F.lit(name).alias("status"), F.lit(0).alias("applied")), step)
+
+    runs = numbered.groupBy(key, "block").agg(F.create_map(*[x for n in names for x in (F.lit(n), from_status(n))]).alias("run"))
+
+    def follow(acc: Column, run: Column) -> Column:
+        after = F.element_at(run, acc["status"])
+        return F.struct(after["status"].alias("status"), (acc["applied"] + after["applied"]).alias("applied"))
+
+    tables = F.transform(F.array_sort(F.collect_list(F.struct("block", F.map_entries("run").alias("run")))), lambda x: F.map_from_entries(x["run"]))
+    state = F.aggregate(tables, F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied")), follow)
+    return runs.groupBy(key).agg(state.alias("s")).select(key, "s.status", "s.applied")
 
 
 def latest_revision(history: DataFrame, key: str, revision: str, value: str) -> DataFrame:

@@ -28,7 +28,8 @@ def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.union_box(boxes(spark, sf_dir), "page")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES_SQL}, n AS (SELECT *, row_number() OVER () AS k FROM boxes), e AS (SELECT a.k AS u, b.k AS v, b.idx FROM n a JOIN n b ON a.page = b.page AND greatest(0, a.x0 - b.x1, b.x0 - a.x1) <= 16 AND greatest(0, a.y0 - b.y1, b.y0 - a.y1) <= 16),
+    r AS (SELECT u, v, idx FROM e UNION SELECT r.u, e.v, e.idx FROM r JOIN e ON e.u = r.v), g AS (SELECT u, min(idx) AS m FROM r GROUP BY u) SELECT page, idx, m::int AS "group" FROM n JOIN g ON g.u = k""")
 def box_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-05, JOIN-06: groups of boxes that are near each other."""
     return layout.box_groups(boxes(spark, sf_dir), 16.0)

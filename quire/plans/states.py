@@ -110,9 +110,14 @@ def suggestion_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.reconciled(li.filter("l_discount > 0.05"), existing, ["block", "quote"])
 
 
-@query()
+_STEPS = ", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in state.TRANSITIONS.items())
+
+
+@query(f"""WITH RECURSIVE t(a, e, b) AS (VALUES {_STEPS}), o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'signup' THEN 'queue' WHEN 'click' THEN 'start' WHEN 'view' THEN 'finish' WHEN 'purchase' THEN 'cancel' WHEN 'error' THEN 'fail' END AS e FROM events),
+    r AS (SELECT DISTINCT user_id, 0::bigint AS i, 'unparsed' AS status, 0 AS applied FROM events UNION ALL SELECT r.user_id, o.i, coalesce(t.b, status), applied + (t.b IS NOT NULL)::int FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1 LEFT JOIN t ON t.a = status AND t.e = o.e)
+    SELECT user_id, arg_max(status, i) AS status, max(applied) AS applied FROM r GROUP BY user_id""")
 def job_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-05: the state machine over each user's events; a fold in order, which SQL has no form for."""
+    """STR-05: the state machine over each user's events."""
     names = F.create_map(*[F.lit(x) for pair in (("signup", "queue"), ("click", "start"), ("view", "finish"), ("purchase", "cancel"), ("error", "fail")) for x in pair])
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", names[F.col("event_type")].alias("event"))
     return state.replay(events, "user_id", ["ts", "event_id"], "event")
