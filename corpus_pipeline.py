@@ -2,12 +2,13 @@
 
 Ids are taken to be unique. Null and empty texts fail the quality rules, an empty table passes
 through all stages as an empty table, and extra columns of documents stay up to the last stage,
-which returns the encoded documents: doc_id, n_pieces, pieces_sha256, lossless.
+which returns the encoded documents: doc_id, n_pieces, pieces_sha256, lossless. The tables between
+stages go when the application ends; a run that is given a folder keeps them there, and a later one with
+the same folder goes on behind the last stage that was written whole.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that occur earlier; one that is left without a word goes. n_chars follows the text."""
-    cut = line_dedup.deduplicated(docs)
-    left = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the lines that occur earlier; one that is left without a word goes. n_chars follows the text, where there is such a column."""
+    taken = "__taken"
+    left = line_dedup.deduplicated(docs, count_col=taken).filter((F.col(taken) == 0) | F.col("text").rlike(common.WORD))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +61,19 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """All stages over documents."""
     importable(spark)
-    folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = folder.rstrip("/") if folder else common.shared_path(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{base}/{name}"
+        if not (folder and _written(spark, path)):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
