@@ -15,7 +15,7 @@ weighted Jaccard, each shingle weighing its multiplicity, whatever the order.
 3. Candidates are verified exactly.
 
 The first step loses nothing. The radius is what the method itself can lose: of windows of 0.8 to 0.85
-one in some thousands differs in more than 20 bits (README has figures).
+about one in eight thousand differs in more than 20 bits (README has figures).
 
 Null texts and texts or items under five words have no shingle and match nothing. Rows that repeat
 an id give one result, with the windows of all their texts. Extra columns are left out by `leaks` and

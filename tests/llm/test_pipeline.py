@@ -1,6 +1,7 @@
 """The pipeline on a small corpus: each stage against brute force on its own input."""
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 from samples import prose
 from test_operators import brute_components, brute_lines
@@ -45,6 +46,32 @@ def test_each_stage_does_its_job_on_what_is_left(spark, tmp_path):
     assert set(done) == set(clean) and all(r.lossless and r.n_pieces > 0 for r in done.values())
 
 
+def test_a_run_goes_on_where_one_stopped(spark, tmp_path, monkeypatch):
+    corpus(spark, f"{tmp_path}/in")
+    whole = sorted(corpus_pipeline.run(spark, f"{tmp_path}/in").collect())
+    real, done = corpus_pipeline.STAGES, []
+
+    def noted(name, stage):
+        return name, lambda *args: (done.append(name), stage(*args))[1]
+
+    def broken(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*(noted(*x) for x in real[:2]), ("near_duplicates", broken), *real[3:]])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/kept")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(*x) for x in real])
+    assert sorted(corpus_pipeline.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/kept").collect()) == whole
+    assert done == [x for x, _ in real]
+
+
+def test_columns_that_clash_or_lack(spark):
+    line = "one line of some words that stands in two documents of this small table"
+    docs = spark.createDataFrame([(1, f"{line}\nfirst", 7), (2, f"{line}\nsecond", 8)], "doc_id bigint, text string, n_removed int")
+    out = corpus_pipeline.line_deduplication(spark, docs, "")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, f"{line}\nfirst", 7), (2, "second", 8)] and out.columns == docs.columns
+
+
 def test_an_empty_table_passes_through(spark, tmp_path):
     docs = corpus(spark, f"{tmp_path}/full").limit(0)
     docs.write.parquet(f"{tmp_path}/none/documents.parquet")
