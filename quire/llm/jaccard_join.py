@@ -310,7 +310,8 @@ def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidates (x, y) of different parts: the columns of `lists` and `part`, which no two classes that are to meet share.
 
     The parts of a list are paired first, if their sizes, places and (of single classes) parities let
-    some members link, and then their members: members of one part are never paired.
+    some members link; then each member is held against what is known of the other part, and only
+    those that may link meet its members. Members of one part are never paired.
     """
     left = c.materialise(lists.join(classes.select("cls", *MARKS), "cls"))
     ranges = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("reach"), F.count("*").alias("cnt"), *[F.first(m).alias(m) for m in MARKS]]
@@ -323,14 +324,17 @@ def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sizes = (percent * F.col("g.lo") <= 100 * F.col("h.hi")) & (percent * F.col("h.lo") <= 100 * F.col("g.hi")) & (F.least("g.reach", "h.reach") + OCCUR > least)
     single = (F.col("g.cnt") > 1) | (F.col("h.cnt") > 1) | (apart("g", "h") <= F.col("g.lo") + F.col("h.lo") - 2 * least)
     both = parts.alias("g").join(parts.alias("h"), (F.col("g.token") == F.col("h.token")) & (F.col("g.part") < F.col("h.part")) & (F.col("g.some") | F.col("h.some")) & sizes & single)
-    both = both.select(F.col("g.token").alias("token"), F.col("g.part").alias("part"), F.col("h.part").alias("other"))
+    both = both.select(F.col("g.token").alias("token"), F.col("g.part").alias("part"), F.col("h.part").alias("other"), F.struct(*[F.col(f"h.{x}").alias(x) for x in ("lo", "hi", "reach", "cnt", *MARKS)]).alias("r"))
     side = F.struct("n", "cls", "at", "inner", *MARKS)
-    a = left.select("token", "part", side.alias("a"))
+    a = left.select(F.col("token").alias("s"), F.col("part").alias("p"), side.alias("a"))
+    low = _need(F.col("a.n"), F.col("r.lo"), percent)  # what a member needs at least with any of the other part
+    may = (percent * F.col("a.n") <= 100 * F.col("r.hi")) & (percent * F.col("r.lo") <= 100 * F.col("a.n")) & (F.least(F.col("a.n") - F.col("a.at"), F.col("r.reach")) + OCCUR > low)
+    may = may & ((F.col("r.cnt") > 1) | (apart("a", "r") <= F.col("a.n") + F.col("r.lo") - 2 * low))
     b = left.select(F.col("token").alias("t"), F.col("part").alias("o"), side.alias("b"))
     need = _need(F.col("a.n"), F.col("b.n"), percent)
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + OCCUR  # a later common shingle only counts beside an earlier one
     fits = (percent * F.greatest("a.n", "b.n") <= 100 * F.least("a.n", "b.n")) & (reach > need) & (apart("a", "b") <= F.col("a.n") + F.col("b.n") - 2 * need)
-    met = both.join(a, ["token", "part"]).join(b, (F.col("token") == F.col("t")) & (F.col("other") == F.col("o")) & fits)
+    met = both.join(a, (F.col("token") == F.col("s")) & (F.col("part") == F.col("p")) & may).join(b, (F.col("token") == F.col("t")) & (F.col("other") == F.col("o")) & fits)
     plain = [F.struct(*[F.col(f"{x}.{f}").alias(f) for f in ("n", "cls", "at", "inner")]).alias(x) for x in ("a", "b")]
     return _often(_ordered(met.select(*plain), percent), percent)
 
