@@ -60,6 +60,13 @@ def _page_sql(wanted: str, extra: str = "", limit: int = 30, offset: int = 0) ->
     FROM hits {extra} ORDER BY hits.score, job_id, source_id LIMIT {limit} OFFSET {offset}"""
 
 
+@query(f"WITH {SOURCES_SQL} SELECT c.change, CASE c.change WHEN 'keep' THEN n ELSE 0 END::bigint AS n FROM (SELECT count(*) AS n FROM sources) CROSS JOIN (VALUES ('insert'), ('update'), ('delete'), ('keep')) c(change)")
+def search_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02, STR-01: the index is built once, and a second refresh finds that nothing has changed."""
+    counts = index(spark, sf_dir).refresh(sources(spark, sf_dir))
+    return spark.createDataFrame(sorted(counts.items()), "change string, n bigint")
+
+
 @query(_hits_sql(["sur"]) + _page_sql("sur", limit=100))
 def search_bm25_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-04, AGG-02, AGG-04, SRT-01, SET-04, FUN-11, SNK-02: one term over all sources."""
