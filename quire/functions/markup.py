@@ -155,25 +155,19 @@ def without_gutter(blocks: DataFrame) -> DataFrame:
 
 
 def contents_pages(blocks: DataFrame, key: str = "doc") -> DataFrame:
-    """(doc, page): pages of a table of contents: a heading opens it, lines with a page number extend it while pages follow each other."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_at, pages = None, set()
-        for r in pdf.sort_values(["page", "pos"]).itertuples(index=False):
-            t = r.text.strip()
-            if t.casefold() in ("contents", "table of contents", "目录", "目次"):
-                open_at = r.page
-                pages.add(r.page)
-            elif open_at is not None:
-                if r.page - open_at <= 1 and t and t.rstrip()[-1].isdigit() and len(t) < 200:
-                    open_at = r.page
-                    pages.add(r.page)
-                else:
-                    open_at = None
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(pages), "page": sorted(pages)})
-
-    kind = dict(blocks.dtypes)[key]
-    return blocks.select(key, "page", "pos", "text").groupBy(key).applyInPandas(run, f"{key} {kind}, page bigint")
+    """(doc, page): pages of a table of contents: a heading opens it, lines with a page number extend it while pages follow each other.
+
+    Blocks fall into runs: a line with a number, no more than a page behind the block before, goes on
+    with it; all others begin a run. The contents are the runs that a heading begins.
+    """
+    order = Window.partitionBy(key).orderBy("page", "pos")
+    text = F.trim("text")
+    heading = F.lower(text).isin("contents", "table of contents", "目录", "目次")
+    listed = ~heading & text.rlike(r"\d$") & (F.length(text) < 200) & (F.col("page") - F.lag("page").over(order) <= 1)
+    runs = blocks.select(key, "page", "pos", heading.alias("heading"), F.coalesce(listed, F.lit(False)).alias("listed"))
+    runs = runs.withColumn("run", F.sum(F.when(F.col("listed"), 0).otherwise(1)).over(order))
+    opened = F.first("heading").over(Window.partitionBy(key, "run").orderBy("page", "pos"))
+    return runs.withColumn("opened", opened).filter("opened").select(key, F.col("page").cast("bigint").alias("page")).distinct()
 
 
 def without_aggregates(blocks: DataFrame, coverage: float = 0.97) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 #: Status after an event, by status before.
 TRANSITIONS = {
     ("unparsed", "queue"): "queued", ("failed", "queue"): "queued", ("queued", "start"): "running", ("running", "finish"): "completed", ("running", "fail"): "failed",
@@ -100,7 +102,7 @@ def latest_revision(history: DataFrame, key: str, revision: str, value: str) ->
 
 def vocabulary(entries: DataFrame) -> DataFrame:
     """One entry for each language and term key: the first's id, all sources once, the last time."""
-    term = F.lower(F.trim(F.regexp_replace("term", r"\s+", " ")))
+    term = T.canonical(F.col("term"))
     return entries.groupBy("language", term.alias("term_key")).agg(F.min_by("id", F.struct("at", "id")).alias("id"), F.array_sort(F.collect_set("source")).alias("sources"), F.max("at").alias("updated"))
 
 

@@ -164,7 +164,7 @@ def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") > 5, "").otherwise(F.col("l_returnflag")).alias("text"), F.when(F.col("l_quantity") > 20, F.concat(F.lit("<td>"), "l_linestatus", F.lit("</td> <td>x</td>"))).alias("table_html"), F.lit(None).cast("string").alias("tex"),
     )
     blocks, totals = reader.evidence(e)
-    digest = blocks.groupBy("job").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "block_id", "page", "content"))), ",")).alias("digest"))
+    digest = blocks.groupBy("job").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", F.concat_ws(":", "block_id", "page", "content").alias("t")))), lambda x: x["t"]), ",")).alias("digest"))
     return totals.join(digest, "job", "left").select("job", "n_blocks", "n_unreadable", F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
 
 
