@@ -51,11 +51,21 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return rows.select("archive", "page_id", record(F.col("url"), F.col("payload"), F.col("page_id")).alias("record"))
 
 
-def write_warc(rows: DataFrame, path: str, compression: str = "none", per_file: int = 1000) -> None:
-    """Writes (archive, page_id, record) as one folder of WARC files for each archive, by id; a record ends with two line ends."""
+def write_warc(rows: DataFrame, path: str, compression: str = "none", per_file: int = 1000, dealt: bool = False) -> None:
+    """Writes (archive, page_id, record) as one folder of WARC files for each archive, by id; a record ends with two line ends.
+
+    `dealt`: the rows of an archive are in one task already, as those are that were read from its file; then nothing is shuffled.
+    """
+    if dealt:
+        _write(rows, path, compression, per_file)
+        return
     large = c.materialise(rows.groupBy("archive").agg(F.ceil(F.count("*") / per_file).alias("__files")).filter("__files > 1"))
-    dealt = c.join_small(rows, large, ["archive"], "left").withColumn("__file", F.pmod(F.xxhash64("page_id", "record"), F.coalesce("__files", F.lit(1))))
-    placed = dealt.repartition("archive", "__file").sortWithinPartitions("archive", "page_id", "record")
+    parts = c.join_small(rows, large, ["archive"], "left").withColumn("__file", F.pmod(F.xxhash64("page_id", "record"), F.coalesce("__files", F.lit(1))))
+    _write(parts.repartition("archive", "__file"), path, compression, per_file)
+
+
+def _write(rows: DataFrame, path: str, compression: str, per_file: int) -> None:
+    placed = rows.sortWithinPartitions("archive", "page_id", "record")
     placed.select("archive", "record").write.partitionBy("archive").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", 2 * per_file).text(path)
 
 
@@ -127,11 +137,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return c.small_batches(files).mapInArrow(run, "file string, offset bigint, length bigint, record_id string, url string, payload binary, sha256 string, error string")
 
 
-def leaves(read: DataFrame) -> DataFrame:
-    """(archive, page_id, offset, length, hash) of the records that read_warc gives of files that write_warc wrote; what it can't read is left out, and so is `missing`."""
+def placed(read: DataFrame) -> DataFrame:
+    """What read_warc gives of files that write_warc wrote, with `archive` and `page_id`; what it can't read is left out."""
     archive = F.regexp_extract("file", r"/archive=(-?\d+)/[^/]*$", 1).cast("bigint")
     page = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1)
-    return read.filter("error is null").filter(page != "").select(archive.alias("archive"), page.cast("bigint").alias("page_id"), "offset", "length", F.col("sha256").alias("hash"))
+    return read.filter("error is null").filter(page != "").withColumns({"archive": archive, "page_id": page.cast("bigint")})
+
+
+def leaves(read: DataFrame) -> DataFrame:
+    """(archive, page_id, offset, length, hash) of the records of files that write_warc wrote; a record that can't be read is `missing`."""
+    return placed(read).select("archive", "page_id", "offset", "length", F.col("sha256").alias("hash"))
 
 
 def _parent(children: DataFrame, order: str, key: Column) -> DataFrame:
@@ -184,16 +199,15 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all pages as WARC files, and as a replica in which a rule on md5(page_id) damages records and leaves some out; reads both and audits them."""
+    """Writes all pages as gzipped WARC files, and a replica in which a rule on md5(page_id) damages records and leaves some out; reads both and audits them."""
     mark = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    pages = c.table(spark, sf_dir, "pages")
-    damaged = pages.filter(mark < "fc").withColumn("html", F.when(mark < "04", F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
-    replicas = []
-    for rows in (pages, damaged):
-        path = c.shared_path(spark, "warc")
-        write_warc(records(rows), path)
-        replicas.append(leaves(read_warc(spark, path, payloads=False)))
-    return audit(*replicas)
+    first, second = c.shared_path(spark, "warc"), c.shared_path(spark, "warc")
+    write_warc(records(c.table(spark, sf_dir, "pages")), first, "gzip")
+    html = F.col("payload").cast("string")
+    html = F.when(mark < "04", F.concat(F.lit("#"), F.substring(html, 2, 1 << 30))).otherwise(html)
+    copied = placed(read_warc(spark, first)).filter(mark < "fc").select("archive", "page_id", record(F.col("url"), html, F.col("page_id")).alias("record"))
+    write_warc(copied, second, "gzip", dealt=True)
+    return audit(*(leaves(read_warc(spark, path, payloads=False)) for path in (first, second)))
 
 
 _SQL = r"""
