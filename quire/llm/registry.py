@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_dedup, pii, quality, quotes, secret_scan, sentencepiece_codec, substring_dedup, warc
+from . import decontamination, jaccard_join, line_dedup, periodic_runs, pii, quality, quotes, secret_scan, sentencepiece_codec, substring_dedup, warc
 
-MODULES = (decontamination, jaccard_join, warc, quality, quotes, line_dedup, substring_dedup, sentencepiece_codec, secret_scan, pii)
+MODULES = (decontamination, jaccard_join, warc, quality, quotes, line_dedup, substring_dedup, sentencepiece_codec, secret_scan, pii, periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
