@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_dedup, periodic_runs, pii, quality, quotes, secret_scan, sentencepiece_codec, substring_dedup, turn_repair, warc
+from . import decontamination, jaccard_join, line_dedup, periodic_runs, pii, quality, quotes, secret_scan, sentencepiece_codec, substring_dedup, turn_repair, warc, wrapper_induction
 
-MODULES = (decontamination, jaccard_join, warc, quality, quotes, line_dedup, substring_dedup, sentencepiece_codec, secret_scan, pii, periodic_runs, turn_repair)
+MODULES = (decontamination, jaccard_join, warc, quality, quotes, line_dedup, substring_dedup, sentencepiece_codec, secret_scan, pii, periodic_runs, turn_repair, wrapper_induction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
