@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import library, search
 from quire.operators.search_index import SearchIndex
+from quire.session import version
 from quire.sources.tables import BLOCKS_SQL, ITEMS_SQL, annotations, blocks, items, table
 
 from .book import query
@@ -26,13 +27,11 @@ _INDEXES: dict[tuple[str, str], SearchIndex] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The kept index of these tables; it is built when it is first asked for, once an application."""
+    """The kept index of these tables, brought up to their files: it is built when it is first asked for, and what has changed since is added."""
     at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _INDEXES:
-        own = SearchIndex(spark)
-        own.refresh(sources(spark, sf_dir))
-        _INDEXES[at] = own
-    return _INDEXES[at]
+    own = _INDEXES.setdefault(at, SearchIndex(spark))
+    own.refresh(sources(spark, sf_dir), version(spark, *[f"{sf_dir}/{name}.parquet" for name in ("documents", "labels", "conversations")]))
+    return own
 
 
 SOURCES_SQL = f"""{ITEMS_SQL}, sources AS (
@@ -41,7 +40,7 @@ SOURCES_SQL = f"""{ITEMS_SQL}, sources AS (
 tok AS (SELECT *, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS t FROM sources), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok)"""
 
 
-def _hits_sql(*phrases: list[str]) -> str:
+def _hits_sql(*phrases: list[str], base: str | None = None) -> str:
     def count(p: list[str]) -> str:
         return f"len(list_filter(range(1, len(t) + 1), lambda i: {' AND '.join(f'''t[i + {k}] = '{w}' ''' for k, w in enumerate(p))}))"
 
@@ -51,7 +50,7 @@ def _hits_sql(*phrases: list[str]) -> str:
         f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len(t) / mean))" for i in range(len(phrases))
     )
     where = " AND ".join(f"tf{i} > 0" for i in range(len(phrases)))
-    return f"""WITH {SOURCES_SQL}, c AS (SELECT *, {tf} FROM tok), d AS (SELECT {df} FROM c),
+    return f"""{base or 'WITH ' + SOURCES_SQL}, c AS (SELECT *, {tf} FROM tok), d AS (SELECT {df} FROM c),
     hits AS (SELECT job_id, kind, source_id, text, -({score}) AS score FROM c, d, st WHERE {where})"""
 
 
@@ -60,11 +59,48 @@ def _page_sql(wanted: str, extra: str = "", limit: int = 30, offset: int = 0) ->
     FROM hits {extra} ORDER BY hits.score, job_id, source_id LIMIT {limit} OFFSET {offset}"""
 
 
-@query(f"WITH {SOURCES_SQL} SELECT c.change, CASE c.change WHEN 'keep' THEN n ELSE 0 END::bigint AS n FROM (SELECT count(*) AS n FROM sources) CROSS JOIN (VALUES ('insert'), ('update'), ('delete'), ('keep')) c(change)")
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sources before a folder came in, and after it did, items went to the trash, and those of importance were marked as read."""
+    own = items(spark, sf_dir).select("job_id", "folder_id", "deleted", F.coalesce("importance", F.lit(0)).alias("importance"))
+    rows = sources(spark, sf_dir).join(own, "job_id")
+    read = F.when(F.col("importance") == 1, F.concat("text", F.lit(" sur lecture"))).otherwise(F.col("text"))
+    columns = ["job_id", "kind", "source_id", "text"]
+    return rows.filter("folder_id <> 'src3'").select(*columns), rows.filter("not deleted").withColumn("text", read).select(*columns)
+
+
+_INDEXED: dict[tuple[str, str, str], tuple[SearchIndex, dict[str, int]]] = {}
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[SearchIndex, dict[str, int]]:
+    """The index of the second state, refreshed from the first, and what the refresh did; made once for each state of the files."""
+    at = (spark.sparkContext.applicationId, sf_dir, version(spark, *[f"{sf_dir}/{name}.parquet" for name in ("documents", "labels", "conversations")]))
+    if at not in _INDEXED:
+        before, after = _states(spark, sf_dir)
+        own = SearchIndex(spark)
+        own.refresh(before)
+        _INDEXED[at] = own, own.refresh(after)
+    return _INDEXED[at]
+
+
+_TOKENS_SQL = SOURCES_SQL[SOURCES_SQL.index("tok AS") :]
+_STATES_SQL = f"""WITH {SOURCES_SQL.removesuffix(_TOKENS_SQL).rstrip()} rows AS (SELECT s.*, folder_id, deleted, coalesce(importance, 0) AS importance FROM sources s JOIN items USING (job_id)),
+before AS (SELECT job_id, kind, source_id, text FROM rows WHERE folder_id <> 'src3'), after AS (SELECT job_id, kind, source_id, CASE WHEN importance = 1 THEN text || ' sur lecture' ELSE text END AS text FROM rows WHERE NOT deleted)"""
+
+
+@query(f"""{_STATES_SQL}, b AS (SELECT CASE WHEN x.job_id IS NULL THEN 'insert' WHEN y.job_id IS NULL THEN 'delete' WHEN x.text <> y.text THEN 'update' ELSE 'keep' END AS change FROM before x FULL JOIN after y USING (job_id, kind, source_id))
+    SELECT c.change, count(b.change) AS n FROM (VALUES ('insert'), ('update'), ('delete'), ('keep')) c(change) LEFT JOIN b ON b.change = c.change GROUP BY c.change""")
 def search_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-02, STR-01: the index is built once, and a second refresh finds that nothing has changed."""
-    counts = index(spark, sf_dir).refresh(sources(spark, sf_dir))
-    return spark.createDataFrame(sorted(counts.items()), "change string, n bigint")
+    """SNK-02, STR-01, STR-03: what a refresh of the kept index inserts, updates, deletes and keeps when a folder comes in, items go to the trash and texts change."""
+    return spark.createDataFrame(sorted(_refreshed(spark, sf_dir)[1].items()), "change string, n bigint")
+
+
+_AFTER_SQL = f"{_STATES_SQL}, {_TOKENS_SQL.replace('FROM sources', 'FROM after')}"
+
+
+@query(_hits_sql(["sur", "lecture"], base=_AFTER_SQL) + _page_sql("sur-lecture", limit=100))
+def search_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02, FLT-04, STR-01: a phrase that only the changed texts hold, searched in the refreshed index of several segments."""
+    return _refreshed(spark, sf_dir)[0].search("sur-lecture", limit=100)
 
 
 @query(_hits_sql(["sur"]) + _page_sql("sur", limit=100))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -47,9 +48,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _folder(spark, path)
+    return store.exists(where)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    where, store = _folder(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+def version(spark: SparkSession, *paths: str) -> str:
+    """A name of the state of files and folders: their paths, sizes and times, as one hash."""
+    told = hashlib.sha256()
+    for path in paths:
+        where, store = _folder(spark, path)
+        files = store.listFiles(where, True)
+        found = []
+        while files.hasNext():
+            x = files.next()
+            found.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+        told.update(repr(sorted(found)).encode())
+    return told.hexdigest()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, store = _folder(spark, path)
+    store.delete(where, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)
     except Exception:  # noqa: BLE001  the session has already ended
         return

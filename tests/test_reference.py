@@ -155,7 +155,7 @@ def test_a_kept_index_answers_as_a_scan_does(spark):
 
     kind = "job_id string, kind string, source_id string, text string"
     data = [(str(i % 4), ("content", "notes", "metadata")[i % 3], f"s{i}", t) for i, t in enumerate(["the cat and the dog", "The Cat café", "dog dog dog", "", "cat 猫和狗 the cat the", "and the", None, "Việt Nam the cat"])]
-    index = SearchIndex(spark, buckets=5)
+    index = SearchIndex(spark, fan=3)
     assert index.current() is None
 
     def same(rows):
@@ -165,11 +165,11 @@ def test_a_kept_index_answers_as_a_scan_does(spark):
 
     assert index.refresh(spark.createDataFrame(data, kind)) == {"insert": 8, "update": 0, "delete": 0, "keep": 0}
     same(data)
-    assert index.refresh(spark.createDataFrame(data, kind)) == {"insert": 0, "update": 0, "delete": 0, "keep": 8} and index.current()[0] == 1
+    assert index.refresh(spark.createDataFrame(data, kind)) == {"insert": 0, "update": 0, "delete": 0, "keep": 8} and index.current().generation == 1
     changed = [(*data[0][:3], "a bird and the cat"), *data[2:], ("9", "notes", "s99", "the cat again")]
     assert index.refresh(spark.createDataFrame(changed, kind)) == {"insert": 1, "update": 1, "delete": 1, "keep": 6}
     same(changed)
-    assert SearchIndex(spark, index.path, 5).search("bird").count() == 1
+    assert SearchIndex(spark, index.path).search("bird").count() == 1
 
 
 def test_scores_follow_the_formula(spark):
