@@ -33,7 +33,7 @@ class Engine:
         return {
             "search_library": self.search_library, "list_items": lambda: library.live(self.items), "folder_counts": lambda include_trash=False: library.folder_counts(self.items, self.folders, include_trash),
             "folder_ancestors": lambda: library.ancestors(self.folders), "view": lambda filters, sort_by, direction="asc": library.view(self.items, filters, sort_by, direction, "job_id"),
-            "similarity_graph": lambda papers, k=2, threshold=0.0: graph.capped_edges(graph.similar_pairs(papers), k, threshold), "anchor_quotes": lambda quotes, texts: merge.anchored(quotes, texts),
+            "similarity_graph": lambda papers, k=2, threshold=0.0: graph.similarity_edges(papers, k, threshold), "anchor_quotes": lambda quotes, texts: merge.anchored(quotes, texts),
         }
 
     def search_library(self, query: str = "", limit: int = 30, offset: int = 0, kinds: list[str] | None = None, folder_items: DataFrame | None = None) -> DataFrame:

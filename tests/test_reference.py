@@ -13,7 +13,7 @@ from quire.engine import Engine
 from quire.functions import text as T
 from quire.functions import vectors
 from quire.operators import graph, layout, library, merge, reader, search, state
-from quire.plans import catalogue
+from quire.plans import catalogue, graphs
 from quire.sources.json_files import assets, formula_files, replace_version, tolerant_json, with_fallback
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -80,12 +80,12 @@ def filled_batches(duck):
 
 
 def greedy_edges(duck):
-    pairs = duck.sql(f'select "left", "right", score from ({catalogue.oracle_sql()["similar_pairs"]})').fetchall()
+    pairs = duck.sql(graphs.SCORES_SQL).fetchall()
     degree, out = {}, set()
     for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
         if max(degree.get(a, 0), degree.get(b, 0)) < 2:
             degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-            out.add((a, b, score))
+            out.add((a, b, round(score, 6)))
     return out
 
 
@@ -395,3 +395,48 @@ def test_broken_hierarchies_are_repaired(spark):
 
     df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "gone"), ("d", "c"), ("e", None)], "folder_id string, parent_id string")
     assert {tuple(r) for r in reconstruct.repaired_hierarchy(df).collect()} == {("a", None), ("b", None), ("c", "gone"), ("d", "c"), ("e", None), ("gone", None)}
+
+
+def test_levels_and_batches_give_the_greedy_choice(spark, monkeypatch):
+    """Titles in classes, in ties and in near copies; lists and batches so short that every way of the choice is taken."""
+    import random
+
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    titles = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 4))) for _ in range(50)]
+    titles += ["same words here"] * 8 + [f"shared token{i}" for i in range(9)] + ["twice twice", "twice"] + [f"a long title about things number{i}" for i in range(7)]
+    papers = spark.createDataFrame([(i, t.split()) for i, t in enumerate(titles)], "paper bigint, title array<string>")
+    vectors = {r.paper: {x.token: x.u for x in r.vector} for r in graph.unit_vectors(papers).collect()}
+    pairs = []
+    for a in sorted(vectors):
+        for b in sorted(vectors):
+            if a < b and (score := round(sum(u * vectors[b].get(t, 0.0) for t, u in vectors[a].items()), 9)) > 0:
+                pairs.append((a, b, score))
+    assert {(r.left, r.right): pytest.approx(r.score) for r in graph.cosine_pairs(graph.unit_vectors(papers), 0.6).collect()} == {(a, b): s for a, b, s in pairs if s >= 0.6}
+    monkeypatch.setattr(graph, "_PAIRS", 4)
+    monkeypatch.setattr(graph, "_ANYWAY", 60)
+    for k, threshold in ((2, 0.0), (3, 0.4)):
+        degree, want = {}, {}
+        for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+            if s >= threshold and degree.get(a, 0) < k and degree.get(b, 0) < k:
+                degree[a], degree[b], want[a, b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1, s
+        assert {(r.left, r.right): r.score for r in graph.similarity_edges(papers, k, threshold).collect()} == {p: pytest.approx(s, abs=1e-6) for p, s in want.items()}
+    degree, want = {}, set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if degree.get(a, 0) < 2 and degree.get(b, 0) < 2:
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+            want.add((a, b, s))
+    df = spark.createDataFrame(pairs, "left bigint, right bigint, score double")
+    assert {tuple(r) for r in graph.capped_edges(df, 2, batch=40).collect()} == want
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    from quire.operators.ranks import numbered
+
+    rows = [("hot" if i % 3 else f"k{i % 7}", (i * 7919) % 5003, i) for i in range(3000)]
+    got = numbered(spark.createDataFrame(rows, "key string, x int, id int").repartition(5), ["key"], ["x", "id"]).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.key, r.x, r.id)):
+        assert r.n == by.get(r.key, 0)
+        by[r.key] = r.n + 1
+    assert len(got) == 3000
