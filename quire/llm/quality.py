@@ -4,7 +4,9 @@ Each document gives two histograms: its characters by class, and its words by co
 words of its language's list, and all others as one bin). They are compared with fixed references of
 the language, which don't depend on the documents judged. A document is rejected when it fails a base
 rule, or when it is long enough for a histogram to mean something and its distance to the reference is
-over the limit. A null or unknown language is held to all references: the nearest counts.
+over the limit. A text without a language is held to the nearest reference of all, by the sum of both
+distances; one of a language without references, or without a language and with most of its letters
+beyond ASCII, gives no distances, and only the base rules judge it.
 
 Null texts have no words and fail the base rules, as empty ones do. Repeated rows are judged alike,
 extra columns stay where `keep` returns the rows, and an empty table gives an empty result.
@@ -96,7 +98,7 @@ def repeated_words(ids: np.ndarray, size: int = 3) -> int:
 
 
 def measure(text: bytes, lang: str | None) -> tuple:
-    """The five counts, and the distances of the histograms to the language's references, or to the nearest ones."""
+    """The five counts, and the distances of the histograms to the language's references, to the nearest ones if it is unknown, or none if there are none of it."""
     words = text.split()
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
@@ -104,10 +106,12 @@ def measure(text: bytes, lang: str | None) -> tuple:
     lines = [x for x in text.split(b"\n") if x.strip()]
     of = np.bincount(ids, minlength=1)
     near = []
-    for name in (lang,) if lang in COMMON else COMMON:
+    beyond = int(hist[CLASSES.index("letter_beyond")])
+    foreign = 2 * beyond > beyond + int(hist[CLASSES.index("alnum")] + hist[CLASSES.index("upper")])
+    for name in (lang,) if lang in COMMON else COMMON if not lang and not foreign else ():
         known = [int(of[seen[w]]) if (w := x.encode()) in seen else 0 for x in COMMON[name]]
         near.append((js_distance(hist, REF_CHARS[name]), js_distance(np.array([*known, len(words) - sum(known)]), REF_WORDS[name])))
-    best = [min((x for x in found if x is not None), default=None) for found in zip(*near, strict=True)]
+    best = min(near, key=lambda x: (x[0] or 0) + (x[1] or 0), default=(None, None))
     blank = int(hist[CLASSES.index("space")] + hist[CLASSES.index("newline")])
     return (len(words), int(hist.sum()) - blank, int(hist[CLASSES.index("symbol")] + hist[CLASSES.index("pipe")]), len(lines) - len(set(lines)), repeated_words(ids), *best)
 
@@ -163,18 +167,19 @@ def _oracle() -> str:
         return f"CASE WHEN list_sum({own}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({own}) + 1), lambda i: {term.format(p, p, q)} + {term.format(q, p, q)})) / 2)) END"
 
     refs = ", ".join(f"('{lang}', {listed(CHARACTERS[lang])}, {listed(words)}, {listed([*words.values(), 10_000 - sum(words.values())])})" for lang, words in COMMON.items())
-    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {tuple(COMMON)} THEN lang END AS language,
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {tuple(COMMON)} THEN lang WHEN coalesce(lang, '') <> '' THEN 'none' END AS language,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
     refs(language, r_chars, words, r_words) AS (VALUES {refs}),
     g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
     c AS (SELECT row, g FROM g GROUP BY ALL HAVING count(*) > 1), r AS (SELECT row, count(DISTINCT x) AS n FROM (SELECT g.row, unnest([i, i + 1, i + 2]) AS x FROM g JOIN c USING (row, g)) GROUP BY row),
     l AS (SELECT row, count(*) - count(DISTINCT x) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY row),
     k AS (SELECT *, [{counts}] AS chars FROM d),
-    h AS (SELECT k.row, chars, r_chars, r_words, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS known, len(w) AS n FROM k JOIN refs ON coalesce(k.language, refs.language) = refs.language),
-    f AS (SELECT row, min({distance('chars', 'r_chars')}) AS cd, min({distance('common', 'r_words')}) AS wd FROM (SELECT *, list_append(known, n - list_sum(known)) AS common FROM h) GROUP BY row),
+    h AS (SELECT k.row, refs.language, chars, r_chars, r_words, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS known, len(w) AS n FROM k JOIN refs ON coalesce(k.language, CASE WHEN 2 * chars[10] > chars[1] + chars[2] + chars[10] THEN 'none' ELSE refs.language END) = refs.language),
+    e AS (SELECT row, language, {distance('chars', 'r_chars')} AS cd, {distance('common', 'r_words')} AS wd FROM (SELECT *, list_append(known, n - list_sum(known)) AS common FROM h)),
+    f AS (SELECT row, cd, wd FROM e QUALIFY row_number() OVER (PARTITION BY row ORDER BY coalesce(cd, 0) + coalesce(wd, 0), language) = 1),
     b AS (SELECT k.row, doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, (chars[6] + chars[7])::bigint AS n_symbols, coalesce(l.n, 0)::bigint AS n_dup_lines, coalesce(r.n, 0)::bigint AS n_repeat_words,
         len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM k LEFT JOIN l USING (row) LEFT JOIN r USING (row))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= 50 AND cd > {CHAR_LIMIT}) OR (n_words >= 150 AND wd > {WORD_LIMIT}), false) AS kept, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance FROM b JOIN f USING (row)"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= 50 AND cd > {CHAR_LIMIT}) OR (n_words >= 150 AND wd > {WORD_LIMIT}), false) AS kept, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance FROM b LEFT JOIN f USING (row)"""
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
