@@ -37,10 +37,14 @@ END = "\r\n\r\n"
 FANOUT, LEVELS = 16, 3
 
 
-def record(url: Column, payload: Column, record_id: Column) -> Column:
-    """The record's text without the two line ends that close it."""
+#: The date of records that have none: every record needs one.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record(url: Column, payload: Column, record_id: Column, date: Column | None = None) -> Column:
+    """The record's text without the two line ends that close it; `date`: UTC, as in `DATE`."""
     body = F.coalesce(payload, F.lit(""))
-    head = ("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", record_id.cast("string"), ">\r\nWARC-Target-URI: ", F.coalesce(url, F.lit("")), "\r\nContent-Type: text/html\r\nContent-Length: ")
+    head = ("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", record_id.cast("string"), ">\r\nWARC-Date: ", F.lit(DATE) if date is None else F.coalesce(date, F.lit(DATE)), "\r\nWARC-Target-URI: ", F.coalesce(url, F.lit("")), "\r\nContent-Type: text/html\r\nContent-Length: ")
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in head], F.octet_length(body).cast("string"), F.lit(END), body)
 
 
@@ -95,8 +99,9 @@ def parse(data: bytes) -> Iterator[tuple]:
     at = 0
     while at < len(data):
         cut = data.find(END.encode(), at)
-        head = dict(line.split(b": ", 1) for line in data[at:cut].split(b"\r\n")[1:] if b": " in line)
-        size = head.get(b"Content-Length", b"")
+        fields = (line.split(b":", 1) for line in data[at:cut].split(b"\r\n")[1:] if b":" in line)
+        head = {name.strip().lower(): value.strip() for name, value in fields}  # names are written in any case
+        size = head.get(b"content-length", b"")
         error = "no header" if not data.startswith(b"WARC/1", at) else "cut short" if cut < 0 else "broken length" if not size.isdigit() else None
         end = len(data)
         if not error:
@@ -110,7 +115,7 @@ def parse(data: bytes) -> Iterator[tuple]:
             end = after.start() if after else len(data)
             yield at, end - at, None, None, None, None, error
         else:
-            yield at, end - at, head.get(b"WARC-Record-ID", b"").decode("utf-8", "replace"), head.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), data[cut + 4 : end - 4], hashlib.sha256(data[at:end]).hexdigest(), None
+            yield at, end - at, head.get(b"warc-record-id", b"").decode("utf-8", "replace"), head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), data[cut + 4 : end - 4], hashlib.sha256(data[at:end]).hexdigest(), None
         at = end
 
 
@@ -213,7 +218,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL = r"""
 WITH p AS (SELECT page_id, page_id // 1000 AS archive, coalesce(url, '') AS url, coalesce(html, '') AS html, left(md5(page_id::varchar), 2) AS mark FROM pages WHERE page_id IS NOT NULL),
 q AS (SELECT *, CASE WHEN mark < '04' THEN '#' || substr(html, 2) ELSE html END AS other FROM p),
-r AS (SELECT *, octet_length(encode(html)) AS n, octet_length(encode(other)) AS m, octet_length(encode('WARC/1.1..WARC-Type: resource..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: ' || url || '..Content-Type: text/html..Content-Length: ....')) + 4 AS head FROM q),
+r AS (SELECT *, octet_length(encode(html)) AS n, octet_length(encode(other)) AS m, octet_length(encode('WARC/1.1..WARC-Type: resource..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Date: 1970-01-01T00:00:00Z..WARC-Target-URI: ' || url || '..Content-Type: text/html..Content-Length: ....')) + 4 AS head FROM q),
 l AS (SELECT *, (head + length(n::varchar) + n)::bigint AS length, CASE WHEN mark < 'fc' THEN (head + length(m::varchar) + m)::bigint ELSE 0 END AS other_length FROM r),
 o AS (SELECT *, coalesce(sum(length) OVER w, 0)::bigint AS "offset", CASE WHEN mark < 'fc' THEN coalesce(sum(other_length) OVER w, 0)::bigint END AS other_offset FROM l WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT archive, page_id, "offset", other_offset, length, CASE WHEN mark >= 'fc' THEN 'missing' ELSE 'altered' END AS fault, 1::bigint AS n_records FROM o WHERE mark >= 'fc' OR other <> html

@@ -205,3 +205,27 @@ def test_pages_query_is_its_sql_on_the_given_pages(spark):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{path}/pages.parquet'")
     assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in got) == sorted(con.sql(wrapper_induction.ORACLES["op13_html_extraction"]).fetchall())
+
+
+# --- rules and files that other languages and writers need ---
+
+
+def test_other_scripts_are_judged_by_the_base_rules(spark):
+    from quire.llm import quality
+
+    russian = " ".join(f"слово{i} и предложение номер {i} о погоде." for i in range(20))
+    chinese = " ".join(f"这是第{i}个句子。" for i in range(80))
+    arabic = " ".join(f"جملة{i} رقم{i} هنا وهناك{i}" for i in range(40))
+    junk = " ".join(f"| {i} $ # %" for i in range(60))
+    rows = [(1, russian, "ru"), (2, chinese, "zh"), (3, arabic, "ar"), (4, russian, None), (5, chinese, ""), (6, junk, None), (7, "слово " * 200, "ru")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 7: False}
+
+
+def test_files_of_another_writer_are_read():
+    from quire.llm import warc
+
+    body = b"<p>x</p>"
+    data = b"WARC/1.0\r\nwarc-type: response\r\nwarc-date: 2024-02-03T04:05:06Z\r\nwarc-record-id:<urn:uuid:1>\r\nWarc-Target-Uri:   http://a/\r\ncontent-length:%d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    [first, second] = list(warc.parse(data * 2))
+    assert first[2:5] == ("<urn:uuid:1>", "http://a/", body) and first[6] is None and second[0] == len(data)
