@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 OPERATORS = {
     "equals": lambda c, v: c == v, "not_equals": lambda c, v: c != v, "gte": lambda c, v: c >= v, "lte": lambda c, v: c <= v,
     "contains": lambda c, v: F.contains(F.lower(c), F.lit(str(v).lower())), "in": lambda c, v: c.isin(v), "empty": lambda c, v: c.isNull() | (c.cast("string") == ""),
@@ -45,17 +47,22 @@ def folder_counts(items: DataFrame, folders: DataFrame, include_trash: bool = Fa
     return named.unionByName(totals.unpivot([], ["system-all", "system-unfiled", "system-trash"], "folder_id", "n"))
 
 
-def ancestors(folders: DataFrame, most: int = 64) -> DataFrame:
-    """(folder_id, ancestor, distance) along parent_id; a walk stops at a folder that it has met, so cycles end."""
-    spark = folders.sparkSession
-    folders.select("folder_id", "parent_id").createOrReplaceTempView("quire_folders")
-    return spark.sql(f"""
-        WITH RECURSIVE up AS (
-            SELECT folder_id, parent_id AS ancestor, 1 AS distance, array(folder_id) AS met FROM quire_folders WHERE parent_id IS NOT NULL
-            UNION ALL
-            SELECT u.folder_id, f.parent_id, u.distance + 1, array_append(u.met, u.ancestor) FROM up u JOIN quire_folders f ON u.ancestor = f.folder_id
-            WHERE f.parent_id IS NOT NULL AND NOT array_contains(u.met, f.parent_id) AND u.distance < {most}
-        ) SELECT folder_id, ancestor, distance FROM up""")
+def ancestors(folders: DataFrame) -> DataFrame:
+    """(folder_id, ancestor, distance) along parent_id, at any distance; a walk ends where it meets a folder again. A folder that is its own parent is its ancestor.
+
+    Distances are doubled: each step adds to the ancestors up to 2^k away those of the one that is
+    2^k away, until no new ones come.
+    """
+    near = cut(folders.filter("parent_id is not null and parent_id <> folder_id").select("folder_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    reach, n = 1, near.count()
+    while True:
+        ends = near.filter(F.col("distance") == reach).select("folder_id", F.col("ancestor").alias("middle"))
+        further = ends.join(near.select(F.col("folder_id").alias("middle"), "ancestor", (F.col("distance") + reach).alias("distance")), "middle").select("folder_id", "ancestor", "distance")
+        near = cut(near.unionByName(further.filter("ancestor <> folder_id")).groupBy("folder_id", "ancestor").agg(F.min("distance").alias("distance")))
+        before, n = n, near.count()
+        if n == before:
+            return near.unionByName(folders.filter("parent_id = folder_id").select("folder_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+        reach *= 2
 
 
 def reparent(folders: DataFrame, gone: Column) -> DataFrame:

@@ -76,12 +76,12 @@ def fused(one: DataFrame, other: DataFrame, coverage: float = 0.7) -> DataFrame:
     return both.select("page", "idx", "match", text.alias("text"), decision.alias("decision"))
 
 
-def repaired_hierarchy(folders: DataFrame, most: int = 64) -> DataFrame:
+def repaired_hierarchy(folders: DataFrame) -> DataFrame:
     """(folder_id, parent_id): missing parents are added at the top, and a folder on a cycle goes to the top."""
     from quire.operators.library import ancestors
 
     missing = folders.filter("parent_id is not null").select(F.col("parent_id").alias("folder_id")).distinct().join(folders.select("folder_id"), "folder_id", "left_anti")
     full = folders.select("folder_id", "parent_id").union(missing.select("folder_id", F.lit(None).cast("string")))
     up = full.select(F.col("folder_id").alias("ancestor"), F.col("parent_id").alias("back"))
-    looped = ancestors(full, most).join(up, "ancestor").filter("back = folder_id").select("folder_id").distinct().withColumn("looped", F.lit(True))
+    looped = ancestors(full).join(up, "ancestor").filter("back = folder_id").select("folder_id").union(full.filter("parent_id = folder_id").select("folder_id")).distinct().withColumn("looped", F.lit(True))
     return full.join(looped, "folder_id", "left").select("folder_id", F.when(F.col("looped"), F.lit(None).cast("string")).otherwise(F.col("parent_id")).alias("parent_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,17 +73,30 @@ def pattern_starts(rows: DataFrame, key: str, order: str, column: str, patterns:
 
 
 def numbered(rows: DataFrame, key: str, order: str, wanted: str) -> DataFrame:
-    """(key, order, number): the wanted number where it is free, otherwise the least one not yet used, taken in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(wanted).alias("w"))))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<o:int,number:int>>").alias("out"))
+    """(key, order, number): the wanted number where it is free, otherwise the least one not yet used, taken in order.
 
-    def step(acc: Column, x: Column) -> Column:
-        free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size(acc["used"]) + 1), acc["used"]))
-        number = F.when(x["w"].isNotNull() & ~F.array_contains(acc["used"], F.coalesce(x["w"], F.lit(-1))), x["w"]).otherwise(free)
-        return F.struct(F.array_append(acc["used"], number).alias("used"), F.array_append(acc["out"], F.struct(x["o"].alias("o"), number.alias("number"))).alias("out"))
+    Each key's rows pass by in order; what is kept of them are the numbers used. The least free one only rises.
+    """
 
-    folded = rows.select(key, F.col(order).cast("int").alias(order), F.col(wanted).cast("int").alias(wanted)).groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("x")).select(key, F.col("x.o").alias(order), "x.number")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, free = run, set(), 1  # no key is a function
+        for frame in frames:
+            numbers = []
+            for name, asked in zip(frame[key].tolist(), frame[wanted].tolist(), strict=True):
+                name = None if name != name else name
+                if now is run or name != now:
+                    now, used, free = name, set(), 1
+                number = None if asked is None or asked != asked else int(asked)
+                if number is None or number in used:
+                    while free in used:
+                        free += 1
+                    number = free
+                used.add(number)
+                numbers.append(number)
+            yield frame[[key, order]].assign(number=numbers)
+
+    own = rows.select(key, F.col(order).cast("int").alias(order), F.col(wanted).cast("int").alias(wanted))
+    return own.repartition(key).sortWithinPartitions(key, order, wanted).mapInPandas(run, f"{key} {dict(own.dtypes)[key]}, {order} int, number int")
 
 
 def tone(rgb: Column) -> Column:
