@@ -38,7 +38,7 @@ from . import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_CACHED = 300_000
+_CACHED = 100_000
 #: Units of up to so many characters run their agendas side by side, about so many of them at once.
 _SHORT, _ROWS = 40, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
