@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions import vectors
 
 FIELDS = ("title", "doi", "venue", "authors", "year")
 _DATE = "struct<`date-parts`:array<array<int>>>"
@@ -69,29 +70,63 @@ def provider_fields(provider: Column, payload: Column) -> Column:
     return T.let(raw, _cleaned)
 
 
+#: Least likeness of titles; up to the second one the authors are asked as well, of whom so many have to be shared. Titles of less confidence than the last prove nothing.
+TITLE, SURE_TITLE, AUTHORS, CONFIDENCE = 0.76, 0.9, 0.15, 0.55
+
+
+def surnames(names: Column) -> Column:
+    """The last word of letters of each name, compatible and case folded, each once."""
+    last = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.try_element_at(F.regexp_extract_all(T.canonical(n), F.lit(r"\p{L}+"), F.lit(0)), F.lit(-1)))
+    return F.array_distinct(F.array_compact(F.transform(last, lambda x: F.nullif(x, F.lit("")))))
+
+
+def shared_authors(a: Column, b: Column) -> Column:
+    """Share of the shorter list that both have; 0 where one is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0)
+
+
+def consistent(plain: Column, other: Column, authors: Column, other_authors: Column, loose: Column) -> Column:
+    """Whether a record that an identifier gives is the item's: its title is like the item's, or either has none, or the item's (`loose`) proves nothing."""
+    like = vectors.title_ratio(plain, other)
+    own, theirs = surnames(authors), surnames(other_authors)
+    doubted = (F.size(own) > 0) & (F.size(theirs) > 0) & (like < SURE_TITLE) & (shared_authors(own, theirs) < AUTHORS)
+    return (plain == "") | (other == "") | loose | ((like >= TITLE) & ~doubted)
+
+
 def ladder(items: DataFrame, by_doi: DataFrame, by_arxiv: DataFrame, by_pmid: DataFrame, found: DataFrame, safe: float = 0.92) -> DataFrame:
     """`items` (id, title, doi, arxiv, pmid) with what the first trustworthy rung gives: (id, provider, status, title, doi).
 
     The rungs are tables of (key, title, doi), one record a key, and `found` has (id, title, doi,
-    confidence) from a search. A record counts if its title, cleaned, is the item's, or the item has
-    none; else its identifier is dropped. The DOI that an arXiv or PubMed record gives is followed.
-    `complete` from a rung, or from a search hit of at least `safe`; `needs-review` with a lesser hit;
-    `local` with any field of its own; else `failed`.
+    confidence) from a search; items and rungs can have `authors` (array), and items `title_source`
+    and `title_confidence`. A record counts if its title is like the item's (0.76 of both in matching
+    blocks) and, below 0.9, not by other authors; a title from a file's name, or of little
+    confidence, is not held against it. Else its identifier is dropped. The DOI that an arXiv or PubMed
+    record gives is followed. `complete` from a rung, or from a search hit of at least `safe`;
+    `needs-review` with a lesser hit; `local` with any field of its own; else `failed`.
     """
 
     def keyed(table: DataFrame) -> DataFrame:
-        return table.withColumn("plain", F.coalesce(T.canonical(F.col("title")), F.lit("")))
+        if "authors" not in table.columns:
+            table = table.withColumn("authors", F.array().cast("array<string>"))
+        words = F.regexp_replace(T.canonical(F.col("title")), r"[^\p{L}\p{N}]+", " ")
+        return table.withColumn("plain", F.coalesce(F.trim(words), F.lit("")))
+
+    loose = F.lit(False)
+    if "title_source" in items.columns:
+        loose = loose | F.coalesce(F.col("title_source") == "filename", F.lit(False))
+    if "title_confidence" in items.columns:
+        loose = loose | (F.coalesce("title_confidence", F.lit(0.0)) < CONFIDENCE)
 
     def agrees(x: str) -> Column:
-        return F.col(f"{x}_title").isNotNull() & ((F.col("plain") == "") | (F.col("plain") == F.col(f"{x}_plain")))
+        return F.col(f"{x}_title").isNotNull() & consistent(F.col("plain"), F.col(f"{x}_plain"), F.col("authors"), F.col(f"{x}_authors"), F.col("loose"))
 
-    by_doi, by_arxiv, by_pmid, out = map(keyed, (by_doi, by_arxiv, by_pmid, items))
+    by_doi, by_arxiv, by_pmid, out = map(keyed, (by_doi, by_arxiv, by_pmid, items.withColumn("loose", loose)))
     for name, table, key in (("d", by_doi, T.clean_doi(F.coalesce("doi", F.lit("")))), ("a", by_arxiv, F.col("arxiv")), ("p", by_pmid, F.col("pmid"))):
-        out = out.withColumn(f"{name}_key", key).join(table.select(F.col("key").alias(f"{name}_key"), F.col("title").alias(f"{name}_title"), F.col("doi").alias(f"{name}_doi"), F.col("plain").alias(f"{name}_plain")), f"{name}_key", "left")
+        out = out.withColumn(f"{name}_key", key).join(table.select(F.col("key").alias(f"{name}_key"), F.col("title").alias(f"{name}_title"), F.col("doi").alias(f"{name}_doi"), F.col("plain").alias(f"{name}_plain"), F.col("authors").alias(f"{name}_authors")), f"{name}_key", "left")
         out = out.withColumn(f"{name}_ok", agrees(name))
     rung = F.when(F.col("d_ok"), "doi").when(F.col("a_ok"), "arxiv").when(F.col("p_ok"), "pubmed")
     out = out.withColumn("rung", rung).withColumn("next", F.when(F.col("rung") == "arxiv", T.clean_doi(F.coalesce("a_doi", F.lit("")))).when(F.col("rung") == "pubmed", T.clean_doi(F.coalesce("p_doi", F.lit("")))))
-    follow = by_doi.select(F.col("key").alias("next"), F.col("title").alias("n_title"), F.col("doi").alias("n_doi"), F.col("plain").alias("n_plain"))
+    follow = by_doi.select(F.col("key").alias("next"), F.col("title").alias("n_title"), F.col("doi").alias("n_doi"), F.col("plain").alias("n_plain"), F.col("authors").alias("n_authors"))
     out = out.join(follow, "next", "left").withColumn("n_ok", (F.col("next") != F.col("d_key")) & agrees("n"))
     best = found.groupBy("id").agg(F.max_by(F.struct("title", "doi", "confidence"), F.struct("confidence", "doi")).alias("hit"))
     out = out.join(best, "id", "left")
