@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,32 +116,63 @@ def grid_difference(one: DataFrame, other: DataFrame) -> DataFrame:
     return both.withColumn("verdict", verdict)
 
 
-def box_groups(boxes: DataFrame, gap: float, rows: int = 5000) -> DataFrame:
-    """(page, idx, group): boxes of a page that are no more than `gap` apart, and what they reach. About `rows` rows of whole pages go to Python at once."""
-
-    def labels(x0, y0, x1, y1):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        dx = np.maximum(0, np.maximum(x0[:, None] - x1[None], x0[None] - x1[:, None]))
-        dy = np.maximum(0, np.maximum(y0[:, None] - y1[None], y0[None] - y1[:, None]))
-        near = (dx <= gap) & (dy <= gap)
-        label = np.arange(len(x0))
-        while True:
-            low = np.where(near, label[None], len(x0)).min(axis=1)
-            if (low == label).all():
-                return label
-            label = low
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        pdf = pdf.sort_values(["page", "idx"], ignore_index=True)
-        page, idx = pdf["page"].to_numpy(), pdf["idx"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1], [True])))
-        box = [pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1")]
-        out = np.concatenate([idx[a:b][labels(*(x[a:b] for x in box))] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        return pdf[["page", "idx"]].assign(group=out)
-
-    parts = max(1, boxes.count() // rows)
-    dealt = boxes.withColumn("part", F.pmod(F.xxhash64("page"), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(run, "page bigint, idx int, group int")
+def _labels(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> np.ndarray:
+    """For each box the first one that it reaches over gaps of at most `gap`.
+
+    A line sweeps from left to right. For each height at which a box begins or ends it keeps the box
+    that reaches furthest there, and that one's group: a new box joins the groups within the gap above,
+    below and behind it, and takes their places. So memory is that of the boxes alone.
+    """
+    heights = np.unique(np.concatenate((y0, y1)))
+    reach, owner = np.full(len(heights), -np.inf), np.zeros(len(heights), np.int64)
+    group = np.arange(len(x0))
+
+    def head(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    low, high = np.searchsorted(heights, y0 - gap), np.searchsorted(heights, y1 + gap, side="right")
+    first, last = np.searchsorted(heights, y0), np.searchsorted(heights, y1, side="right")
+    for i in np.argsort(x0, kind="stable").tolist():
+        near = slice(low[i], high[i])
+        own = i
+        for other in np.unique(owner[near][reach[near] + gap >= x0[i]]).tolist():
+            a, b = head(own), head(other)
+            group[max(a, b)] = min(a, b)
+            own = min(a, b)
+        held = slice(first[i], last[i])
+        reach[held] = np.maximum(np.where(reach[held] + gap >= x0[i], reach[held], -np.inf), x1[i])
+        owner[held] = own
+    return np.array([head(i) for i in range(len(x0))], np.int64)
+
+
+def box_groups(boxes: DataFrame, gap: float) -> DataFrame:
+    """(page, idx, group): boxes of a page that are no more than `gap` apart in both directions, and what they reach; a group has the name of its first box. Boxes without a page are left out."""
+    columns = ["page", "idx", "x0", "y0", "x1", "y1"]
+
+    def grouped(rows: pd.DataFrame) -> pd.DataFrame:
+        page, idx = rows["page"].to_numpy(), rows["idx"].to_numpy()
+        box = [rows[c].to_numpy(dtype="float64") for c in columns[2:]]
+        cuts = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1], [True]))).tolist()
+        out = [idx[a:b][_labels(*(x[a:b] for x in box), gap)] if b - a > 1 else idx[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return rows[["page", "idx"]].assign(group=np.concatenate(out))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The last page of a batch may go on in the next one.
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if frame.empty:
+                continue
+            page = frame["page"].to_numpy()
+            last = int(np.searchsorted(page, page[-1]))
+            if last or (held and held[-1]["page"].iloc[0] != page[0]):
+                yield grouped(pd.concat([*held, frame.iloc[:last]], ignore_index=True))
+                held.clear()
+            held.append(frame.iloc[last:])
+        if held:
+            yield grouped(pd.concat(held, ignore_index=True))
+
+    own = boxes.select(*columns).filter("page is not null")
+    return own.repartition("page").sortWithinPartitions("page", "idx").mapInPandas(run, "page bigint, idx int, group int")

@@ -47,3 +47,30 @@ def test_ceilings_of_sidecars(spark):
     assert {(r.key, r.page, r.element, r.type, r.text) for r in elements.collect()} == {(1, 0, 0, "p", "one two"), (1, 0, 1, "h", "")}
     none = spark.createDataFrame([], "key int, json string")
     assert [x.count() for x in sidecars.scan(none, ["key"])] == [0, 0]
+
+
+def test_groups_of_boxes(spark):
+    import numpy as np
+
+    from quire.operators import layout
+
+    draw = random.Random(3)
+    for size, gap in ((8, 0), (20, 2), (40, 5.5), (5, 0)):
+        n = 60
+        x0, y0 = np.array([draw.randrange(200) for _ in range(n)], float), np.array([draw.randrange(200) for _ in range(n)], float)
+        x1, y1 = x0 + np.array([draw.randint(0, size) for _ in range(n)]), y0 + np.array([draw.randint(0, size) for _ in range(n)])
+        near = (np.maximum(x0[:, None] - x1, x0 - x1[:, None]) <= gap) & (np.maximum(y0[:, None] - y1, y0 - y1[:, None]) <= gap)
+        want = np.arange(n)
+        while True:
+            low = np.where(near, want[None], n).min(axis=1)
+            if (low == want).all():
+                break
+            want = low
+        assert (layout._labels(x0, y0, x1, y1, gap) == want).all()
+    rng = np.random.default_rng(1)
+    x0, y0 = rng.integers(0, 100_000, 100_000).astype(float), rng.integers(0, 2000, 100_000).astype(float)
+    began = time.time()
+    assert len(layout._labels(x0, y0, x0 + 30, y0 + 10, 4.0)) == 100_000 and time.time() - began < 60
+    boxes = spark.createDataFrame([(1, 2, 0, 0, 5, 5), (1, 1, 7, 0, 9, 5), (1, 3, 50, 0, 60, 5), (2, 4, 0, 0, 1, 1)], "page bigint, idx int, x0 int, y0 int, x1 int, y1 int")
+    assert {(r.page, r.idx, r.group) for r in layout.box_groups(boxes, 2.0).collect()} == {(1, 1, 1), (1, 2, 1), (1, 3, 3), (2, 4, 4)}
+    assert layout.box_groups(boxes.limit(0), 2.0).count() == 0
