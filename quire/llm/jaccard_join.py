@@ -288,7 +288,12 @@ def _lists(docs: DataFrame, survey: DataFrame, size: int, percent: int, most: in
     part = Window.partitionBy("token", "salt").orderBy("own", "n", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lists = lists.withColumn("inner", _inner(F.col("n"), F.col("at"), percent))
     lists = lists.select("*", F.count("*").over(part).alias("m"), F.max("inner").over(part).alias("some"), F.first(F.struct("n", "cls", "at", "inner")).over(part).alias("p"))
-    return c.materialise(lists.filter("salt >= 0 or m > 1 and some").select("token", "salt", "cls", "n", "at", "inner", "p"))
+    lists = c.materialise(lists.filter("salt >= 0 or m > 1 and some").select("token", "salt", "cls", "n", "at", "inner", "p"))
+    # A dealt list counts as a whole: without an inner member in any part none of its members can meet here.
+    whole = lists.filter("salt < 0")
+    dealt = lists.filter("salt >= 0")
+    alive = dealt.groupBy("token").agg(F.max("inner").alias("some")).filter("some").select("token")
+    return c.materialise(whole.unionByName(dealt.join(alive, "token", "left_semi"))) if not dealt.isEmpty() else lists
 
 
 def _ordered(met: DataFrame, percent: int) -> DataFrame:

@@ -229,3 +229,19 @@ def test_files_of_another_writer_are_read():
     data = b"WARC/1.0\r\nwarc-type: response\r\nwarc-date: 2024-02-03T04:05:06Z\r\nwarc-record-id:<urn:uuid:1>\r\nWarc-Target-Uri:   http://a/\r\ncontent-length:%d\r\n\r\n%s\r\n\r\n" % (len(body), body)
     [first, second] = list(warc.parse(data * 2))
     assert first[2:5] == ("<urn:uuid:1>", "http://a/", body) and first[6] is None and second[0] == len(data)
+
+
+def test_long_lists_that_link_nothing_are_dropped_whole(spark):
+    """Texts that share most of a boilerplate, too little to link: no list of it may be joined, dealt out or not."""
+    from quire.llm import jaccard_join
+
+    boilerplate = prose(7, 45)
+    rows = [(i, f"{boilerplate} {prose(1000 + i, 12)}") for i in range(400)] + [(900, f"{prose(31, 60)} end"), (901, f"{prose(31, 60)} fin")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    counts = []
+    for most in (100, 100_000):
+        *_, lists = jaccard_join._prepared(docs, "doc_id", "text", 4, 85, most)
+        counts.append(lists.count())
+        got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, most=most).collect()}
+        assert got[901] == 900 and all(got[i] == i for i in range(400))
+    assert counts[0] == counts[1] < 400
