@@ -166,6 +166,10 @@ TEMPLATES = {
     "soup.example.com": '<body class="has-sidebar"><div id="top"><div><a href="/">Home</a> <a href="/n">News</a></div></div><div class="cookie-notice">We use cookies.</div><div class="wrap"><div class="col"><h1>@T</h1>@P<p>Thank you for reading this page of ours.</p></div><div class="col2"><ul><li><a href="/x">@M</a></li><li><a href="/y">@M more</a></li></ul></div></div><div class="reader-comments"><p>@M says that this is very good and long and that there is no end to it at all.</p></div><form action="/s"><p>Search</p></form></body>',
     "late.example.com": "<div><p>Subscribe now to get all of our news every day by mail</p></div><div><h1>@T</h1>@P</div><div><p>All rights are kept by the owner of this site</p></div>",
 }
+TEMPLATES |= {
+    "holder.example.com": '<body><div class="leftcol"><p>@M and many more words here that are not of the article at all, but change from page to page</p></div><div id="page-content"><h1>@T</h1><div class="lead">@P</div></div><div id="cookiebar"><p>Cookies</p></div><div class="adslot"><p>@M</p></div><div><h3>2 Comments</h3><p>@M I say.</p><p>Me too @M.</p></div></body>',
+    "parts.example.com": "<body><div><a href='/'>Home</a></div><div class='x'><h1>@T</h1><p>An opening of @T that is long enough to count as a part of the text.</p><div class='rest'>@P</div></div><div class='userComments'><div><p>@M @M</p></div></div><div class='side'><p>@M</p></div></body>",
+}
 
 
 def test_main_text_of_several_templates(spark):
@@ -173,7 +177,7 @@ def test_main_text_of_several_templates(spark):
     for host, template in TEMPLATES.items():
         for url, page, text, i in pages_of(template, 8, host):
             rows.append((len(rows), url, page, "x"))
-            want[url] = f"Title {i} {text}"
+            want[url] = f"Title {i} {text}" if host != "parts.example.com" else f"Title {i} An opening of Title {i} that is long enough to count as a part of the text. {text}"
     rows += [(900, None, None, "x"), (901, "http://one.example.com/", "", "x"), (902, "no url", f"<p>{LONG}</p>", "x"), (902, "no url", f"<p>{LONG}</p>", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
     got = [(r.page_id, r.url, r.text) for r in wrapper_induction.extract(pages).collect()]
