@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bibliography, documents, exports, formulas, forms, glyphs, graphs, library, reader, reconstruction, records, sidecars, states, tables, vectors  # noqa: F401  they register their queries
+from . import bibliography, documents, exports, formulas, forms, glyphs, graphs, library, markers, reader, reconstruction, records, sidecars, states, tables, vectors  # noqa: F401  they register their queries
 from .book import ORACLES, QUERIES, Query
 
 FLAGSHIP = "search_bm25_term"
