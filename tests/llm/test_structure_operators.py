@@ -200,6 +200,10 @@ def test_alignment_matches_most_nodes():
     a = [[-1, "html", "", ""], [0, "div", "top", ""], [0, "div", "", ""], [2, "p", "", ""], [2, "h2", "", ""]]
     b = [[-1, "html", "", ""], [0, "div", "", ""], [1, "p", "", ""], [1, "h2", "", ""], [0, "p", "", ""]]
     assert wrapper_induction.align(a, b) == [0, -1, 1, 2, 3]
+    wide = [[-1, "html", "", ""], *([0, "div", f"{'abcdefgh'[k % 8]}{'xyz' * (k // 8)}", ""] for k in range(300))]
+    other = [wide[0], *(x for k, x in enumerate(wide[1:]) if k % 3), [0, "div", "new", ""]]
+    found = wrapper_induction.align(wide, other)
+    assert found[1:6] == [-1, 1, 2, -1, 3] and sum(x >= 0 for x in found) == 201
     assert wrapper_induction.align(a, a) == list(range(5)) and wrapper_induction.align(a, [[-1, "p", "", ""]]) == [-1] * 5
 
 
