@@ -64,14 +64,14 @@ def test_refreshes_in_a_row_answer_as_a_scan_does(spark, tmp_path):
     state = {f"s{i}": (str(i % 5), draw.choice(["content", "notes"]), f"s{i}", text()) for i in range(40)}
     index = SearchIndex(spark, f"file://{tmp_path}/index", fan=2)
     merged = False
-    for step in range(4):
+    for step in range(6):
         sources = spark.createDataFrame(list(state.values()), KIND)
         index.refresh(sources)
         now = index.current()
         merged |= step > 1 and len(now.segments) < step + 1
         stats = sources.select(F.size(search.T.lexical_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("a"), F.count("n").alias("b"), F.sum("n").alias("c")).first()
         assert (now.live, now.sized, now.total) == tuple(stats)
-        for q in ("the cat", "cat-dog"):
+        for q in ("the cat", "cat-dog")[step % 2 :][:1]:
             assert index.search(q, limit=100).collect() == search.search(sources, q, limit=100).collect(), (step, q)
         left = {p.name for p in Path(f"{tmp_path}/index/manifest").iterdir()}
         assert left == {str(g) for g in range(max(1, now.generation - 1), now.generation + 1)}
