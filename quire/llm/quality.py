@@ -4,9 +4,9 @@ Each document gives two histograms: its characters by class, and its words by co
 words of its language's list, and all others as one bin). They are compared with fixed references of
 the language, which don't depend on the documents judged. A document is rejected when it fails a base
 rule, or when it is long enough for a histogram to mean something and its distance to the reference is
-over the limit. A text without a language is held to the nearest reference of all, by the sum of both
-distances; one of a language without references, or without a language and with most of its letters
-beyond ASCII, gives no distances, and only the base rules judge it.
+over the limit. A text without a language, or with a code that names none, is held to the nearest
+reference of all, by the sum of both distances, unless most of its letters are beyond ASCII; such a
+text, and one of a language without references, gives no distances, and only the base rules judge it.
 
 Null texts have no words and fail the base rules, as empty ones do. Repeated rows are judged alike,
 extra columns stay where `keep` returns the rows, and an empty table gives an empty result.
@@ -29,6 +29,11 @@ COMMON = {
     "fr": {"de": 520, "la": 310, "le": 260, "et": 240, "les": 220, "des": 190, "en": 150, "un": 130, "une": 110, "du": 130, "que": 110, "qui": 90, "est": 100, "dans": 90, "pour": 80, "par": 70, "sur": 65, "au": 65, "avec": 50, "il": 60, "ne": 50, "se": 45, "pas": 50},
 }
 
+# Codes of languages that have no references here.
+OTHERS = frozenset(
+    "af am ar az be bg bn bs ca cs cy da el et eu fa fi ga gl gu he hi hr hu hy id is it ja ka kk km kn ko ky lo lt lv mk ml mn mr ms mt my nb ne nl nn no pa pl ps pt ro ru si sk sl so sq sr sv sw ta te tg th tk tl tr uk ur uz vi yi zh zu".split()
+)
+
 #: Limits of the distances: see README for how far documents of either kind are from the references.
 CHAR_LIMIT, WORD_LIMIT = 0.22, 0.35
 
@@ -108,7 +113,7 @@ def measure(text: bytes, lang: str | None) -> tuple:
     near = []
     beyond = int(hist[CLASSES.index("letter_beyond")])
     foreign = 2 * beyond > beyond + int(hist[CLASSES.index("alnum")] + hist[CLASSES.index("upper")])
-    for name in (lang,) if lang in COMMON else COMMON if not lang and not foreign else ():
+    for name in (lang,) if lang in COMMON else () if lang in OTHERS or foreign else COMMON:
         known = [int(of[seen[w]]) if (w := x.encode()) in seen else 0 for x in COMMON[name]]
         near.append((js_distance(hist, REF_CHARS[name]), js_distance(np.array([*known, len(words) - sum(known)]), REF_WORDS[name])))
     best = min(near, key=lambda x: (x[0] or 0) + (x[1] or 0), default=(None, None))
@@ -167,7 +172,7 @@ def _oracle() -> str:
         return f"CASE WHEN list_sum({own}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({own}) + 1), lambda i: {term.format(p, p, q)} + {term.format(q, p, q)})) / 2)) END"
 
     refs = ", ".join(f"('{lang}', {listed(CHARACTERS[lang])}, {listed(words)}, {listed([*words.values(), 10_000 - sum(words.values())])})" for lang, words in COMMON.items())
-    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {tuple(COMMON)} THEN lang WHEN coalesce(lang, '') <> '' THEN 'none' END AS language,
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {tuple(COMMON)} THEN lang WHEN lang IN {tuple(sorted(OTHERS))} THEN 'none' END AS language,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
     refs(language, r_chars, words, r_words) AS (VALUES {refs}),
     g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
