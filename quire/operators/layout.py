@@ -86,10 +86,10 @@ def carried_sections(blocks: DataFrame, key: str, pos: str, heading: Column) ->
 
 
 def merged_intervals(spans: DataFrame, *keys: str) -> DataFrame:
-    """Overlapping or touching intervals [start, end) of each key as one."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
+    """Overlapping or touching intervals [start, end) of each key as one; unknown starts and ends come last, and one that can't be compared goes with what is before it."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("island", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
+    marked = spans.withColumn("island", F.when(F.col("start") > before, 1).otherwise(0))
     return marked.withColumn("island", F.sum("island").over(w)).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
