@@ -26,10 +26,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
-from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -290,27 +290,49 @@ def _tree(nodes: list[list]) -> tuple[list[list[int]], list[int]]:
     return kids, shapes
 
 
-#: Pairs of children that are compared one by one; of more, those meet whose tag, classes and role each list has once, in order.
-_TABLE = 40_000
-
+#: Numbers of the table of a match that are held at once; of a larger one, rows are made again from a row halfway.
+_TABLE = 1 << 20
+#: Gains, and matches of nodes, that are kept so as not to be found again; none of these numbers changes what is found.
+_GAINS, _KNOWN = 1 << 24, 100_000
+
+
+def _next(row: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The row of the table that follows, given what the next node gains with each of the other side."""
+    out = row.copy()
+    np.maximum(out[1:], row[:-1] + gain, out=out[1:])
+    return np.maximum.accumulate(out)
+
+
+def _best_pairs(gains: Callable[[int], np.ndarray], n: int, m: int) -> tuple[int, list[tuple[int, int]]]:
+    """The greatest sum of gains of pairs that rise on both sides, and the pairs, the last first. `gains`: of one of n nodes with each of m."""
+    pairs: list[tuple[int, int]] = []
+
+    def trace(row: np.ndarray, low: int, high: int, j: int) -> int:
+        """Follows the table back from row `high` and column j to row `low`, which is given."""
+        if high - low > 1 and (high - low) * (j + 1) > _TABLE:
+            middle, half = (low + high) // 2, row[: j + 1]
+            for i in range(low, middle):
+                half = _next(half, gains(i)[:j])
+            j = trace(half, middle, high, j)
+            return trace(row, low, middle, j)
+        table = [row[: j + 1]]
+        for i in range(low, high):
+            table.append(_next(table[-1], gains(i)[:j]))
+        i = high
+        while i > low and j:
+            now, before = table[i - low], table[i - low - 1]
+            if now[j] == before[j]:
+                i -= 1
+            elif now[j] == now[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        return j
 
-def _by_name(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> list[tuple[int, int]]:
-    """The most pairs of nodes with names that both sides have once, rising on both."""
-    counts = Counter(name for _, name in left), Counter(name for _, name in right)
-    at = {name: k for k, (_, name) in enumerate(right) if counts[1][name] == 1}
-    met = [(x, at[name]) for x, name in left if counts[0][name] == 1 and name in at]
-    ends: list[int] = []
-    last: list[int] = []
-    before = [-1] * len(met)
-    for k, (_, j) in enumerate(met):
-        n = bisect_left(ends, j)
-        ends[n : n + 1], last[n : n + 1] = [j], [k]
-        before[k] = last[n - 1] if n else -1
-    out, k = [], last[-1] if last else -1
-    while k >= 0:
-        out.append((met[k][0], right[met[k][1]][0]))
-        k = before[k]
-    return out[::-1]
+    first = np.zeros(m + 1, np.int64)
+    trace(first, 0, n, m)
+    return sum(int(gains(i)[j]) for i, j in pairs), pairs
 
 
 def align(ours: list[list], theirs: list[list]) -> list[int]:
@@ -326,6 +348,11 @@ def align(ours: list[list], theirs: list[list]) -> list[int]:
     def size(a: int) -> int:
         return 2 + sum(size(x) for x in kids[a])
 
+    def gain(a: int, b: int) -> int:
+        if not same(a, b):
+            return 0
+        return match(a, b)[0] if kids[a] and kids2[b] else 1 + (ours[a][2] == theirs[b][2])
+
     def match(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
         """Number of matching nodes below and with a pair of matching nodes, and the pairs of their children."""
         if (a, b) in known:
@@ -340,27 +367,27 @@ def align(ours: list[list], theirs: list[list]) -> list[int]:
         pairs = [(left[k], right[k]) for k in range(head)] + [(left[-1 - k], right[-1 - k]) for k in range(tail)]
         total = 1 + (ours[a][2] == theirs[b][2]) + sum(size(x) for x, _ in pairs)
         left, right = left[head : len(left) - tail], right[head : len(right) - tail]
-        if len(left) * len(right) > _TABLE:
-            for x, y in _by_name([(k, repr(ours[k][1:])) for k in left], [(k, repr(theirs[k][1:])) for k in right]):
-                total += match(x, y)[0]
-                pairs.append((x, y))
-            known[a, b] = total, pairs
-            return known[a, b]
-        gain = [[match(x, y)[0] if same(x, y) else 0 for y in right] for x in left]
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i in range(len(left)):
-            for j in range(len(right)):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
-        i, j = len(left), len(right)
-        total += best[i][j]
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((left[i], right[j]))
+        # Nodes of one shape gain the same, so that only different shapes are matched, and a row is made for each of them.
+        stands = {shapes2[y]: y for y in reversed(right)}
+        order = {shape: k for k, shape in enumerate(stands)}
+        place = np.array([order[shapes2[y]] for y in right], np.int64)
+        rows: dict[int, np.ndarray] = {}
+
+        def gains(i: int) -> np.ndarray:
+            x = left[i]
+            if shapes[x] not in rows:
+                if (len(rows) + 1) * len(stands) > _GAINS:
+                    rows.clear()
+                held = max(len(known), _KNOWN)
+                rows[shapes[x]] = np.array([gain(x, y) for y in stands.values()], np.int32)
+                while len(known) > held:  # they are found again where they are needed
+                    known.popitem()
+            return rows[shapes[x]][place]
+
+        if left and right:
+            best, met = _best_pairs(gains, len(left), len(right))
+            total += best
+            pairs += [(left[i], right[j]) for i, j in met]
         known[a, b] = total, pairs
         return known[a, b]
 
