@@ -153,7 +153,9 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     distinct = c.materialise(distinct.select("h", "g", *_id_and_number(F.col("at")), "n", *_HALVES))
     likely = _sharing(distinct.filter("k0 is not null"), F.array_compact(F.array(*_HALVES)))
     likely = c.materialise(distinct.select("h", "g", "doc_id", "no").join(likely, ["h", "g"], "left_semi"))
-    texts = c.materialise(c.join_small(_lines(docs), likely, ["doc_id", "no"], "inner").dropDuplicates(["h", "g"]).select("h", "g", "doc_id", "no", "line"))
+    # Shuffled at any size, so that what it takes grows with the table; only lines that can be likely are.
+    long = _lines(docs).filter(F.length("line") >= least)
+    texts = c.materialise(long.hint("merge").join(likely, ["doc_id", "no"]).dropDuplicates(["h", "g"]).select("h", "g", "doc_id", "no", "line"))
     some = texts.join(_sharing(texts, _all_but_one(line)), ["h", "g"], "left_semi")
     ranked = c.materialise(some.orderBy("doc_id", "no").select("h", "g", F.monotonically_increasing_id().alias("rank"), "line"))
     near = c.materialise(_near(ranked))
