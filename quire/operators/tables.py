@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import vectors
+from quire.session import cut
 
 #: Rows that a head has at most, likeness of the other head cells, and least cells of a row that ties two grids together.
 HEAD_ROWS, LIKENESS, ANCHOR_CELLS = 6, 0.72, 3
@@ -16,27 +17,35 @@ def normal(text: Column) -> Column:
 
 
 def _rows(cells: DataFrame) -> DataFrame:
-    """(table, row, n, key, digits, label, label_down, label_across, blank): what a row of cells says, and whether all but its first cell are empty."""
+    """(table, row, n, key, digits, label, label_down, label_across, blank, across, spans): what a row of cells says, whether all but its first cell are empty, its width, and whether that can't be told without laying it out."""
     listed = F.array_sort(F.collect_list(F.struct("idx", normal(F.col("text")).alias("t"), "down", "across")))
     rows = cells.groupBy("table", "row").agg(listed.alias("c"))
     first = F.element_at("c", 1)
     return rows.select(
         "table", "row", F.size("c").alias("n"), F.array_join(F.transform("c", lambda x: x["t"]), "␟").alias("key"), F.exists("c", lambda x: x["t"].rlike(r"\d")).alias("digits"), first["t"].alias("label"),
         first["down"].alias("label_down"), first["across"].alias("label_across"), F.forall(F.slice("c", 2, F.greatest(F.size("c"), F.lit(1))), lambda x: x["t"] == "").alias("blank"),
+        F.aggregate("c", F.lit(0), lambda acc, x: (acc + F.coalesce(x["across"], F.lit(1))).cast("int")).alias("across"), F.exists("c", lambda x: (F.coalesce(x["down"], F.lit(1)) > 1) | (F.coalesce(x["across"], F.lit(0)) < 1)).alias("spans"),
     )
 
 
 def _grids(cells: DataFrame) -> DataFrame:
-    """`cells` with the column where each stands, by spans (`col`); a table's cells are laid out beside each other."""
-    own = cells.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("row", "idx", "down", "across"))).alias("c"))
+    """(table, row, idx, down, across, text, col) of `cells`, with the column where each stands, by spans; a table's cells are laid out beside each other."""
+    own = cells.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("row", "idx", "down", "across", "text"))).alias("c"))
     laid = own.select("table", F.explode(F.arrays_zip(F.col("c"), vectors.placed_cells(F.transform("c", lambda x: F.struct(x["row"].alias("row"), x["down"].alias("down"), x["across"].alias("across")))).alias("p"))).alias("x"))
-    placed = laid.select("table", F.col("x.c.row").alias("row"), F.col("x.c.idx").alias("idx"), F.col("x.p.col").alias("col"))
-    return cells.join(placed, ["table", "row", "idx"])
+    return laid.select("table", "x.c.*", F.col("x.p.col").alias("col"))
 
 
 def widths(cells: DataFrame) -> DataFrame:
     """(table, width): the width that most rows of two cells or more have; of several the least."""
-    rows = _grids(cells).groupBy("table", "row").agg(F.max(F.col("col") + F.col("across")).alias("w"), F.count("*").alias("n")).filter("n > 1")
+    return _widths(cells, _rows(cells))
+
+
+def _widths(cells: DataFrame, said: DataFrame) -> DataFrame:
+    """The same, given what the rows say. Where no cell reaches down, a row is as wide as its cells; only other tables are laid out."""
+    tall = said.filter("spans").select("table").distinct()
+    rows = _grids(cells.join(tall, "table", "left_semi")).groupBy("table", "row").agg(F.max(F.col("col") + F.col("across")).alias("w"), F.count("*").alias("n"))
+    flat = said.join(tall, "table", "left_anti").select("table", "row", F.col("across").alias("w"), F.col("n").cast("bigint").alias("n"))
+    rows = rows.unionByName(flat).filter("n > 1")
     return rows.groupBy("table", "w").agg(F.count("*").alias("n")).groupBy("table").agg(F.min_by("w", F.struct(-F.col("n"), "w")).alias("width"))
 
 
@@ -61,8 +70,8 @@ def with_heads(cells: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame
     width. Rows are joined by what they say. Changes: table, row, operation and text; `unsure`
     where the heads differ too much. Tables without a counterpart stay as they are.
     """
-    ours, theirs = _rows(cells), _rows(other)
-    heads = _anchors(ours, theirs).filter((F.col("head") > 0) & (F.col("head") <= HEAD_ROWS) & (F.col("other_head") > 0) & (F.col("other_head") <= HEAD_ROWS))
+    ours, theirs = cut(_rows(cells)), cut(_rows(other))
+    heads = cut(_anchors(ours, theirs).filter((F.col("head") > 0) & (F.col("head") <= HEAD_ROWS) & (F.col("other_head") > 0) & (F.col("other_head") <= HEAD_ROWS)))
 
     def corner(rows: DataFrame, own: DataFrame, name: str) -> DataFrame:
         text = own.filter("row = 0").groupBy("table").agg(F.min_by("text", "idx").alias(f"{name}_text"))
@@ -71,7 +80,9 @@ def with_heads(cells: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame
     empty = ours.join(heads, "table").filter("row < head").groupBy("table").agg(F.every(F.col("label") == "").alias("all_empty"), F.collect_list(F.struct("row", "label")).alias("labels"))
 
     def words(own: DataFrame, upto: str) -> DataFrame:
-        rest = _grids(own).join(heads, "table").filter((F.col("row") < F.col(upto)) & (F.col("col") > 0))
+        # Where a cell stands hangs on those above it alone.
+        above = own.filter(F.col("row") < HEAD_ROWS).join(heads.select("table", upto), "table").filter(F.col("row") < F.col(upto)).drop(upto)
+        rest = _grids(above).filter("col > 0")
         return rest.groupBy("table").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", normal(F.col("text")).alias("t")))), lambda x: x["t"]), "").alias(f"{upto}_words"))
 
     asked = heads.join(corner(ours, cells, "own"), "table").join(corner(theirs, other, "other"), "table").filter("own_label = '' and other_label <> '' and other_down > 1")
@@ -81,7 +92,7 @@ def with_heads(cells: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame
     asked = asked.withColumn("sure", (F.col("all_empty") | (named == F.array(F.lit(1)))) & like)
     given = asked.filter("sure").select("table", F.col("head").alias("__head"), F.col("other_text").alias("__label"))
 
-    width = widths(cells)
+    width = _widths(cells, ours)
     single = theirs.filter("n = 1").join(width, "table").filter("label_across = width").groupBy("table", "label").agg(F.count("*").alias("m"), F.max("width").alias("width")).filter("m = 1")
     grouped = ours.filter((F.col("n") > 1) & (F.col("label") != "") & F.col("blank")).join(single, ["table", "label"]).select("table", "row", F.col("width").alias("__width"))
 
