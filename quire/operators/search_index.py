@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from . import search
 KEY = ["job_id", "kind", "source_id"]
 #: Rows of tombstones that are broadcast; more are shuffled.
 _FEW = 10_000
+#: Sources whose tokens are grouped at once.
+_ROWS = 500
 _MANIFEST = "generation bigint, version string, place int, id string, n bigint, gone bigint, live bigint, sized bigint, total bigint"
 
 
@@ -63,6 +69,31 @@ def to_merge(sizes: list[int], fan: int) -> int:
             return taken
 
 
+def _postings_of(sources: DataFrame) -> DataFrame:
+    """(token, key, size, places) of sources with their tokens. Each source is grouped where it lies, so that occurrences are never shuffled."""
+
+    def grouped(rows: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = rows["tokens"]
+        counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(tokens.flatten())
+        row = np.repeat(np.arange(rows.num_rows), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        token = coded.dictionary.take(coded.indices.take(pa.array(order[first])))
+        of = pa.array(row[order[first]])
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place[order], pa.int32()))
+        return pa.RecordBatch.from_arrays([token, *(rows[k].take(of) for k in (*KEY, "size")), places], names=["token", *KEY, "size", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (grouped(batch.slice(at, _ROWS)) for at in range(0, batch.num_rows, _ROWS))
+
+    kinds = dict(sources.dtypes)
+    return sources.mapInArrow(run, f"token string, {', '.join(f'{k} {kinds[k]}' for k in KEY)}, size int, places array<int>")
+
+
 class SearchIndex:
     """The index of one set of sources (job_id, kind, source_id, text) under a path that all executors share.
 
@@ -172,27 +203,27 @@ class SearchIndex:
         fresh = told.filter("change in ('insert', 'update')").select(*KEY)
         on = reduce(and_, [new[k].eqNullSafe(fresh[k]) for k in KEY])
         added = new.join(fresh, on, "left_semi") if now and now.segments else new
-        segment, sized, total = self._written(self._tokenised(added), told.filter("change in ('update', 'delete')").select(*KEY), place)
+        segment, sized, total = self._written(added, told.filter("change in ('update', 'delete')").select(*KEY), place)
         segments = (*(now.segments if now else ()), segment)
         before = (now.live, now.sized, now.total) if now else (0, 0, 0)
         live = before[0] + counts["insert"] - counts["delete"]
         self._publish(Manifest(now.generation + 1 if now else 1, version, self._merged(segments, live), live, before[1] + sized - lost_sized, before[2] + total - lost_total))
         return counts
 
-    @staticmethod
-    def _tokenised(sources: DataFrame) -> DataFrame:
-        return cut(sources.withColumn("tokens", T.let(T.lexical_tokens(F.col("text")), lambda t: t)).withColumn("size", F.size("tokens")))
-
     def _written(self, added: DataFrame, gone: DataFrame, place: int) -> tuple[Segment, int, int]:
-        """A segment of sources with their tokens; with the number of those with a text and of their tokens."""
-        each = added.select(*KEY, "size", F.posexplode("tokens").alias("place", "token"))
-        postings = each.groupBy("token", *KEY, "size").agg(F.array_sort(F.collect_list("place")).alias("places"))
-        return self._stored(added.select(*KEY, "text", "mark", "size"), postings, gone, place)
+        """A segment of sources; with the number of those with a text and of their tokens."""
+        return self._stored(added.select(*KEY, "text", "mark"), None, gone, place)
 
-    def _stored(self, documents: DataFrame, postings: DataFrame, gone: DataFrame, place: int) -> tuple[Segment, int, int]:
+    def _stored(self, documents: DataFrame, postings: DataFrame | None, gone: DataFrame, place: int) -> tuple[Segment, int, int]:
+        """A segment of these tables; where documents have no sizes yet and there are no postings, both are made of the texts, the postings from the documents as they are written."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
-        documents.repartitionByRange("source_id").sortWithinPartitions("source_id").write.parquet(f"{at}/documents")
+        dealt = documents.repartitionByRange("source_id").sortWithinPartitions("source_id")
+        if postings is None:
+            dealt = dealt.withColumn("size", F.size(T.lexical_tokens(F.col("text"))))
+        dealt.write.parquet(f"{at}/documents")
+        if postings is None:
+            postings = _postings_of(self.spark.read.parquet(f"{at}/documents").select(*KEY, "size", T.lexical_tokens(F.col("text")).alias("tokens")))
         postings.select("token", *KEY, "size", "places").repartitionByRange("token", "source_id").sortWithinPartitions("token", "source_id").write.parquet(f"{at}/postings")
         held = self.spark.read.parquet(f"{at}/postings").select("token", F.col("_metadata.file_name").alias("file"))
         held.groupBy("file").agg(F.min("token").alias("low"), F.max("token").alias("high")).coalesce(1).write.parquet(f"{at}/ranges")
